@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, rules, substrings, token_files
 
-_MODULES = [token_files, packing]
+_MODULES = [token_files, packing, substrings, rules]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
