@@ -148,7 +148,8 @@ def learn(rows: DataFrame, names: list[str] = FEATURES, cuts: int = 40, depth: i
     table = {n: sorted({float(x) for r in found for x in (r[n] or [])}) for n in names}
     if len({r["bad"] for r in found}) < 2:
         return DecisionList()
-    bins = F.array(*[F.struct(F.lit(n).alias("feature"), F.size(F.filter(F.array(*map(F.lit, table[n])), lambda t, n=n: t < F.col(n))).alias("bin")) for n in names])
+    below = lambda n: F.size(F.filter(F.array(*map(F.lit, table[n])), lambda cut: cut < F.col(n)))
+    bins = F.array(*[F.struct(F.lit(n).alias("feature"), below(n).alias("bin")) for n in names])
     rows = c.materialize(rows.select(*names, "bad", "grow", bins.alias("bins")), "rule-rows")
     total = rows.agg(F.sum("bad"), F.count("*")).first()
     out = DecisionList()
