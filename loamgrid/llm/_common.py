@@ -85,12 +85,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(data: np.ndarray, row_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; no word crosses a row."""
+def word_spans(data: np.ndarray, row_ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each stretch of bytes outside ``space``; no word crosses a row."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     inner = row_ends[(row_ends > 0) & (row_ends < len(data))]
@@ -151,3 +151,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
+    """doc_id, lang, text and y of at most ``per_class`` documents of each label, in hash order of their ids.
+
+    Of several labels of one document the highest counts; labels other than 0 and 1 are ignored.
+    """
+    known = labels.groupBy("doc_id").agg(F.max(column).alias("y")).filter("y in (0, 1)")
+    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = picked[0].unionByName(picked[1])
+    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lang", "text", "y")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a weighted logistic fit of y to z, by damped Newton steps."""
+    x = np.stack([z, np.ones_like(z)], 1)
+    theta = np.array([1.0, 0.0])
+    target = np.where(y > 0, 1 - 1e-3, 1e-3)
+    for _ in range(50):
+        p = sigmoid(x @ theta)
+        grad = x.T @ (weight * (p - target)) + 1e-3 * (theta - [1, 0])
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        theta = theta - step * min(1, 2 / (np.abs(step).max() + 1e-9))
+    return float(theta[0]), float(theta[1])
