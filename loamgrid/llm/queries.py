@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, rules, substrings, token_files, toxicity
+from . import packing, quality, rules, substrings, token_files, toxicity
 
-_MODULES = [token_files, packing, substrings, rules, toxicity]
+_MODULES = [token_files, packing, substrings, rules, toxicity, quality]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
