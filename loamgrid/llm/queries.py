@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embeddings, language_model, packing, quality, rules, substrings, token_files, toxicity
+from . import embeddings, language_model, packing, pieces, quality, rules, substrings, token_files, toxicity
 
-_MODULES = [token_files, packing, substrings, rules, toxicity, quality, language_model, embeddings]
+_MODULES = [token_files, packing, substrings, rules, toxicity, quality, language_model, embeddings, pieces]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
