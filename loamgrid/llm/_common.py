@@ -171,12 +171,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a weighted logistic fit of y to z, by damped Newton steps."""
     x = np.stack([z, np.ones_like(z)], 1)
-    theta = np.array([1.0, 0.0])
+    rate = np.clip((weight * y).sum() / weight.sum(), 1e-3, 1 - 1e-3)
+    start = np.array([1.0, 0.0])
+    theta, ridge = start.copy(), 0.5
     target = np.where(y > 0, 1 - 1e-3, 1e-3)
     for _ in range(50):
         p = sigmoid(x @ theta)
-        grad = x.T @ (weight * (p - target)) + 1e-3 * (theta - [1, 0])
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (weight * (p - target)) + ridge * (theta - start)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
         step = np.linalg.solve(hess, grad)
         theta = theta - step * min(1, 2 / (np.abs(step).max() + 1e-9))
+    if theta[0] < 0.1:  # the raw score says nothing: fall back on the rate
+        return 0.1, float(np.log(rate / (1 - rate)) - 0.1 * z.mean())
     return float(theta[0]), float(theta[1])
