@@ -8,7 +8,7 @@ Spaces are carried as the model's mark, characters without a piece as their
 UTF-8 bytes, and a mark that stands in the text as its bytes too, so every
 encoding decodes to the text it came from.
 
-A text is cut after each character that a space follows, which no piece
+A text is cut before its spaces and around its line breaks, which no piece
 crosses; a worker segments each distinct stretch once per seed.
 
 Edge cases: a null or empty text has no pieces and decodes to an empty text; a
@@ -33,10 +33,10 @@ from . import _common as c
 
 MARK = "▁"
 DROPOUT, SEED = 0.1, 1
-CACHE = 600_000
+CACHE = 900_000
 #: Segments up to this length keep their agenda as a list, longer ones as a heap.
 SHORT = 24
-_NEVER, _ALL = float("inf"), 2**64 - 1
+_NEVER = float("inf")
 _CUT = re.compile(f"{MARK}*[^{MARK}]*")
 
 
@@ -47,13 +47,17 @@ def default_model() -> str:
 
 
 class _Words(dict):
-    """Ids of the stretch that a mark and the key make; made on first use, and kept unless it is long."""
+    """Ids of the stretch that ``lead`` and the key make; made on first use, and kept unless it is long."""
 
-    def __init__(self, codec: PieceCodec):
-        self.codec = codec
+    def __init__(self, codec: PieceCodec, lead: str):
+        self.codec, self.lead = codec, lead
 
     def __missing__(self, rest: str) -> bytes:
-        ids = self.codec._segment(MARK + rest)
+        codec = self.codec
+        if self.lead and "\n" in rest and codec.breaks:
+            head, *lines = rest.split("\n")
+            return self[head] + b"".join([codec.newline + codec.bare[x] if x else codec.newline for x in lines])
+        ids = codec._segment(self.lead + rest)
         if len(rest) < 64:
             self[rest] = ids
         return ids
@@ -74,41 +78,47 @@ class PieceCodec:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.rank[piece], self.id[piece] = -model.get_score(i), i
                 self.bytes_of[i] = piece.replace(MARK, " ").encode()
+        #: No piece holds a line break: segments end there as well.
+        self.breaks = not any("\n" in piece for piece in self.rank)
         if any(b == model.unk_id() for b in self.byte_id):
             raise ValueError("the model lacks byte pieces, without which texts would be lost")
         self.limit, self.seed = int(dropout * 2**32), seed
-        self.known = _Words(self)
+        self.known, self.bare = _Words(self, MARK), _Words(self, "")
+        self.newline = struct.pack("<I", self.byte_id[10])
 
     def _candidate(self, key: int, segment: str, start: int, end: int) -> float:
         """Rank of the merge that would make segment[start:end]; infinite if there is none or it is skipped."""
-        rank = self.rank.get(segment[start:end])
-        if rank is None:
-            return _NEVER
-        if self.limit:
-            x = (key ^ (start * 0x9E3779B1 + end * 0x85EBCA77)) * 0xC2B2AE3D27D4EB4F & _ALL
-            if ((x ^ (x >> 29)) * 0x165667B19E3779F9 & _ALL) >> 32 < self.limit:
-                return _NEVER
-        return rank
+        piece = segment[start:end]
+        rank = self.rank.get(piece)
+        return _NEVER if rank is None or (self.limit and xxhash.xxh32_intdigest(piece, key + start) < self.limit) else rank
 
     def merges(self, segment: str) -> list[int]:
         """Ends of the pieces of one segment, by agenda: best rank first, then leftmost."""
         n = len(segment)
-        key = xxhash.xxh64_intdigest(segment, self.seed) if self.limit else 0
+        key = xxhash.xxh32_intdigest(segment, self.seed) if self.limit else 0
         return self._short(segment, n, key) if n <= SHORT else self._long(segment, n, key)
 
     def _short(self, segment: str, n: int, key: int) -> list[int]:
-        rank, candidate, limit = self.rank.get, self._candidate, self.limit
+        rank, limit, digest, never = self.rank.get, self.limit, xxhash.xxh32_intdigest, _NEVER
         bounds = list(range(n + 1))
-        agenda = [_NEVER if (r := rank(segment[i : i + 2])) is None else candidate(key, segment, i, i + 2) if limit else r for i in range(n - 1)]
-        while agenda and (best := min(agenda)) != _NEVER:
+        agenda = []
+        for i in range(n - 1):
+            piece = segment[i : i + 2]
+            r = rank(piece)
+            agenda.append(never if r is None or (limit and digest(piece, key + i) < limit) else r)
+        while agenda and (best := min(agenda)) != never:
             k = agenda.index(best)
             del bounds[k + 1], agenda[k]
             if k < len(agenda):
-                i, j = bounds[k], bounds[k + 2]
-                agenda[k] = candidate(key, segment, i, j) if segment[i:j] in self.rank else _NEVER
+                i = bounds[k]
+                piece = segment[i : bounds[k + 2]]
+                r = rank(piece)
+                agenda[k] = never if r is None or (limit and digest(piece, key + i) < limit) else r
             if k:
-                i, j = bounds[k - 1], bounds[k + 1]
-                agenda[k - 1] = candidate(key, segment, i, j) if segment[i:j] in self.rank else _NEVER
+                i = bounds[k - 1]
+                piece = segment[i : bounds[k + 1]]
+                r = rank(piece)
+                agenda[k - 1] = never if r is None or (limit and digest(piece, key + i) < limit) else r
         return bounds[1:]
 
     def _long(self, segment: str, n: int, key: int) -> list[int]:
@@ -146,8 +156,9 @@ class PieceCodec:
             return b""
         if MARK in text or "" in text:
             return self._encode_marked(text)
-        if len(self.known) > CACHE:
-            self.known.clear()
+        for words in (self.known, self.bare):
+            if len(words) > CACHE:
+                words.clear()
         if "  " not in text and text[0] != " " and text[-1] != " ":  # one word after each space
             return b"".join(map(self.known.__getitem__, text.split(" ")))
         return b"".join([self.known[s[1:]] for s in _CUT.findall(MARK + text.replace(" ", MARK)) if s])
@@ -160,7 +171,7 @@ class PieceCodec:
                 out.append(struct.pack("<3I", *(self.byte_id[b] for b in MARK.encode())))
             elif part or k == 0:
                 lead = MARK if k == 0 else ""
-                out += [self._segment(s) for s in _CUT.findall(lead + part.replace(" ", MARK)) if s]
+                out += [self.known[s[1:]] if s[0] == MARK else self.bare[s] for s in _CUT.findall(lead + part.replace(" ", MARK)) if s]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
