@@ -3,7 +3,7 @@
 Documents with equal shingle sets form one class. Two sets can only reach the
 similarity if they share one of their first shingles in a common order that
 puts frequent shingles last, so each such shingle roots a group of classes that
-may link; groups with the same members are one. In a group, bitmaps of the sets
+may link; roots with the same least class are one. In a group, bitmaps of the sets
 are the leaves of a signature tree: a node holds the OR and the AND of its
 bitmaps and its range of sizes. Two trees are traversed at once, and a pair of
 nodes is dropped if even the largest overlap that its bitmaps and sizes allow is
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -36,10 +36,10 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Bits of a bitmap for each shingle, at least; leaves below a node of the lowest level, nodes below a higher one.
-BITS, LEAF, FANOUT = 4, 16, 8
+BITS, LEAF, FANOUT = 6, 16, 8
 #: Shingles known as frequent are at most so many; they change the order of shingles only, not the result.
 FREQUENT = 100_000
-ROUNDS, BLOCK, STAR = 3, 2048, 256
+ROUNDS, BLOCK, STAR = 2, 2048, 256
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -129,11 +129,35 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
 
 
 def groups(classes: DataFrame) -> DataFrame:
-    """(g, k): classes that share a prefix shingle, one group for each distinct set of members."""
-    posts = classes.select("k", F.explode("prefix").alias("token"))
-    marks = posts.groupBy("token").agg(F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"), F.count("*").alias("size"))
-    marks = marks.filter("size > 1").select("token", F.xxhash64("x", "y", "size").alias("g"))
-    return posts.join(marks, "token").select("g", "k").distinct()
+    """(g, k): classes that share a prefix shingle with class g, the least one that has the shingle.
+
+    All shingles whose least class is g make one group, so a class stands in it once.
+    """
+    same = Window.partitionBy("token")
+    posts = classes.select("k", F.explode("prefix").alias("token")).withColumn("g", F.min("k").over(same)).withColumn("last", F.max("k").over(same))
+    return posts.filter("g < last").select("g", "k").distinct()
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose bitmaps and sizes leave room for a link."""
+    sides = {x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"map_{x}")) for x in "ab"}
+
+    @F.arrow_udf("boolean")
+    def run(n_a: pa.Array, n_b: pa.Array, map_a: pa.Array, map_b: pa.Array) -> pa.Array:
+        out = []
+        for x, y, p, q in zip(n_a.to_numpy(), n_b.to_numpy(), map_a.to_pylist(), map_b.to_pylist()):
+            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+            size = min(len(p), len(q))
+            while len(p) > size:
+                p = p[: len(p) // 2] | p[len(p) // 2 :]
+            while len(q) > size:
+                q = q[: len(q) // 2] | q[len(q) // 2 :]
+            most = min(x - int(np.bitwise_count(p & ~q).sum()), y - int(np.bitwise_count(q & ~p).sum()), x, y)
+            out.append(bool(enough(most, x, y, percent)))
+        return pa.array(out, pa.bool_())
+
+    sized = pairs.join(sides["a"], "a").join(sides["b"], "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    return sized.filter(run("n_a", "n_b", "map_a", "map_b")).select("a", "b")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -280,7 +304,7 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         chosen = c.materialize(chosen, "star")
         if chosen.isEmpty():
             break
-        found = c.materialize(verify(chosen, texts, percent), "links")
+        found = c.materialize(verify(c.materialize(plausible(chosen, classes, percent), "plausible"), texts, percent), "links")
         links = found if links is None else links.unionByName(found)
         tried = chosen if tried is None else tried.unionByName(chosen)
     state = _with_part(members, links).join(classes.select("k", "n", "bitmap"), "k")
