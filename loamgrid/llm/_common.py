@@ -6,6 +6,7 @@ batch and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handed to one vectorised pass, in bytes; a longer document is a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows of one Arrow batch, where the session does not say otherwise.
 BATCH_ROWS = 1000
 #: The id that stands for a null doc_id: below every other id.
@@ -57,6 +58,14 @@ def crc_mod(doc_id, n: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and the next stage's code shares an executor with them."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows whose texts hold about ``limit`` bytes."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -67,6 +76,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -77,7 +77,7 @@ def frequent_shingles(docs: DataFrame, limit: int = FREQUENT) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for part in c.chunks(batch, limit=4 << 20):
+            for part in c.chunks(batch):
                 sets = {x.tobytes(): x for x in shingle_sets(part.column("text"))}
                 token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets.values()]), return_counts=True)
                 many = n >= 3
@@ -174,6 +174,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
         x = sets[head]
         linked = [b for b, y in zip(ids, sets) if b is not None and enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)]
         a = table.column("a")[0].as_py()
+        c.give_back()
         return pa.Table.from_arrays([pa.array([a] * len(linked), pa.int64()), pa.array(linked, pa.int64())], ["a", "b"])
 
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(run, "a long, b long")

@@ -31,7 +31,7 @@ PER_CLASS = 2000
 BINS = 10
 THRESHOLD = 0.3
 FEATURES = ["bytes", "words", "mean_word", "symbols", "upper", "marks", "digits", "stops", "beyond_ascii", "echo", "copy", "ended"]
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _member(characters: str | range) -> np.ndarray:

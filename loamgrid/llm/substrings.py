@@ -30,8 +30,8 @@ from . import _common as c
 
 WIDTH, PART = 20, 3
 #: Slots of the size count, and packed bytes that one bucket aims at.
-SLOTS, BUCKET_BYTES = 8192, 8 << 20
-CHUNK = 4 << 20
+SLOTS, BUCKET_BYTES = 8192, 4 << 20
+CHUNK = 2 << 20
 _KEY = "doc_key long, text_hash long"
 
 

@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterable
 
 #: Distinct words whose ids one worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 
 # The vocabulary's own splitting pattern, spelled out for the
 # characters up to U+00FF, all of which are unchanged by its NFC step.
