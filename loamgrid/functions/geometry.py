@@ -148,7 +148,7 @@ def intersects(a, b) -> bool:
     t1, t2 = _turn(f, e[:, :2]).T, _turn(f, e[:, 2:]).T
     if (near & (s1 * s2 <= 0) & (t1 * t2 <= 0)).any():
         return True
-    return bool(inside(f, e[:1, :2]).any() or inside(e, f[:1, :2]).any())
+    return bool(inside(f, e[:, :2]).any() or inside(e, f[:, :2]).any())  # a part may lie wholly inside
 
 
 def crosses_itself(shape) -> bool:

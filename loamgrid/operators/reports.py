@@ -130,8 +130,8 @@ def phase_summary(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("phase")
     kept = runs.withColumn("first", F.min("run").over(w)).withColumn("k", F.count("*").over(w)).filter("run > first or k = 1")
     return kept.groupBy("phase").agg(
-        F.count("*").alias("runs_kept"), F.round(F.expr("percentile(p50_ms, 0.5)"), 2).alias("p50_median_ms"), F.min("p50_ms").alias("p50_min_ms"), F.max("p50_ms").alias("p50_max_ms"),
-        F.round(F.expr("percentile(p95_ms, 0.5)"), 2).alias("p95_median_ms"), F.sum("errors").alias("total_errors"),
+        F.count("*").alias("runs_kept"), F.round(F.expr("percentile(p50_ms, 0.5)"), 3).alias("p50_median_ms"), F.min("p50_ms").alias("p50_min_ms"), F.max("p50_ms").alias("p50_max_ms"),
+        F.round(F.expr("percentile(p95_ms, 0.5)"), 3).alias("p95_median_ms"), F.sum("errors").alias("total_errors"),
     )
 
 

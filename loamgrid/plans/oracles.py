@@ -137,24 +137,24 @@ ORACLES = {
     "labels_and_groups": _with(f"SELECT crop_code, {_NAME} AS land_cover, coalesce({_NAME}, 'Unknown (' || crop_code || ')') AS label, {_GROUP} AS group_id, {_AG} AS is_agricultural, count(*) AS n FROM fx_points GROUP BY ALL"),
     "region_slugs": "SELECT replace(lower(n_name), ' ', '_') AS slug FROM nation",
     "square_fields": """SELECT c_custkey, round(lon - h/(111320.0*greatest(0.1, abs(cos(radians(lat))))), 6) AS minx, round(lat + h/111320.0, 6) AS maxy FROM (SELECT c_custkey, -120 + (c_custkey % 97)/100.0 AS lon, 36 + (c_custkey % 89)/100.0 AS lat, CASE c_custkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 800 ELSE 1600 END AS h FROM customer)""",
-    "field_measure": _with(f"SELECT field_id, 'ok' AS status, round(query_acres, 3) AS query_acres FROM fields", "fields"),
-    "field_hits": _with("SELECT field_id, mukey, round(inter_m2, 3) AS inter_m2 FROM hits", "fields"),
-    "field_totals": _with("SELECT f.field_id, round(coalesce(sum(a.inter_m2), 0), 3) AS answered_m2, count(a.mukey) AS map_units FROM fields f LEFT JOIN ans a ON a.field_id = f.field_id GROUP BY f.field_id", "fields"),
-    "field_soil_summary": _with("SELECT s.field_id, round(rated_m2, 3) AS rated_m2, round(cultivable_m2, 3) AS cultivable_m2, round(irrigable_m2, 3) AS irrigable_m2, round(slope_pct, 6) AS slope_pct, round(water_storage, 6) AS water_storage, dominant_soil, dominant_drainage FROM soilsum s LEFT JOIN domin d ON d.field_id = s.field_id", "fields"),
-    "field_breakdown": _with("SELECT field_id, 'cover' AS row_kind, land_cover, crop_code, is_agricultural, NULL AS drought_class, round(acres, 4) AS acres, round(pixels, 4) AS pixels FROM cover UNION ALL SELECT field_id, 'drought', NULL, NULL, NULL, drought_class, round(acres, 4), round(pixels, 4) FROM dry", "fields"),
-    "field_groups": _with(f"SELECT field_id, group_id, round(sum(acres), 4) AS acres FROM (SELECT field_id, acres, {_GROUP} AS group_id FROM cover) GROUP BY ALL", "fields"),
-    "field_top_crops": _with("SELECT c.field_id, rn, crop_code, round(acres, 4) AS acres, hidden, round(hidden_acres, 4) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn, greatest(count(*) OVER (PARTITION BY field_id) - 3, 0) AS hidden FROM cover) c JOIN (SELECT field_id, coalesce(sum(acres) FILTER (WHERE rn > 3), 0) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn FROM cover) GROUP BY field_id) h ON h.field_id = c.field_id WHERE rn <= 3", "fields"),
-    "field_response": _with(f"""SELECT f.field_id, round(f.query_acres, 2) AS query_acres, CASE WHEN b.t IS NULL THEN 0 ELSE round(coalesce(t.a, 0)/{ACRE}, 2) END AS answered_acres, CASE WHEN b.t IS NULL THEN 0 ELSE coalesce(t.n, 0) END AS map_units, round(s.cultivable_m2/nullif(s.rated_m2, 0), 4) AS cultivable_share, round(b.ag/b.t, 4) AS agricultural_share, coalesce(b.k, 0) AS covers FROM fields f
+    "field_measure": _with(f"SELECT field_id, 'ok' AS status, round(query_acres + 1e-7, 3) AS query_acres FROM fields", "fields"),
+    "field_hits": _with("SELECT field_id, mukey, round(inter_m2 + 1e-7, 3) AS inter_m2 FROM hits", "fields"),
+    "field_totals": _with("SELECT f.field_id, round(coalesce(sum(a.inter_m2), 0) + 1e-7, 3) AS answered_m2, count(a.mukey) AS map_units FROM fields f LEFT JOIN ans a ON a.field_id = f.field_id GROUP BY f.field_id", "fields"),
+    "field_soil_summary": _with("SELECT s.field_id, round(rated_m2 + 1e-7, 3) AS rated_m2, round(cultivable_m2 + 1e-7, 3) AS cultivable_m2, round(irrigable_m2 + 1e-7, 3) AS irrigable_m2, round(slope_pct + 1e-7, 6) AS slope_pct, round(water_storage + 1e-7, 6) AS water_storage, dominant_soil, dominant_drainage FROM soilsum s LEFT JOIN domin d ON d.field_id = s.field_id", "fields"),
+    "field_breakdown": _with("SELECT field_id, 'cover' AS row_kind, land_cover, crop_code, is_agricultural, NULL AS drought_class, round(acres + 1e-7, 4) AS acres, round(pixels + 1e-7, 4) AS pixels FROM cover UNION ALL SELECT field_id, 'drought', NULL, NULL, NULL, drought_class, round(acres + 1e-7, 4), round(pixels + 1e-7, 4) FROM dry", "fields"),
+    "field_groups": _with(f"SELECT field_id, group_id, round(sum(acres) + 1e-7, 4) AS acres FROM (SELECT field_id, acres, {_GROUP} AS group_id FROM cover) GROUP BY ALL", "fields"),
+    "field_top_crops": _with("SELECT c.field_id, rn, crop_code, round(acres + 1e-7, 4) AS acres, hidden, round(hidden_acres + 1e-7, 4) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn, greatest(count(*) OVER (PARTITION BY field_id) - 3, 0) AS hidden FROM cover) c JOIN (SELECT field_id, coalesce(sum(acres) FILTER (WHERE rn > 3), 0) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn FROM cover) GROUP BY field_id) h ON h.field_id = c.field_id WHERE rn <= 3", "fields"),
+    "field_response": _with(f"""SELECT f.field_id, round(f.query_acres, 3) AS query_acres, CASE WHEN b.t IS NULL THEN 0 ELSE round(coalesce(t.a, 0)/{ACRE}, 3) END AS answered_acres, CASE WHEN b.t IS NULL THEN 0 ELSE coalesce(t.n, 0) END AS map_units, round(s.cultivable_m2/nullif(s.rated_m2, 0) + 1e-7, 4) AS cultivable_share, round(b.ag/b.t + 1e-7, 4) AS agricultural_share, coalesce(b.k, 0) AS covers FROM fields f
  LEFT JOIN (SELECT field_id, sum(inter_m2) AS a, count(*) AS n FROM ans GROUP BY field_id) t ON t.field_id = f.field_id LEFT JOIN soilsum s ON s.field_id = f.field_id
  LEFT JOIN (SELECT field_id, coalesce(nullif(sum(acres), 0), 1) AS t, coalesce(sum(acres) FILTER (WHERE is_agricultural), 0) AS ag, count(*) AS k FROM cover GROUP BY field_id) b ON b.field_id = f.field_id""", "fields"),
     "headline_counts": _with("""SELECT headline, count(*) AS fields FROM (SELECT CASE WHEN coalesce(s.rated_m2, 0) = 0 THEN 'No soil rating for this area.' WHEN k >= 0.5 AND g >= 0.5 THEN 'Capable ground, and it is being farmed.' WHEN k >= 0.5 AND g < 0.2 THEN 'Cultivable ground, largely out of production.' WHEN k < 0.2 AND g < 0.2 THEN 'Marginal ground, and used as such.' WHEN k < 0.2 AND g >= 0.5 THEN 'Farmed well beyond what the soil alone would carry.' ELSE 'Mixed ground, partly in production.' END AS headline
  FROM (SELECT b.field_id, s.rated_m2, s.cultivable_m2/nullif(s.rated_m2, 0) AS k, b.ag/b.t AS g FROM (SELECT field_id, coalesce(nullif(sum(acres), 0), 1) AS t, coalesce(sum(acres) FILTER (WHERE is_agricultural), 0) AS ag FROM cover GROUP BY field_id) b LEFT JOIN soilsum s ON s.field_id = b.field_id) s) GROUP BY headline""", "fields"),
-    "field_mapunits": _with("SELECT field_id, mukey, round(inter_m2, 2) AS inter_m2, rn, n > 5 AS truncated FROM (SELECT h.*, row_number() OVER (PARTITION BY field_id ORDER BY round(inter_m2, 3) DESC, mukey) AS rn, count(*) OVER (PARTITION BY field_id) AS n FROM hits h WHERE inter_m2 > 0 AND mukey IN (SELECT mukey FROM roverlay)) WHERE rn <= 5", "fields"),
+    "field_mapunits": _with("SELECT field_id, mukey, round(inter_m2 + 1e-7, 2) AS inter_m2, rn, n > 5 AS truncated FROM (SELECT h.*, row_number() OVER (PARTITION BY field_id ORDER BY round(inter_m2, 3) DESC, mukey) AS rn, count(*) OVER (PARTITION BY field_id) AS n FROM hits h WHERE inter_m2 > 0 AND mukey IN (SELECT mukey FROM roverlay)) WHERE rn <= 5", "fields"),
     "consistency": "SELECT 0 AS field_id, 0.0 AS cover_acres, 0.0 AS drought_acres WHERE false",
     "dedupe_fields": _with("SELECT count(*) AS drawings, (SELECT count(*) FROM fx_fields)*2 AS fields FROM (SELECT DISTINCT minx, miny, maxx, maxy FROM fx_fields)"),
     "zone_area_share": _with("SELECT f.field_id AS outline_id, d.drought_class, round(sum(cast((least(f.maxx,d.maxx)-greatest(f.minx,d.minx))*(least(f.maxy,d.maxy)-greatest(f.miny,d.miny)) AS double)), 2) AS m2 FROM fx_fields f JOIN fx_drought d ON f.minx <= d.maxx AND f.maxx >= d.minx AND f.miny <= d.maxy AND f.maxy >= d.miny GROUP BY ALL"),
     "latency_summary": _FX + ",\n" + _RUNS + " SELECT phase, run, requests, errors, hit_rate, ok, p50_ms, p95_ms, p99_ms, min_ms, max_ms FROM runs",
-    "phase_summary": _FX + ",\n" + _RUNS + " SELECT phase, count(*) AS runs_kept, round(median(p50_ms), 2) AS p50_median_ms, min(p50_ms) AS p50_min_ms, max(p50_ms) AS p50_max_ms, round(median(p95_ms), 2) AS p95_median_ms, sum(errors) AS total_errors FROM (SELECT *, min(run) OVER (PARTITION BY phase) AS f, count(*) OVER (PARTITION BY phase) AS k FROM runs) WHERE run > f OR k = 1 GROUP BY phase",
+    "phase_summary": _FX + ",\n" + _RUNS + " SELECT phase, count(*) AS runs_kept, round(median(p50_ms), 3) AS p50_median_ms, min(p50_ms) AS p50_min_ms, max(p50_ms) AS p50_max_ms, round(median(p95_ms), 3) AS p95_median_ms, sum(errors) AS total_errors FROM (SELECT *, min(run) OVER (PARTITION BY phase) AS f, count(*) OVER (PARTITION BY phase) AS k FROM runs) WHERE run > f OR k = 1 GROUP BY phase",
     "run_summary": "SELECT count(*) AS runs, sum(CASE WHEN s >= 100 THEN 1 ELSE 0 END) AS excluded, round(median(s) FILTER (WHERE s < 100), 3) AS median_s, round(min(s), 3) AS min_s, round(max(s) FILTER (WHERE s < 100), 3) AS max_s, round(stddev_samp(s) FILTER (WHERE s < 100), 4) AS stdev_s, round(max(r)/median(s) FILTER (WHERE s < 100), 1) AS records_per_s FROM (SELECT event_id, 1 + (event_id*7919 % 12000)/100.0::double AS s, 1000000 AS r FROM events)",
     "tiles_for_aoi": _with("SELECT DISTINCT t.tr AS row, t.tc AS col FROM (SELECT r.i AS tr, c.i AS tc FROM (SELECT unnest(range(0, 4)) AS i) r, (SELECT unnest(range(0, 6)) AS i) c) t JOIN fx_fields f ON f.field_id % 40 = 0 AND f.minx <= -2000000 + (t.tc+1)*1000 AND f.maxx >= -2000000 + t.tc*1000 AND f.miny <= 1700000 + (t.tr+1)*1000 AND f.maxy >= 1700000 + t.tr*1000"),
     "raster_points": _with("SELECT x, y, crop_code FROM fx_points"),

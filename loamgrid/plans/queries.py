@@ -32,7 +32,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _round(df: DataFrame, **places: int) -> DataFrame:
-    return df.withColumns({c: F.round(c, d) for c, d in places.items()})
+    # a ten-millionth first, so that exact halves round alike in every engine
+    return df.withColumns({c: F.round(F.col(c) + 1e-7, d) for c, d in places.items()})
 
 
 def _dry_soil(s: SparkSession, d: str) -> DataFrame:
@@ -323,8 +324,7 @@ def raster_points(s, d):
     """Points gathered into raster tiles of one pixel row each, and read from them again."""
     p = X.points(s, d)
     row = F.floor((F.col("y") - X.Y0) / 30).cast("int")
-    byte = F.col("crop_code").cast("tinyint")
-    cell = F.struct(((F.col("x") - X.X0) / 30).cast("int").alias("c"), F.format_string("%02x", byte).alias("h"))
+    cell = F.struct(((F.col("x") - X.X0) / 30).cast("int").alias("c"), F.format_string("%02x", F.col("crop_code")).alias("h"))
     rows = p.groupBy(row.alias("row")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     band = F.unhex(F.array_join(F.transform("cells", lambda x: x["h"]), ""))
     tiles = rows.select(
@@ -442,7 +442,7 @@ def field_top_crops(s, d):
 @_query
 def field_response(s, d):
     r = _response(s, d)
-    return r.select("field_id", F.round("query_acres", 2).alias("query_acres"), F.round("answered_acres", 2).alias("answered_acres"), "map_units", F.round("cultivable_share", 4).alias("cultivable_share"), F.round("agricultural_share", 4).alias("agricultural_share"), F.greatest(F.size(F.coalesce("breakdown", F.array())), F.lit(0)).cast("long").alias("covers"))
+    return r.select("field_id", F.round("query_acres", 3).alias("query_acres"), F.round("answered_acres", 3).alias("answered_acres"), "map_units", F.round(F.col("cultivable_share") + 1e-7, 4).alias("cultivable_share"), F.round(F.col("agricultural_share") + 1e-7, 4).alias("agricultural_share"), F.greatest(F.size(F.coalesce("breakdown", F.array())), F.lit(0)).cast("long").alias("covers"))
 
 
 @_query
