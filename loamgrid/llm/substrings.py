@@ -30,8 +30,8 @@ from . import _common as c
 
 WIDTH, PART = 20, 3
 #: Slots of the size count, and packed bytes that one bucket aims at.
-SLOTS, BUCKET_BYTES = 8192, 4 << 20
-CHUNK = 2 << 20
+SLOTS, BUCKET_BYTES = 8192, 8 << 20
+CHUNK = 4 << 20
 _KEY = "doc_key long, text_hash long"
 
 
@@ -236,6 +236,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUC
             lead = np.searchsorted(classes, classes)
             later = (doc != doc[lead]) | (text != text[lead]) | (start != start[lead])
             found = _cover(doc[later], text[later], start[later], width)
+        c.give_back()
         return pa.Table.from_arrays([pa.array(x) for x in found.T.copy()], names)
 
     ranges = source.mapInArrow(scatter, "bucket long, packed binary, n long").groupBy("bucket").applyInArrow(settle, f"{_KEY}, first long, after long")
