@@ -36,10 +36,12 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 #: Bits of a bitmap for each shingle, at least; leaves below a node of the lowest level, nodes below a higher one.
-BITS, LEAF, FANOUT = 6, 16, 8
+BITS, LEAF, FANOUT = 4, 16, 8
 #: Shingles known as frequent are at most so many; they change the order of shingles only, not the result.
 FREQUENT = 100_000
-ROUNDS, BLOCK, STAR = 2, 2048, 256
+ROUNDS, BLOCK, STAR = 4, 2048, 256
+#: Ids up to which a scan of the texts is filtered by broadcast (24 bytes each); beyond it by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -96,7 +98,11 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, k, n, prefix, bitmap): k names the set, prefix holds the shingles of which two linked sets share one."""
+    """(doc_id, text_hash, k, n, short, prefix, bitmap): k names the set.
+
+    Two linked sets share a shingle of their prefixes, and it is among the first
+    ``short`` of the smaller one's.
+    """
     order = np.argsort(frequent)
     known, rank = frequent[order], order.astype(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast((known, rank))  # at most FREQUENT entries
@@ -105,7 +111,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
         known, rank = shared.value
         for batch in batches:
             for part in c.chunks(batch):
-                ks, ns, prefixes, maps = [], [], [], []
+                ks, ns, shorts, prefixes, maps = [], [], [], [], []
                 for x in shingle_sets(part.column("text")):
                     n = len(x)
                     size = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -113,19 +119,20 @@ def signatures(docs: DataFrame, frequent: np.ndarray, percent: int = PERCENT) ->
                     if len(known) and n:
                         spot = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         key = np.where(known[spot] == x, np.uint64(2**63) + rank[spot], key)
-                    chosen = x[np.argpartition(key, size - 1)[:size]] if n else x
+                    chosen = x[np.argsort(key, kind="stable")[:size]] if n else x
                     prefixes.append(chosen.view(np.int64))
                     maps.append(_bitmap(x) if n else b"")
                     ns.append(n)
+                    shorts.append(n - (2 * percent * n + 99 + percent) // (100 + percent) + 1 if n else 0)
                     ks.append(int((c.mix(np.array([n], np.uint64)) + np.add.reduce(c.mix(x, 3)))[0].view(np.int64)))
                 ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
                 flat = pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(maps, pa.binary())],
-                    ["doc_id", "text_hash", "k", "n", "prefix", "bitmap"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(ks, pa.int64()), pa.array(ns, pa.int64()), pa.array(shorts, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(maps, pa.binary())],
+                    ["doc_id", "text_hash", "k", "n", "short", "prefix", "bitmap"],
                 )
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, k long, n long, prefix array<long>, bitmap binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, k long, n long, short long, prefix array<long>, bitmap binary")
 
 
 def groups(classes: DataFrame) -> DataFrame:
@@ -134,8 +141,9 @@ def groups(classes: DataFrame) -> DataFrame:
     All shingles whose least class is g make one group, so a class stands in it once.
     """
     same = Window.partitionBy("token")
-    posts = classes.select("k", F.explode("prefix").alias("token")).withColumn("g", F.min("k").over(same)).withColumn("last", F.max("k").over(same))
-    return posts.filter("g < last").select("g", "k").distinct()
+    posts = classes.select("k", "short", F.posexplode("prefix").alias("at", "token")).withColumn("early", F.col("at") < F.col("short"))
+    posts = posts.select("k", "token", F.min("k").over(same).alias("g"), F.max("k").over(same).alias("last"), F.max("early").over(same).alias("early"))
+    return posts.filter("g < last and early").select("g", "k").distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -160,8 +168,19 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return sized.filter(run("n_a", "n_b", "map_a", "map_b")).select("a", "b")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach ``percent``, compared on the shingles of the whole texts (k, text)."""
+def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(k, text) of the classes that ``pairs`` name."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    rows = c.materialize(ids.join(classes.select("k", F.struct("doc_id", "text_hash").alias("row")), "k"), "ids")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    found = docs.select(F.struct("doc_id", "text_hash").alias("row"), "text").join(rows, "row")
+    return found.groupBy("k").agg(F.first("text").alias("text"))
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets reach ``percent``, compared on the shingles of the whole texts."""
+    texts = texts_of(pairs, classes, docs)
     stars = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     members = pairs.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     members = members.join(texts.withColumnRenamed("k", "b"), "b").select("a", "part", "b", "text")
@@ -234,12 +253,13 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int = PERCENT) ->
     return a, b
 
 
-def tree_candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that a group's trees leave: members are (g, k, n, bitmap, part)."""
+def tree_candidates(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components that a group's trees leave: members are (g, k, part)."""
     sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    dealt = members.join(sizes.select("g", blocks.alias("blocks")), "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pairs))
+    live = members.join(sizes.select("g", blocks.alias("blocks")), "g").join(classes.select("k", "n", "bitmap"), "k")
+    dealt = live.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pairs))
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -288,12 +308,9 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     rows = c.materialize(signatures(docs, frequent_shingles(docs), percent), "signatures")
     full = rows.filter("n > 0")
-    classes = full.groupBy("k").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
-    classes = c.materialize(classes.select("k", "n", "prefix", "bitmap", "row.doc_id", "row.text_hash"), "classes")
+    classes = full.groupBy("k").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
+    classes = c.materialize(classes.select("k", "n", "short", "prefix", "bitmap", "row.doc_id", "row.text_hash"), "classes")
     members = c.materialize(groups(classes), "groups")
-    near = members.select("k").distinct().join(classes.select("k", F.struct("doc_id", "text_hash").alias("row")), "k")
-    texts = c.materialize(docs.select(F.struct("doc_id", "text_hash").alias("row"), "text").join(near, "row", "right").groupBy("k").agg(F.first("text").alias("text")), "texts")
-
     links, tried = None, None
     for _ in range(ROUNDS):
         state = c.materialize(_with_part(members, links), "parts")
@@ -305,14 +322,14 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         chosen = c.materialize(chosen, "star")
         if chosen.isEmpty():
             break
-        found = c.materialize(verify(c.materialize(plausible(chosen, classes, percent), "plausible"), texts, percent), "links")
+        found = c.materialize(verify(c.materialize(plausible(chosen, classes, percent), "plausible"), classes, docs, percent), "links")
         links = found if links is None else links.unionByName(found)
         tried = chosen if tried is None else tried.unionByName(chosen)
-    state = _with_part(members, links).join(classes.select("k", "n", "bitmap"), "k")
-    late = c.materialize(tree_candidates(state, percent), "candidates")
+    state = c.materialize(_with_part(members, links), "parts")
+    late = c.materialize(tree_candidates(state, classes, percent), "candidates")
     if tried is not None:
         late = late.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = verify(late, texts, percent)
+    found = verify(c.materialize(late, "late"), classes, docs, percent)
     links = c.materialize(found if links is None else links.unionByName(found), "links")
     roots = c.materialize(classes.join(components(links).withColumnRenamed("id", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("root"), "doc_id"), "roots")
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
