@@ -1,6 +1,7 @@
 """Land queries against their SQL on the smallest tables, and golden values."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ FAST = ["overlay", "overlay_broadcast", "overlay_chunked", "overlay_skew", "matc
 
 
 def rows(frame):
-    plain = lambda v: "null" if v is None or v != v else (v if isinstance(v, (bool, str)) or type(v).__name__ == "bool_" else round(float(v), 6))
+    plain = lambda v: "null" if pd.isna(v) else (v if isinstance(v, (bool, str)) or type(v).__name__ == "bool_" else round(float(v), 6))
     return sorted((tuple(str(plain(v)) for v in r) for r in frame[sorted(frame.columns)].astype(object).values.tolist()), key=str)
 
 
