@@ -136,11 +136,21 @@ def inside(edges: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (up & left).sum(0) % 2 == 1
 
 
+def _clear(e: np.ndarray, f: np.ndarray) -> bool:
+    """Whether no edge of f comes near the box of e: then e is wholly inside or wholly outside f."""
+    x0, y0 = e[:, [0, 2]].min(), e[:, [1, 3]].min()
+    x1, y1 = e[:, [0, 2]].max(), e[:, [1, 3]].max()
+    return not ((f[:, [0, 2]].min(1) <= x1) & (f[:, [0, 2]].max(1) >= x0) & (f[:, [1, 3]].min(1) <= y1) & (f[:, [1, 3]].max(1) >= y0)).any()
+
+
 def intersects(a, b) -> bool:
     """Whether two shapes share a point; touching counts."""
     e, f = edges_of(a), edges_of(b)
     if not len(e) or not len(f):
         return False
+    for x, y in ((e, f), (f, e)):
+        if _clear(x, y):
+            return bool(inside(y, x[:1, :2])[0])
     low = lambda x, i, j: np.minimum(x[:, i], x[:, j])
     high = lambda x, i, j: np.maximum(x[:, i], x[:, j])
     near = (low(e, 0, 2)[:, None] <= high(f, 0, 2)) & (low(f, 0, 2) <= high(e, 0, 2)[:, None]) & (low(e, 1, 3)[:, None] <= high(f, 1, 3)) & (low(f, 1, 3) <= high(e, 1, 3)[:, None])
@@ -208,6 +218,35 @@ def trapezoids(a, b) -> np.ndarray:
     return np.array(rows).reshape(-1, 6)
 
 
+def _shoelace(shape) -> float:
+    total = 0.0
+    for poly in shape:
+        for i, r in enumerate(poly):
+            x, y = (r - r[0]).T
+            total += abs((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2 * (1 if i == 0 else -1)
+    return float(total)
+
+
+def overlap_area(a, b) -> float:
+    """Area of the common interior; a shape clear of the other's edges needs no cutting."""
+    e, f = edges_of(a), edges_of(b)
+    if len(e) and len(f):
+        for shape, x, y in ((a, e, f), (b, f, e)):
+            if _clear(x, y):
+                return _shoelace(shape) if inside(y, x[:1, :2])[0] else 0.0
+    return _area(trapezoids(a, b))
+
+
+def overlap(a, b) -> list:
+    """The common interior; a shape wholly inside the other is kept as it is."""
+    e, f = edges_of(a), edges_of(b)
+    if len(e) and len(f):
+        for shape, x, y in ((a, e, f), (b, f, e)):
+            if _clear(x, y):
+                return shape if inside(y, x[:1, :2])[0] else []
+    return _shape(trapezoids(a, b))
+
+
 def _area(t: np.ndarray) -> float:
     return float(((t[:, 3] - t[:, 2] + t[:, 5] - t[:, 4]) / 2 * (t[:, 1] - t[:, 0])).sum())
 
@@ -245,8 +284,8 @@ def _pairwise(kind: str, f):
     return run
 
 
-intersection_area = _pairwise("double", lambda a, b: _area(trapezoids(a, b)))
-intersection = _pairwise(RINGS, lambda a, b: _shape(trapezoids(a, b)))
+intersection_area = _pairwise("double", overlap_area)
+intersection = _pairwise(RINGS, overlap)
 shapes_intersect = _pairwise("boolean", intersects)
 
 
