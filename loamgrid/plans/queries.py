@@ -399,7 +399,7 @@ def _soil_summary(s, d):
 
 
 def _response(s, d):
-    w, o = _weighted(s, d), _roverlay(s, d)
+    w, o = _weighted(s, d).persist(), _roverlay(s, d).persist()  # the spatial part is used three times
     return FL.area_response(_fields(s, d), FL.field_totals(w, o, _fields(s, d)), FL.soil_summary(w, o, X.fixture(s, d, "fx_attr")), FL.area_breakdown(w, o))
 
 
