@@ -104,12 +104,12 @@ def match_multiplicity(s, d):
 
 @_query
 def scanline_truth(s, d):
-    return O.scanline_counts(X.points(s, d), X.soil(s, d).filter("shape < 4"), 30, X.X0 + 15, X.Y0 + 15)
+    return O.scanline_counts(X.points(s, d), X.soil(s, d), 30, X.X0 + 15, X.Y0 + 15)
 
 
 @_query
 def validate_overlay(s, d):
-    soil = X.soil(s, d).filter("shape < 4")
+    soil = X.soil(s, d)
     by_unit = lambda c: c.join(soil.select("polygon_id", "mukey"), "polygon_id").groupBy("mukey", "crop_code").agg(F.sum("pixels").alias("pixels"))
     return RP.validate_overlay(by_unit(O.polygon_crop_counts(X.points(s, d), soil, X.CELL)), by_unit(scanline_truth(s, d)))
 
@@ -370,24 +370,20 @@ def link_round_trip(s, d):
 # --- fields ---------------------------------------------------------------
 
 
-def _rsoil(s, d):
-    return X.soil(s, d).filter("shape < 4")
-
-
 def _fields(s, d):
     return FL.validate_fields(X.rectangles(s, d, "fx_fields"), projected=True).filter("status = 'ok'")
 
 
 def _pairs(s, d):
-    return FL.field_pairs(_fields(s, d), _rsoil(s, d), 1500)
+    return FL.field_pairs(_fields(s, d), X.soil(s, d), 1500)
 
 
 def _weighted(s, d):
-    return FL.weighted_hits(FL.field_hits(_pairs(s, d)), P.mukey_area(_rsoil(s, d)))
+    return FL.weighted_hits(FL.field_hits(_pairs(s, d)), P.mukey_area(X.soil(s, d)))
 
 
 def _roverlay(s, d):
-    return O.build_overlay(X.points(s, d), O.attach_drought(_rsoil(s, d), X.rectangles(s, d, "fx_drought"), 3000), X.CELL)
+    return O.build_overlay(X.points(s, d), O.attach_drought(X.soil(s, d), X.rectangles(s, d, "fx_drought"), 3000), X.CELL)
 
 
 def _breakdown(s, d):
