@@ -315,8 +315,10 @@ def square_fields(s, d):
 
 @_query
 def tiles_for_aoi(s, d):
-    counties = X.rectangles(s, d, "fx_fields").filter("field_id % 40 = 0")
-    return P.tiles_for_aoi(counties, (X.X0, X.Y0, X.X0 + 6000, X.Y0 + 4000), 1000).select("row", "col")
+    counties = X.rectangles(s, d, "fx_fields")
+    ends = [F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")]
+    box = [v or 0 for v in R.with_bbox(counties).agg(*ends).first()]  # no outline touches the one tile of an empty box
+    return P.tiles_for_aoi(counties, box, 1000).select("row", "col")
 
 
 @_query

@@ -62,3 +62,18 @@ def test_row_spans_cover_sloped_edges(spark, con, name):
     out = QUERIES[name](spark, SF)
     want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({sql})").fetchall()
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_tiles_cover_every_outline(spark):
+    boxes = X.fixture(spark, SF, "fx_fields").select("minx", "miny", "maxx", "maxy").collect()
+    x0, y0 = min(b["minx"] for b in boxes), min(b["miny"] for b in boxes)
+    want = set()
+    for b in boxes:
+        # a tile is closed: an outline that ends on its side touches it
+        for col in range((b["minx"] - x0 - 1) // 1000, (b["maxx"] - x0) // 1000 + 1):
+            for row in range((b["miny"] - y0 - 1) // 1000, (b["maxy"] - y0) // 1000 + 1):
+                if x0 + col * 1000 < max(o["maxx"] for o in boxes) and y0 + row * 1000 < max(o["maxy"] for o in boxes):
+                    want.add((row, col))
+    want = {t for t in want if min(t) >= 0}
+    got = [tuple(r) for r in QUERIES["tiles_for_aoi"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
