@@ -434,7 +434,7 @@ def field_groups(s, d):
 @_query
 def field_top_crops(s, d):
     rows = _breakdown(s, d).withColumn("acres", F.round("acres", 6))
-    return _round(FL.top_crops(rows, 3), acres=4, hidden_acres=4).drop("land_cover")
+    return _round(FL.top_crops(rows), acres=4, hidden_acres=4).drop("land_cover")
 
 
 @_query
@@ -460,13 +460,13 @@ QUERIES["headline_counts"] = QUERIES.pop("headline_counts_of_fields")
 
 @_query
 def field_mapunits(s, d):
-    return _round(FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"), 5), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated")
+    return _round(FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr")), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated")
 
 
 @_query
 def field_features(s, d):
     """One GeoJSON FeatureCollection for each field."""
-    units = FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"), 20)
+    units = FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"))
     return T.feature_collection(units, "field_id", "geojson", ["mukey", "muname", "land_cover", "field_acres"])
 
 

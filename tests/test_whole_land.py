@@ -2,7 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from loamgrid.functions import rings as R
+from loamgrid.operators import fields as FL
 from loamgrid.plans import fixtures as X
 from loamgrid.plans.oracles import ORACLES
 from loamgrid.plans.queries import QUERIES
@@ -77,3 +80,23 @@ def test_tiles_cover_every_outline(spark):
     want = {t for t in want if min(t) >= 0}
     got = [tuple(r) for r in QUERIES["tiles_for_aoi"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_land_queries_use_the_operators_own_limits(spark):
+    ranked = QUERIES["field_mapunits"](spark, SF).collect()
+    hits = {k for k in brute_hits(spark)}
+    assert not any(r["truncated"] for r in ranked)
+    assert {(r["field_id"], r["mukey"]) for r in ranked} <= hits and max(r["rn"] for r in ranked) > 5
+    crops = QUERIES["field_top_crops"](spark, SF).collect()
+    assert max(r["rn"] for r in crops) == 8
+
+
+def test_truncation_is_told(spark):
+    overlay = spark.createDataFrame([(str(u), "M", "CA", 1, -1, 10, 2.0, "Corn", True) for u in range(3)], "mukey string, musym string, areasymbol string, crop_code int, drought_class int, pixels long, acres double, land_cover string, is_agricultural boolean")
+    square = lambda a, b: R.rectangle(F.lit(float(a)), F.lit(0.0), F.lit(float(b)), F.lit(10.0))
+    soil = spark.range(3).select(F.col("id").alias("polygon_id"), F.col("id").cast("string").alias("mukey"), R.rectangle(F.col("id") * 10.0, F.lit(0.0), F.col("id") * 10.0 + 10.0, F.lit(10.0)).alias("rings"))
+    fields = spark.range(1).select(F.lit(7).alias("field_id"), square(0, 25).alias("rings"))
+    attrs = spark.createDataFrame([], "mukey string, muname string")
+    for cap, units in ((2, 2), (3, 3)):
+        got = FL.area_mapunits(FL.field_pairs(fields, soil, 50), overlay, attrs, cap).collect()
+        assert len(got) == units and all(r["truncated"] == (cap < 3) for r in got)
