@@ -2,17 +2,21 @@
 
 Merges come from an agenda ordered by the model's scores. Each candidate, that
 is a start within its segment and the piece that would result, is skipped for
-good if a hash keyed by the seed falls below ``dropout``; another seed gives
-another segmentation of the same text, and ``dropout`` 0 gives the model's own.
+good if a hash keyed by the seed, the document (doc_id and text) and the
+segment's place in the text falls below ``dropout``; so one word is cut in
+several ways within one run, another seed gives another segmentation of the same
+text, and ``dropout`` 0 gives the model's own.
 Spaces are carried as the model's mark, characters without a piece as their
 UTF-8 bytes, and a mark that stands in the text as its bytes too, so every
 encoding decodes to the text it came from.
 
 A text is cut before its spaces and around its line breaks, which no piece
-crosses; a worker segments each distinct stretch once per seed.
+crosses. For each distinct short stretch a worker keeps the candidates that come
+up and what results if none is skipped; which are skipped is drawn anew at every
+place, and where one is, the agenda runs again.
 
 Edge cases: a null or empty text has no pieces and decodes to an empty text; a
-null doc_id is kept; rows that repeat a doc_id are encoded alike; other columns
+null doc_id is kept; rows equal in doc_id and text are encoded alike; other columns
 are ignored; texts of any length are taken whole.
 """
 
@@ -21,6 +25,8 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,8 @@ from . import _common as c
 
 MARK = "▁"
 DROPOUT, SEED = 0.1, 1
-CACHE = 900_000
+#: Nodes that a worker keeps.
+CACHE = 400_000
 #: Segments up to this length keep their agenda as a list, longer ones as a heap.
 SHORT = 24
 _NEVER = float("inf")
@@ -46,21 +53,31 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Node:
+    """A segment, the candidates that come up if none is skipped (None: not listed), and the ids that then result."""
+
+    __slots__ = ("segment", "trace", "ids")
+
+    def __init__(self, segment: str = "", trace: tuple | None = (), ids: bytes = b""):
+        self.segment, self.trace, self.ids = segment, trace, ids
+
+
 class _Words(dict):
-    """Ids of the stretch that ``lead`` and the key make; made on first use, and kept unless it is long."""
+    """Nodes of the stretch that ``lead`` and the key make; made on first use, and kept unless it is long."""
 
     def __init__(self, codec: PieceCodec, lead: str):
         self.codec, self.lead = codec, lead
 
-    def __missing__(self, rest: str) -> bytes:
+    def __missing__(self, rest: str) -> tuple[_Node, ...]:
         codec = self.codec
         if self.lead and "\n" in rest and codec.breaks:
             head, *lines = rest.split("\n")
-            return self[head] + b"".join([codec.newline + codec.bare[x] if x else codec.newline for x in lines])
-        ids = codec._segment(self.lead + rest)
-        if len(rest) < 64:
-            self[rest] = ids
-        return ids
+            return (*self[head], *(node for x in lines for node in (codec.newline, *(codec.bare[x] if x else ()))))
+        found = (codec._node(self.lead + rest),)
+        if len(rest) < 64 and codec.kept < CACHE:
+            codec.kept += 1
+            self[rest] = found
+        return found
 
 
 class PieceCodec:
@@ -84,7 +101,9 @@ class PieceCodec:
             raise ValueError("the model lacks byte pieces, without which texts would be lost")
         self.limit, self.seed = int(dropout * 2**32), seed
         self.known, self.bare = _Words(self, MARK), _Words(self, "")
-        self.newline = struct.pack("<I", self.byte_id[10])
+        self.kept, self.shared = 0, {}
+        self.newline = _Node(ids=struct.pack("<I", self.byte_id[10]))
+        self.mark = _Node(ids=struct.pack("<3I", *(self.byte_id[b] for b in MARK.encode())))
 
     def _candidate(self, key: int, segment: str, start: int, end: int) -> float:
         """Rank of the merge that would make segment[start:end]; infinite if there is none or it is skipped."""
@@ -92,10 +111,10 @@ class PieceCodec:
         rank = self.rank.get(piece)
         return _NEVER if rank is None or (self.limit and xxhash.xxh32_intdigest(piece, key + start) < self.limit) else rank
 
-    def merges(self, segment: str) -> list[int]:
-        """Ends of the pieces of one segment, by agenda: best rank first, then leftmost."""
+    def merges(self, segment: str, place: int | None = None) -> list[int]:
+        """Ends of the pieces of one segment, by agenda: best rank first, then leftmost; ``place`` stands for the seed."""
         n = len(segment)
-        key = xxhash.xxh32_intdigest(segment, self.seed) if self.limit else 0
+        key = xxhash.xxh32_intdigest(segment, self.seed if place is None else place) if self.limit else 0
         return self._short(segment, n, key) if n <= SHORT else self._long(segment, n, key)
 
     def _short(self, segment: str, n: int, key: int) -> list[int]:
@@ -138,10 +157,53 @@ class PieceCodec:
                 before[after[i]] = i
         return [x for x in stop if x]
 
-    def _segment(self, segment: str) -> bytes:
+    def _traced(self, segment: str) -> tuple[list[int], tuple]:
+        """As ``merges`` with nothing skipped: ends, and each candidate (piece, start) once, as it comes up."""
+        trace: dict[tuple, tuple] = {}
+
+        def rank(start: int, end: int) -> float:
+            piece = segment[start:end]
+            found = self.rank.get(piece)
+            if found is None:
+                return _NEVER
+            at = (piece, start)
+            trace.setdefault(at, self.shared.setdefault(at, (piece.encode(), start)))
+            return found
+
+        bounds = list(range(len(segment) + 1))
+        agenda = [rank(i, i + 2) for i in range(len(segment) - 1)]
+        while agenda and (best := min(agenda)) != _NEVER:
+            k = agenda.index(best)
+            del bounds[k + 1], agenda[k]
+            if k < len(agenda):
+                agenda[k] = rank(bounds[k], bounds[k + 2])
+            if k:
+                agenda[k - 1] = rank(bounds[k - 1], bounds[k + 1])
+        return bounds[1:], tuple(trace.values())
+
+    def _node(self, segment: str) -> _Node:
+        if not self.limit:
+            return _Node(segment, ids=self._ids(segment, self.merges(segment)))
+        if len(segment) > SHORT:
+            return _Node(segment, trace=None)
+        ends, trace = self._traced(segment)
+        return _Node(segment, trace, self._ids(segment, ends))
+
+    def _at(self, node: _Node, place: int) -> bytes:
+        """Ids of a node's segment at one place."""
+        if node.trace is None:
+            return self._ids(node.segment, self.merges(node.segment, place))
+        digest, limit = xxhash.xxh32_intdigest, self.limit
+        key = digest(node.segment, place)
+        for piece, start in node.trace:
+            if digest(piece, key + start) < limit:
+                return self._ids(node.segment, self.merges(node.segment, place))
+        return node.ids
+
+    def _ids(self, segment: str, ends: list[int]) -> bytes:
         ids: list[int] = []
         start = 0
-        for end in self.merges(segment):
+        for end in ends:
             found = self.id.get(segment[start:end])
             if found is None:
                 ids += [self.byte_id[b] for b in segment[start:end].encode()]
@@ -150,29 +212,39 @@ class PieceCodec:
             start = end
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str | None) -> bytes:
+    def encode(self, text: str | None, doc: str | None = None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
             return b""
+        if self.kept >= CACHE:
+            self.known.clear()
+            self.bare.clear()
+            self.shared.clear()
+            self.kept = 0
+        place = xxhash.xxh32_intdigest(text, xxhash.xxh32_intdigest("" if doc is None else f"={doc}", self.seed)) if self.limit else 0
+        at = self._at
+        return b"".join([node.ids if node.trace == () else at(node, (place + i) & 0xFFFFFFFF) for i, node in enumerate(self._nodes(text))])
+
+    def _nodes(self, text: str) -> Iterator[_Node]:
+        """The segments of a text, in order."""
         if MARK in text or "" in text:
-            return self._encode_marked(text)
-        for words in (self.known, self.bare):
-            if len(words) > CACHE:
-                words.clear()
+            return iter(self._marked(text))
         if "  " not in text and text[0] != " " and text[-1] != " ":  # one word after each space
-            return b"".join(map(self.known.__getitem__, text.split(" ")))
-        return b"".join([self.known[s[1:]] for s in _CUT.findall(MARK + text.replace(" ", MARK)) if s])
+            return chain.from_iterable(map(self.known.__getitem__, text.split(" ")))
+        return chain.from_iterable(self.known[s[1:]] for s in _CUT.findall(MARK + text.replace(" ", MARK)) if s)
 
-    def _encode_marked(self, text: str) -> bytes:
+    def _marked(self, text: str) -> list[_Node]:
         """A text that itself holds the mark: the mark travels as its bytes."""
-        out = []
+        out: list[_Node] = []
         for k, part in enumerate(re.split(f"([{MARK}])", text)):
             if part == MARK:
-                out.append(struct.pack("<3I", *(self.byte_id[b] for b in MARK.encode())))
+                out.append(self.mark)
             elif part or k == 0:
                 lead = MARK if k == 0 else ""
-                out += [self.known[s[1:]] if s[0] == MARK else self.bare[s] for s in _CUT.findall(lead + part.replace(" ", MARK)) if s]
-        return b"".join(out)
+                for s in _CUT.findall(lead + part.replace(" ", MARK)):
+                    if s:
+                        out += self.known[s[1:]] if s[0] == MARK else self.bare[s]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text that ``encode`` was given."""
@@ -197,11 +269,11 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: s
     c.small_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, ids: pa.Array) -> pa.Array:
         take = codec(model, dropout, seed).encode
-        return pa.array([take(t.as_py()) for t in texts], pa.binary())
+        return pa.array([take(t.as_py(), d.as_py()) for t, d in zip(texts, ids)], pa.binary())
 
-    return docs.select("doc_id", "text").withColumn("ids", run("text"))
+    return docs.select("doc_id", "text").withColumn("ids", run("text", F.col("doc_id").cast("string")))
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
