@@ -1,4 +1,4 @@
-"""Tokens, files, packing, pieces, the language model and vectors: round trips, brute force and edge cases."""
+"""Tokens, files, packing, pieces and vectors: round trips, brute force and edge cases."""
 
 import collections
 import math
@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.llm import _common as c
-from loamgrid.llm import embeddings, language_model, packing, pieces, token_files, tokens
+from loamgrid.llm import embeddings, packing, pieces, token_files, tokens
 
 ODD = ["a<|endoftext|>b  c\x1cd é ́x ΑΣ Σ İ it's\tDon'T ٣ 中文 x", "", "x" * 3000, "WE'LL we'LL ²³ \xa0\x85 ß µ"]
 
@@ -112,33 +112,6 @@ def test_pieces_lossless_and_varied(docs, no_docs, spark):
     assert pieces.decode(pieces.encode(no_docs)).count() == 0
 
 
-def test_language_model_counts_and_scores(docs, no_docs):
-    counts = c.materialize(language_model.word_counts(docs), "counts")
-    model = language_model.fit(docs, counts, cluster_words=20, classes=4, lookup_words=30)
-    seen = collections.Counter(w for r in docs.collect() for w in language_model.tokens(r["text"]))
-    assert model.train_tokens == sum(seen.values()) and model.vocabulary == len(seen)
-    assert np.allclose((10.0**model.transition).sum(1), 1)
-    got = language_model.score(docs, model, counts).collect()
-    assert len(got) == docs.count()
-    texts = collections.defaultdict(list)
-    for r in docs.collect():
-        texts[r["doc_id"]].append(language_model.tokens(r["text"]))
-    for r in got:
-        bases = [sum(math.log10((seen[w] + 1) / (sum(seen.values()) + len(seen) + 1)) for w in t) for t in texts[r["doc_id"]]]
-        assert min(abs(b - r["base_score"]) for b in bases) < 1e-8 and r["score"] < 0 and r["n_known"] == r["n_tokens"]
-    empty = c.materialize(language_model.word_counts(no_docs), "counts")
-    none = language_model.fit(no_docs, empty)
-    assert language_model.score(docs, none, empty).count() == docs.count()
-
-
-def test_exchange_raises_likelihood():
-    rng = np.random.default_rng(2)
-    truth = np.arange(24) % 3
-    table = rng.poisson(np.array([[1, 30, 1], [1, 1, 30], [30, 1, 1]])[truth][:, truth])
-    group = language_model.exchange(np.pad(table, (0, 1)), 24, 3)
-    assert all(len(set(group[:24][truth == t])) == 1 for t in range(3))
-
-
 @pytest.fixture(scope="module")
 def vectors(spark):
     r = np.random.default_rng(5)
