@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -140,10 +140,10 @@ def groups(classes: DataFrame) -> DataFrame:
 
     All shingles whose least class is g make one group, so a class stands in it once.
     """
-    same = Window.partitionBy("token")
-    posts = classes.select("k", "short", F.posexplode("prefix").alias("at", "token")).withColumn("early", F.col("at") < F.col("short"))
-    posts = posts.select("k", "token", F.min("k").over(same).alias("g"), F.max("k").over(same).alias("last"), F.max("early").over(same).alias("early"))
-    return posts.filter("g < last and early").select("g", "k").distinct()
+    posts = classes.select("k", "short", F.posexplode("prefix").alias("at", "token"))
+    # added up in each task first, so that a shingle of a million classes is no task's burden; the join may split it
+    roots = posts.groupBy("token").agg(F.min("k").alias("g"), F.max("k").alias("last"), F.max(F.col("at") < F.col("short")).alias("early"))
+    return posts.join(roots.filter("g < last and early").select("token", "g"), "token").select("g", "k").distinct()
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -255,11 +255,17 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int = PERCENT) ->
 
 def tree_candidates(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of different components that a group's trees leave: members are (g, k, part)."""
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    live = members.join(sizes.select("g", blocks.alias("blocks")), "g").join(classes.select("k", "n", "bitmap"), "k")
-    dealt = live.withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("pair", F.explode(pairs))
+    # a group's largest component comes in blocks that meet only those of all others: it is never compared with itself
+    parts = members.groupBy("g", "part").agg(F.count("*").alias("size"))
+    sizes = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "part")).alias("main")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("g", F.col("main.part").alias("main"), blocks(F.col("main.size")).alias("mains"), blocks(F.col("size") - F.col("main.size")).alias("others"))
+    live = members.join(sizes, "g").join(classes.select("k", "n", "bitmap"), "k")
+    in_main, hashed = F.col("part") == F.col("main"), F.xxhash64("k")
+    own = F.when(in_main, F.pmod(hashed, F.col("mains"))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others"))).cast("int")
+    first = F.when(in_main, F.col("mains")).otherwise(F.lit(0))
+    pairs = F.transform(F.sequence(first, F.col("mains") + F.col("others") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    dealt = live.withColumn("own", own).withColumn("pair", F.explode(pairs))
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
@@ -303,7 +309,11 @@ def _with_part(members: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id (smallest doc_id reachable) for every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, component_id and component_hash for every row of ``docs`` (doc_id, text).
+
+    These two name the row of the component with the smallest doc_id, then the
+    smallest text_hash; nulls come last.
+    """
     c.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     rows = c.materialize(signatures(docs, frequent_shingles(docs), percent), "signatures")
@@ -331,11 +341,11 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         late = late.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     found = verify(c.materialize(late, "late"), classes, docs, percent)
     links = c.materialize(found if links is None else links.unionByName(found), "links")
-    roots = c.materialize(classes.join(components(links).withColumnRenamed("id", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("root"), "doc_id"), "roots")
-    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("k", "component_id")
+    roots = c.materialize(classes.join(components(links).withColumnRenamed("id", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("root"), "doc_id", "text_hash"), "roots")
+    least = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least"))
+    named = roots.join(least, "root").select("k", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
     known = full.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k").join(named, "k").drop("k")
-    bare = rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    bare = rows.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_hash"))
     return known.unionByName(bare)
 
 
