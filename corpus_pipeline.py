@@ -2,13 +2,17 @@
 
 Each stage reads what the one before kept. Quality and toxicity drop what their
 models reject, the shingle join keeps one document of each group of near copies
-(the one with the smallest doc_id), repeated passages are cut out of the texts,
+(the one with the smallest doc_id, and of several texts under it the one with
+the smallest hash), repeated passages are cut out of the texts,
 and packing turns what is left into windows. Learning uses the labels of the
 documents that reach a stage.
 
-Edge cases are those of the operators; a document with a null doc_id is its own
-group, rows equal in doc_id and text count once after the join, and a text from
-which everything was cut stays as an empty one.
+Edge cases are those of the operators. Two texts under one doc_id that are not
+copies of each other both stay; rows equal in doc_id and text count once after
+the join; of a group without any doc_id one row stays; documents without a word
+are no copies of each other. A text from which something was cut keeps the white
+space between the words that stay; one from which everything was cut stays as an
+empty one. A table without ``lang`` gets the default threshold everywhere.
 """
 
 from __future__ import annotations
@@ -41,11 +45,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles."""
     found = jaccard.shingle_components(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
-    lone = keep.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).filter("doc_id is not null").unionByName(keep.filter("doc_id is null"))
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash")))
+    keep = keep.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_same"))
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    match = keyed["doc_id"].eqNullSafe(lone["doc_id"]) & (keyed["_hash"] == lone["text_hash"])
-    kept = keyed.join(lone, match, "left_semi")
+    kept = keyed.join(keep, (F.col("_hash") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
