@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text handed to one vectorised pass, in bytes; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
-#: Rows of one Arrow batch, where the session does not say otherwise.
-BATCH_ROWS = 1000
+#: Bytes of one Arrow batch, where the session does not ask for fewer.
+BATCH_BYTES = 4 << 20
 #: The id that stands for a null doc_id: below every other id.
 NULL_ID = -(2**63)
 
@@ -29,10 +29,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches than Spark's 10,000 rows, as rows here are whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches bounded in bytes, as rows here are whole texts; one longer text is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -60,6 +60,7 @@ def crc_mod(doc_id, n: int):
 
 def give_back() -> None:
     """Return freed memory to the system: workers live on, and the next stage's code shares an executor with them."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -113,18 +114,19 @@ def word_spans(data: np.ndarray, row_ends: np.ndarray, space: np.ndarray = _SPAC
     return starts, ends, np.searchsorted(row_ends, starts, side="right")
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+#: Values hashed in one vectorised step: what a step holds follows this and not the text.
+_STEP = 1 << 16
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _power_table() -> np.ndarray:
+    """The base's powers below _STEP, made on first use."""
+    if not _powers:
+        table = np.full(_STEP, _BASE, np.uint64)
+        table[0] = 1
+        _powers.append(np.cumprod(table, dtype=np.uint64))
+    return _powers[0]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -140,10 +142,27 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash modulo 2**64 of values[start:end] for every span, the same wherever it stands."""
-    up, down = _power_tables(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    powers, size = _power_table(), ends - starts
+    out, total = np.zeros(len(starts), np.uint64), np.append(0, np.cumsum(size))
+    at = 0
+    while at < len(starts):
+        stop = int(np.searchsorted(total, total[at] + _STEP, side="right")) - 1
+        if stop <= at:  # a span longer than a step
+            scale, n = 1, int(ends[at])
+            for i in range(int(starts[at]), n, _STEP):
+                part = values[i : min(n, i + _STEP)].astype(np.uint64) + np.uint64(1)
+                out[at] += (part * powers[: len(part)]).sum(dtype=np.uint64) * np.uint64(scale)
+                scale = scale * pow(_BASE, _STEP, 2**64) % 2**64
+            at += 1
+            continue
+        some = np.flatnonzero(size[at:stop]) + at
+        if len(some):
+            first = total[some] - total[at]
+            place = np.arange(total[stop] - total[at]) - np.repeat(first, size[some])
+            term = (values[place + np.repeat(starts[some], size[some])].astype(np.uint64) + np.uint64(1)) * powers[place]
+            out[some] = np.add.reduceat(term, first)
+        at = stop
+    return mix(out)
 
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
@@ -151,8 +170,10 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return span_hashes(values, at, at + width)
+    out = np.zeros(n, np.uint64)
+    for i in range(width):
+        out += (values[i : i + n].astype(np.uint64, copy=False) + np.uint64(1)) * np.uint64(pow(_BASE, i, 2**64))
+    return mix(out)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -163,15 +184,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> DataFrame:
-    """doc_id, lang, text and y of at most ``per_class`` documents of each label, in hash order of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, lang, text and y of at most ``per_class`` documents of each label, and how many documents have each.
 
-    Of several labels of one document the highest counts; labels other than 0 and 1 are ignored.
+    Only labels of documents in ``docs`` count, and the places of the sample go
+    to such documents alone, in hash order of their ids. Of several labels of one
+    document the lowest counts; labels other than 0 and 1 are ignored; of several
+    texts under one doc_id the one with the smallest hash is learnt from. A table
+    without ``lang`` has nulls there.
     """
-    known = labels.groupBy("doc_id").agg(F.max(column).alias("y")).filter("y in (0, 1)")
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])
-    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "lang", "text", "y")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    known = labels.groupBy("doc_id").agg(F.min(F.when(F.col(column).isin(0, 1), F.col(column))).alias("y")).filter("y is not null")
+    met = docs.select("doc_id", text_hash.alias("text_hash")).join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("text_hash").alias("text_hash"))
+    met = materialize(met, f"labelled-{column}")
+    rates = {r["y"]: r["n"] for r in met.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [met.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = picked[0].unionByName(picked[1])  # two times per_class rows at most
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", lang.cast("string").alias("lang"), "text", text_hash.alias("text_hash"))
+    return rows.join(F.broadcast(picked), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).select("doc_id", "lang", "text", "y"), rates
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

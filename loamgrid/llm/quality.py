@@ -11,7 +11,7 @@ the labels' rates.
 
 Edge cases: a null or empty text is one empty line; without usable labels of
 both kinds every score is the observed rate (1 where there is none); rows that
-repeat a doc_id are scored alike; input columns named like a result are replaced.
+repeat a doc_id are scored each by its own text; input columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def _train(model: LineField, features: np.ndarray, counts: np.ndarray, y: np.nda
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = 12) -> LineField:
     """Learn from at most ``per_class`` labelled documents of each class, one in four of them held back to calibrate."""
     c.small_batches(docs.sparkSession)
-    rates = {r["y"]: r["n"] for r in labels.groupBy("doc_id").agg(F.max("quality").alias("y")).groupBy("y").agg(F.count("*").alias("n")).filter("y in (0, 1)").collect()}
+    sample, rates = c.labelled_sample(docs, labels, "quality", per_class)
     model = LineField()
     if len(rates) < 2:
         model.constant = float(0 not in rates)
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
                 ends = np.append(0, np.cumsum(counts) * x.shape[1]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["doc_id", "y", "x"])
 
-    sample = c.labelled_sample(docs, labels, "quality", per_class).select("doc_id", F.col("y").cast("int"), "text").mapInArrow(extract, "doc_id long, y int, x array<float>")
+    sample = sample.select("doc_id", F.col("y").cast("int"), "text").mapInArrow(extract, "doc_id long, y int, x array<float>")
     table = sample.toArrow().sort_by("doc_id")
     if not len(table):
         model.constant = rates[1] / sum(rates.values())

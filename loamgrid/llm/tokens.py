@@ -8,8 +8,8 @@ import struct
 import zlib
 from collections.abc import Iterable
 
-#: Distinct words whose ids one worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 600_000
+#: Stretches and parts of them whose ids one worker keeps, all in all; beyond it the tables start anew.
+CACHE_WORDS = 500_000
 
 # The vocabulary's own splitting pattern, spelled out for the
 # characters up to U+00FF, all of which are unchanged by its NFC step.
@@ -79,9 +79,9 @@ class WordEncoder:
         return b"".join(map(self.parts.__getitem__, _SPLIT.findall(stretch.lower())))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        for known in (self.stretches, self.parts):
-            if len(known) > CACHE_WORDS:
-                known.clear()
+        if len(self.stretches) + len(self.parts) > CACHE_WORDS:
+            self.stretches.clear()
+            self.parts.clear()
         take = self.stretches.__getitem__
         return [b"".join(map(take, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
