@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..functions.geometry import intersection, intersection_area, self_crossing, shapes_intersect
+from ..functions.geometry import intersection, meeting_area, self_crossing
 from ..functions.legend import drought_label, group_dimension, land_cover_group
+from ..functions.numbers import rounded
 from ..sources.tables import to_geojson
 from .insight import insight
 from .overlay import spatial_pairs
@@ -53,14 +54,15 @@ def validate_fields(fields: DataFrame, projected: bool = False) -> DataFrame:
 
 
 def field_pairs(fields: DataFrame, soil: DataFrame, cell_m: float = 3000, key: str = "field_id") -> DataFrame:
-    """Fields and soil polygons that touch: field, polygon_id, mukey, rings_a (soil) and rings_b (field)."""
+    """Fields and soil polygons that touch: field, polygon_id, mukey, m2 in common, rings_a (soil) and rings_b (field)."""
     pairs = spatial_pairs(soil, fields, cell_m, "polygon_id", key)
-    return pairs.filter(shapes_intersect("rings_a", "rings_b")).join(soil.select("polygon_id", "mukey"), "polygon_id")
+    met = pairs.withColumn("m2", meeting_area("rings_a", "rings_b")).filter("m2 is not null")
+    return met.join(soil.select("polygon_id", "mukey"), "polygon_id")
 
 
 def field_hits(pairs: DataFrame, key: str = "field_id") -> DataFrame:
     """Intersected square metres of each field and map unit."""
-    return pairs.withColumn("m2", intersection_area("rings_a", "rings_b")).groupBy(key, "mukey").agg(F.sum("m2").alias("inter_m2"))
+    return pairs.groupBy(key, "mukey").agg(F.sum("m2").alias("inter_m2"))
 
 
 def weighted_hits(hits: DataFrame, area: DataFrame) -> DataFrame:
@@ -113,8 +115,8 @@ def group_rollup(breakdown: DataFrame) -> DataFrame:
 
 
 def top_crops(breakdown: DataFrame, k: int = 8) -> DataFrame:
-    """The first k cover rows of each field by acres, and how many more there are with how many acres."""
-    w = Window.partitionBy("field_id").orderBy(F.desc("acres"), "crop_code")
+    """The first k cover rows of each field by acres (to a millionth, then by code), and how many more there are with how many acres."""
+    w = Window.partitionBy("field_id").orderBy(rounded(F.col("acres"), 6).desc(), "crop_code")
     ranked = breakdown.filter("row_kind = 'cover'").withColumn("rn", F.row_number().over(w))
     rest = ranked.groupBy("field_id").agg(F.count(F.when(F.col("rn") > k, 1)).alias("hidden"), F.coalesce(F.sum(F.when(F.col("rn") > k, F.col("acres"))), F.lit(0.0)).alias("hidden_acres"))
     return ranked.filter(F.col("rn") <= k).select("field_id", "rn", "land_cover", "crop_code", "acres").join(rest, "field_id")
@@ -157,7 +159,7 @@ def with_attributes(df: DataFrame, attrs: DataFrame) -> DataFrame:
 
 def area_mapunits(pairs: DataFrame, overlay: DataFrame, attrs: DataFrame, cap: int = FEATURES) -> DataFrame:
     """Clipped map units of each field, largest first, ``cap`` at most, with whether there were more."""
-    cut = pairs.select("field_id", "mukey", "polygon_id", intersection_area("rings_a", "rings_b").alias("m2"), intersection("rings_a", "rings_b").alias("part")).filter("m2 > 0")
+    cut = pairs.select("field_id", "mukey", "polygon_id", "m2", "rings_a", "rings_b").filter("m2 > 0").select("field_id", "mukey", "polygon_id", "m2", intersection("rings_a", "rings_b").alias("part"))
     units = cut.groupBy("field_id", "mukey").agg(F.sum("m2").alias("inter_m2"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", "part"))), lambda x: x["part"])).alias("rings"))
     found = units.join(dominant_cover(overlay), "mukey")
     w = Window.partitionBy("field_id")
@@ -167,7 +169,7 @@ def area_mapunits(pairs: DataFrame, overlay: DataFrame, attrs: DataFrame, cap: i
 
 
 def consistency(breakdown: DataFrame) -> DataFrame:
-    """Fields whose land-cover acres and drought acres differ by more than a millionth: none, if all is well."""
+    """Land-cover acres and drought acres of each field, and whether they agree to a millionth."""
     pick = lambda k: F.coalesce(F.sum(F.when(F.col("row_kind") == k, F.col("acres"))), F.lit(0.0))
     by = breakdown.groupBy("field_id").agg(pick("cover").alias("cover_acres"), pick("drought").alias("drought_acres"))
-    return by.filter(F.abs(F.col("cover_acres") - F.col("drought_acres")) > 1e-6 * F.greatest(F.lit(1.0), F.col("cover_acres")))
+    return by.withColumn("ok", F.abs(F.col("cover_acres") - F.col("drought_acres")) <= 1e-6 * F.greatest(F.lit(1.0), F.col("cover_acres")))

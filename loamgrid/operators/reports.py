@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.legend import drought_label
+from ..functions.numbers import rounded
 
 
 def land_cover_totals(overlay: DataFrame) -> DataFrame:
@@ -113,13 +114,13 @@ def latency_summary(requests: DataFrame) -> DataFrame:
     ok = requests.filter("status = 200")
     ranked = ok.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("latency_ms"))).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
     at = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(p / 100 * F.col("n") + 0.5, 0).cast("long")))
-    pick = lambda p: F.round(F.max(F.when(F.col("rn") == at(p), F.col("latency_ms"))), 2)
+    pick = lambda p: rounded(F.max(F.when(F.col("rn") == at(p), F.col("latency_ms"))), 2)
     good = ranked.groupBy(*key).agg(
-        F.count("*").alias("ok"), F.round(F.expr("percentile(latency_ms, 0.5)"), 2).alias("p50_ms"), pick(95).alias("p95_ms"), pick(99).alias("p99_ms"),
-        F.round(F.min("latency_ms"), 2).alias("min_ms"), F.round(F.max("latency_ms"), 2).alias("max_ms"),
+        F.count("*").alias("ok"), rounded(F.expr("percentile(latency_ms, 0.5)"), 2).alias("p50_ms"), pick(95).alias("p95_ms"), pick(99).alias("p99_ms"),
+        rounded(F.min("latency_ms"), 2).alias("min_ms"), rounded(F.max("latency_ms"), 2).alias("max_ms"),
     )
     every = requests.groupBy(*key).agg(
-        F.count("*").alias("requests"), F.sum((F.col("status") != 200).cast("long")).alias("errors"), F.round(F.avg(F.col("cached").cast("double")), 4).alias("hit_rate"),
+        F.count("*").alias("requests"), F.sum((F.col("status") != 200).cast("long")).alias("errors"), rounded(F.avg(F.col("cached").cast("double")), 4).alias("hit_rate"),
         F.array_sort(F.collect_set(F.when(F.col("status") != 200, F.col("status")))).alias("error_codes"),
     )
     return every.join(good, key, "left").withColumn("ok", F.coalesce("ok", F.lit(0)))
@@ -130,8 +131,8 @@ def phase_summary(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("phase")
     kept = runs.withColumn("first", F.min("run").over(w)).withColumn("k", F.count("*").over(w)).filter("run > first or k = 1")
     return kept.groupBy("phase").agg(
-        F.count("*").alias("runs_kept"), F.round(F.expr("percentile(p50_ms, 0.5)"), 3).alias("p50_median_ms"), F.min("p50_ms").alias("p50_min_ms"), F.max("p50_ms").alias("p50_max_ms"),
-        F.round(F.expr("percentile(p95_ms, 0.5)"), 3).alias("p95_median_ms"), F.sum("errors").alias("total_errors"),
+        F.count("*").alias("runs_kept"), rounded(F.expr("percentile(p50_ms, 0.5)"), 3).alias("p50_median_ms"), F.min("p50_ms").alias("p50_min_ms"), F.max("p50_ms").alias("p50_max_ms"),
+        rounded(F.expr("percentile(p95_ms, 0.5)"), 3).alias("p95_median_ms"), F.sum("errors").alias("total_errors"),
     )
 
 

@@ -1,8 +1,9 @@
 """SQL, run by another engine, that the queries are held against.
 
 Containment is exact integer edge parity, intersections are closed forms over
-disjoint rectangles, the projection is its formula. None of it shares code with
-the operators.
+disjoint rectangles and the diamond, the projection is its formula. None of it
+shares code with the operators. Values are rounded as decimals, as the queries
+round them, so that a half is one in both engines.
 """
 
 from __future__ import annotations
@@ -23,6 +24,20 @@ _LABEL = _case("drought_class", DROUGHT_LABELS, "'Unknown'")
 _GROUP = _case("crop_code", {c: g for g, _, codes in GROUPS for c in codes}, "'other'")
 
 
+def _r(x: str, places: int) -> str:
+    return f"cast(round(cast({x} AS DECIMAL(28,9)), {places}) AS DOUBLE)"
+
+
+def _diamond(x: str, y: str, r: float = 210) -> str:
+    """Area of the diamond |u| + |v| <= r left of x and below y, both taken from its centre."""
+
+    def left(size: str) -> str:  # of all v, for the diamond of that size, halved
+        return f"(CASE WHEN {size} <= 0 OR {x} <= -({size}) THEN 0.0 WHEN {x} >= {size} THEN 1.0*({size})*({size}) WHEN {x} <= 0 THEN ({size}+{x})*({size}+{x})/2.0 ELSE 1.0*({size})*({size}) - ({size}-{x})*({size}-{x})/2.0 END)"
+
+    below, above = left(f"({r}+({y}))"), left(f"({r}-({y}))")
+    return f"(CASE WHEN {y} >= 0 THEN 2*{left(str(r))} - {above} ELSE {below} END)"
+
+
 def _hits(points: str, out: str) -> str:
     return f"""
 {out}_cand AS (SELECT p.*, s.polygon_id, s.mukey, s.musym, s.areasymbol, s.x0, s.y0, s.shape FROM (SELECT row_number() OVER () AS pid, * FROM {points}) p
@@ -49,13 +64,16 @@ _PARTS = {
     "points": [], "hits": [_hits("fx_points", "hit")], "skew": [_hits("fx_points_skew", "hits_skew")], "dry": [_SOIL_DROUGHT],
     "plain": [f"plain AS (SELECT *, {_ENRICH} FROM (SELECT mukey, musym, areasymbol, crop_code, -1 AS drought_class, count(*) AS pixels FROM hit GROUP BY ALL))"],
     "overlay": [f"overlay AS (SELECT *, {_ENRICH} FROM (SELECT d.mukey, d.musym, d.areasymbol, h.crop_code, d.drought_class, count(*) AS pixels FROM hit h JOIN soil_dry d ON d.polygon_id = h.polygon_id GROUP BY ALL))"],
-    # the field report leaves the diamonds out, whose intersections have no closed form here
     "fields": [f"""
 rsoil AS (SELECT s.mukey, s.polygon_id, s.x0+r.rx1 AS a, s.y0+r.ry1 AS b, s.x0+r.rx2 AS c, s.y0+r.ry2 AS d FROM fx_soil s JOIN fx_shape_rects r ON r.shape = s.shape),
 fields AS (SELECT *, (maxx-minx)*(maxy-miny)/{ACRE} AS query_acres FROM fx_fields),
-hits AS (SELECT f.field_id, s.mukey, sum(cast((least(f.maxx,s.c)-greatest(f.minx,s.a))*(least(f.maxy,s.d)-greatest(f.miny,s.b)) AS double)) AS inter_m2 FROM fields f JOIN rsoil s ON f.minx <= s.c AND f.maxx >= s.a AND f.miny <= s.d AND f.maxy >= s.b GROUP BY ALL),
-unit AS (SELECT mukey, sum(cast((c-a)*(d-b) AS double)) AS total_m2, count(DISTINCT polygon_id) AS polygons FROM rsoil GROUP BY mukey),
-roverlay AS (SELECT *, {_ENRICH} FROM (SELECT d.mukey, d.musym, d.areasymbol, h.crop_code, d.drought_class, count(*) AS pixels FROM hit h JOIN soil_dry d ON d.polygon_id = h.polygon_id WHERE d.shape < 4 GROUP BY ALL)),
+parts AS (
+  SELECT f.field_id, s.mukey, cast((least(f.maxx,s.c)-greatest(f.minx,s.a))*(least(f.maxy,s.d)-greatest(f.miny,s.b)) AS double) AS m2 FROM fields f JOIN rsoil s ON f.minx <= s.c AND f.maxx >= s.a AND f.miny <= s.d AND f.maxy >= s.b
+  UNION ALL SELECT field_id, mukey, {_diamond('c', 'd')} - {_diamond('a', 'd')} - {_diamond('c', 'b')} + {_diamond('a', 'b')} FROM
+   (SELECT f.field_id, s.mukey, f.minx-(s.x0+150) AS a, f.miny-(s.y0+150) AS b, f.maxx-(s.x0+150) AS c, f.maxy-(s.y0+150) AS d FROM fields f JOIN fx_soil s ON s.shape = 4) q WHERE greatest(a, 0, -c) + greatest(b, 0, -d) <= 210),
+hits AS (SELECT field_id, mukey, sum(m2) AS inter_m2 FROM parts GROUP BY ALL),
+unit AS (SELECT mukey, sum(CASE shape WHEN 0 THEN 90000.0 WHEN 1 THEN 57600.0 WHEN 2 THEN 75600.0 WHEN 3 THEN 72000.0 ELSE 88200.0 END) AS total_m2, count(*) AS polygons FROM fx_soil GROUP BY mukey),
+roverlay AS (SELECT * FROM overlay),
 weighted AS (SELECT h.*, h.inter_m2 / u.total_m2 AS fraction FROM hits h JOIN unit u ON u.mukey = h.mukey),
 ans AS (SELECT * FROM weighted w WHERE EXISTS (SELECT 1 FROM roverlay o WHERE o.mukey = w.mukey)),
 cover AS (SELECT w.field_id, o.land_cover, o.crop_code, o.is_agricultural, sum(o.acres*w.fraction) AS acres, sum(o.pixels*w.fraction) AS pixels FROM weighted w JOIN roverlay o ON o.mukey = w.mukey GROUP BY ALL),
@@ -65,7 +83,7 @@ soilsum AS (SELECT w.field_id, coalesce(sum(w.inter_m2) FILTER (WHERE a.mukey IS
   sum(w.inter_m2*a.water_storage)/nullif(sum(w.inter_m2) FILTER (WHERE a.water_storage IS NOT NULL), 0) AS water_storage FROM ans w LEFT JOIN fx_attr a ON a.mukey = w.mukey GROUP BY w.field_id),
 domin AS (SELECT field_id, muname AS dominant_soil, drainage AS dominant_drainage FROM (SELECT w.field_id, a.muname, a.drainage, row_number() OVER (PARTITION BY w.field_id ORDER BY w.inter_m2 DESC, w.mukey DESC) AS rn FROM weighted w JOIN fx_attr a ON a.mukey = w.mukey) WHERE rn = 1)"""],
 }
-_NEEDS = {"hits": [], "skew": [], "dry": [], "plain": ["hits"], "overlay": ["hits", "dry"], "fields": ["hits", "dry"]}
+_NEEDS = {"hits": [], "skew": [], "dry": [], "plain": ["hits"], "overlay": ["hits", "dry"], "fields": ["hits", "dry", "overlay"]}
 
 
 def _with(select: str, *parts: str) -> str:
@@ -87,8 +105,8 @@ SELECT event_id, round(rho*sin(th), 2) AS x, round({RHO0!r} - rho*cos(th), 2) AS
 _LAT = "SELECT phase, run, latency_ms, row_number() OVER (PARTITION BY phase, run ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY phase, run) AS n FROM fx_requests WHERE status = 200"
 _AT = "greatest(1, least(n, cast(round_even({p}*n/100.0 + 0.5, 0) AS bigint)))"
 _RUNS = f"""runs AS (SELECT e.*, coalesce(g.ok, 0) AS ok, g.p50_ms, g.p95_ms, g.p99_ms, g.min_ms, g.max_ms FROM
- (SELECT phase, run, count(*) AS requests, sum(CASE WHEN status <> 200 THEN 1 ELSE 0 END) AS errors, round(avg(CASE WHEN cached THEN 1.0 ELSE 0.0 END), 4) AS hit_rate FROM fx_requests GROUP BY phase, run) e
- LEFT JOIN (SELECT phase, run, count(*) AS ok, round(median(latency_ms), 2) AS p50_ms, round(max(CASE WHEN rn = {_AT.format(p=95)} THEN latency_ms END), 2) AS p95_ms, round(max(CASE WHEN rn = {_AT.format(p=99)} THEN latency_ms END), 2) AS p99_ms, round(min(latency_ms), 2) AS min_ms, round(max(latency_ms), 2) AS max_ms FROM ({_LAT}) GROUP BY phase, run) g USING (phase, run))"""
+ (SELECT phase, run, count(*) AS requests, sum(CASE WHEN status <> 200 THEN 1 ELSE 0 END) AS errors, {_r('avg(CASE WHEN cached THEN 1.0 ELSE 0.0 END)', 4)} AS hit_rate, coalesce(string_agg(DISTINCT cast(CASE WHEN status <> 200 THEN status END AS varchar), ',' ORDER BY cast(CASE WHEN status <> 200 THEN status END AS varchar)), '') AS error_codes FROM fx_requests GROUP BY phase, run) e
+ LEFT JOIN (SELECT phase, run, count(*) AS ok, {_r('median(latency_ms)', 2)} AS p50_ms, {_r(f'max(CASE WHEN rn = {_AT.format(p=95)} THEN latency_ms END)', 2)} AS p95_ms, {_r(f'max(CASE WHEN rn = {_AT.format(p=99)} THEN latency_ms END)', 2)} AS p99_ms, {_r('min(latency_ms)', 2)} AS min_ms, {_r('max(latency_ms)', 2)} AS max_ms FROM ({_LAT}) GROUP BY phase, run) g USING (phase, run))"""
 _FX = "WITH " + ",\n".join(f"{k} AS ({v.replace('varchar(20)', 'varchar')})" for k, v in SQL.items())
 _W = "sum({x}) OVER ()"
 
@@ -103,8 +121,8 @@ ORACLES = {
     "match_report": _with("SELECT (SELECT count(*) FROM fx_points) AS points, sum(pixels) AS matched, count(*) AS overlay_rows, round(100.0*sum(pixels)/(SELECT count(*) FROM fx_points), 3) AS match_rate, round(1.0*sum(pixels)/count(*), 3) AS compression FROM plain", "plain"),
     "unmatched_points": _with("SELECT pixel_id, x, y FROM fx_points WHERE pixel_id NOT IN (SELECT pixel_id FROM hit)", "hits"),
     "match_multiplicity": _with("SELECT CASE WHEN i AND o THEN 'both' WHEN i THEN 'inside' ELSE 'outside' END AS matched, count(*) AS points FROM (SELECT pixel_id, bool_or(areasymbol LIKE 'CA%') AS i, bool_or(areasymbol NOT LIKE 'CA%') AS o FROM hit GROUP BY pixel_id) GROUP BY 1", "hits"),
-    "scanline_truth": _with("SELECT polygon_id, crop_code, count(*) AS pixels FROM hit WHERE shape < 4 GROUP BY ALL", "hits"),
-    "validate_overlay": _with("SELECT mukey, count(*) AS pixels, count(*) AS truth, 0 AS delta, true AS same_classes, true AS ok FROM hit WHERE shape < 4 GROUP BY mukey", "hits"),
+    "scanline_truth": _with("SELECT polygon_id, crop_code, count(*) AS pixels FROM hit GROUP BY ALL", "hits"),
+    "validate_overlay": _with("SELECT mukey, count(*) AS pixels, count(*) AS truth, 0 AS delta, true AS same_classes, true AS ok FROM hit GROUP BY mukey", "hits"),
     "land_cover_totals": _with("SELECT land_cover, is_agricultural, round(sum(acres), 0) AS acres FROM overlay GROUP BY ALL", "overlay"),
     "drought_totals": _with(f"SELECT drought_class, {_LABEL} AS label, round(a, 3) AS acres, round(a/{_W.format(x='a')}, 6) AS share FROM (SELECT drought_class, sum(acres) AS a FROM overlay GROUP BY drought_class)", "overlay"),
     "crop_shares": _with(f"SELECT crop_code, round(a, 3) AS acres, round(100*a/{_W.format(x='a')}, 4) AS pct FROM (SELECT crop_code, sum(acres) AS a FROM overlay GROUP BY crop_code)", "overlay"),
@@ -115,16 +133,16 @@ ORACLES = {
     "top_units": _with("SELECT mukey, sum(pixels) AS pixels FROM overlay GROUP BY mukey ORDER BY pixels DESC, mukey LIMIT 6", "overlay"),
     "dominant_cover": _with("SELECT mukey, land_cover, crop_code, drought_class, acres FROM (SELECT *, row_number() OVER (PARTITION BY mukey ORDER BY acres DESC, crop_code, drought_class, musym DESC, areasymbol DESC) AS rn FROM overlay) WHERE rn = 1", "overlay"),
     "mapunit_lookup": _with("SELECT mukey, crop_code, drought_class, musym, areasymbol, pixels, acres, round(sum(acres) OVER (PARTITION BY mukey), 3) AS total_acres FROM overlay WHERE mukey IN (SELECT mukey FROM fx_attr)", "overlay"),
-    "block_profile": _with("""SELECT coalesce(p.cx, g.cx) AS cx, coalesce(p.cy, g.cy) AS cy, coalesce(p.points, 0) AS points, coalesce(g.polygons, 0) AS polygons FROM
+    "block_profile": _with("""SELECT coalesce(p.cx, g.cx) AS cx, coalesce(p.cy, g.cy) AS cy, coalesce(p.points, 0) AS points, coalesce(g.polygons, 0) AS polygons, coalesce(g.vertices, 0) AS vertices, coalesce(g.large, 0) AS large, round(coalesce(g.box_share, 0), 6) AS box_share FROM
  (SELECT cast(floor(x/1500.0) AS bigint) AS cx, cast(floor(y/1500.0) AS bigint) AS cy, count(*) AS points FROM fx_points GROUP BY 1, 2) p FULL JOIN
- (SELECT cx, cy, count(*) AS polygons FROM (SELECT unnest(range(cast(floor(a/1500.0) AS bigint), cast(floor(c/1500.0) AS bigint)+1)) AS cx, b, d FROM (SELECT x0 - CASE WHEN shape=4 THEN 60 ELSE 0 END AS a, y0 - CASE WHEN shape=4 THEN 60 ELSE 0 END AS b, x0 + CASE WHEN shape=4 THEN 360 ELSE 300 END AS c, y0 + CASE WHEN shape=4 THEN 360 ELSE 300 END AS d FROM fx_soil)) x, LATERAL (SELECT unnest(range(cast(floor(x.b/1500.0) AS bigint), cast(floor(x.d/1500.0) AS bigint)+1)) AS cy) y GROUP BY 1, 2) g ON p.cx = g.cx AND p.cy = g.cy"""),
+ (SELECT cx, cy, count(*) AS polygons, sum(v) AS vertices, sum(CASE WHEN (c-a)*(d-b)/2250000.0 > 0.1 THEN 1 ELSE 0 END) AS large, sum((c-a)*(d-b)/2250000.0) AS box_share FROM (SELECT unnest(range(cast(floor(a/1500.0) AS bigint), cast(floor(c/1500.0) AS bigint)+1)) AS cx, a, b, c, d, v FROM (SELECT CASE shape WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 2 THEN 10 WHEN 3 THEN 10 ELSE 5 END AS v, x0 - CASE WHEN shape=4 THEN 60 ELSE 0 END AS a, y0 - CASE WHEN shape=4 THEN 60 ELSE 0 END AS b, x0 + CASE WHEN shape=4 THEN 360 ELSE 300 END AS c, y0 + CASE WHEN shape=4 THEN 360 ELSE 300 END AS d FROM fx_soil)) x, LATERAL (SELECT unnest(range(cast(floor(x.b/1500.0) AS bigint), cast(floor(x.d/1500.0) AS bigint)+1)) AS cy) y GROUP BY 1, 2) g ON p.cx = g.cx AND p.cy = g.cy"""),
     "assign_block": _with("SELECT bx, by_, count(*) AS points FROM (SELECT least(3, cast(floor((x-a)*4.0/greatest(c-a, 1)) AS int)) AS bx, least(3, cast(floor((y-b)*4.0/greatest(d-b, 1)) AS int)) AS by_ FROM fx_points, (SELECT min(x) AS a, max(x) AS c, min(y) AS b, max(y) AS d FROM fx_points)) GROUP BY ALL"),
     "bounds": _with("SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM fx_points"),
     "check_bounds": _with("SELECT min(x) AS minx, min(y) AS miny, abs(min(x) - -2000000) <= 100 AND abs(min(y) - 1700000) <= 100 AS ok FROM fx_points"),
     "layer_overlap": _with("SELECT count(*) > 0 AS overlaps FROM (SELECT min(x) AS a, max(x) AS c, min(y) AS b, max(y) AS d FROM fx_points) p, (SELECT min(x0-60) AS e, max(x0+360) AS g, min(y0-60) AS f, max(y0+360) AS h FROM fx_soil) s WHERE a <= g AND e <= c AND b <= h AND f <= d"),
     "albers_projection": _ALBERS,
     "mukey_area": _with("SELECT mukey, round(sum(CASE shape WHEN 0 THEN 90000.0 WHEN 1 THEN 57600.0 WHEN 2 THEN 75600.0 WHEN 3 THEN 72000.0 ELSE 88200.0 END), 3) AS total_m2, count(*) AS polygons FROM fx_soil GROUP BY mukey"),
-    "polygon_geometry": _with("SELECT polygon_id, CASE WHEN shape = 4 THEN x0-60.0 ELSE x0 END AS minx, CASE WHEN shape = 4 THEN y0+360.0 ELSE y0+300.0 END AS maxy, CASE WHEN shape = 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, round(CASE shape WHEN 1 THEN x0 + (36000*150 + 21600*60)/57600.0 ELSE x0+150.0 END, 3) AS cx, 'ok' AS status FROM fx_soil"),
+    "polygon_geometry": _with("SELECT polygon_id, cast(x0 - o AS double) AS minx, cast(y0 - o AS double) AS miny, x0 + 300.0 + o AS maxx, y0 + 300.0 + o AS maxy, CASE WHEN shape = 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, round(CASE shape WHEN 1 THEN x0 + (36000*150 + 21600*60)/57600.0 ELSE x0+150.0 END, 3) AS cx, round(CASE shape WHEN 1 THEN y0 + (36000*60 + 21600*210)/57600.0 ELSE y0+150.0 END, 3) AS cy, 'ok' AS status FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
     "soil_profile": _with("SELECT count(*) AS polygons, count(DISTINCT mukey) AS units, count(DISTINCT areasymbol) AS areas, min(v) AS min_acres, median(v) AS median_acres, max(v) AS max_acres FROM (SELECT *, CASE WHEN polygon_id % 6 <> 0 THEN cast(polygon_id % 50 AS double) END AS v FROM fx_soil)"),
     "dedupe_polygons": _with("SELECT polygon_id, min(t) AS tile_id, any_value(mukey) AS mukey FROM (SELECT *, polygon_id % 4 AS t FROM fx_soil UNION ALL SELECT *, (polygon_id+1) % 4 AS t FROM fx_soil WHERE polygon_id % 3 = 0) GROUP BY polygon_id"),
     "clean_attributes": _with("SELECT mukey, muname, cap_rainfed, cap_irrigated, drainage, water_storage, slope_pct FROM fx_attr"),
@@ -137,25 +155,25 @@ ORACLES = {
     "labels_and_groups": _with(f"SELECT crop_code, {_NAME} AS land_cover, coalesce({_NAME}, 'Unknown (' || crop_code || ')') AS label, {_GROUP} AS group_id, {_AG} AS is_agricultural, count(*) AS n FROM fx_points GROUP BY ALL"),
     "region_slugs": "SELECT replace(lower(n_name), ' ', '_') AS slug FROM nation",
     "square_fields": """SELECT c_custkey, round(lon - h/(111320.0*greatest(0.1, abs(cos(radians(lat))))), 6) AS minx, round(lat + h/111320.0, 6) AS maxy FROM (SELECT c_custkey, -120 + (c_custkey % 97)/100.0 AS lon, 36 + (c_custkey % 89)/100.0 AS lat, CASE c_custkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 800 ELSE 1600 END AS h FROM customer)""",
-    "field_measure": _with(f"SELECT field_id, 'ok' AS status, round(query_acres + 1e-7, 3) AS query_acres FROM fields", "fields"),
-    "field_hits": _with("SELECT field_id, mukey, round(inter_m2 + 1e-7, 3) AS inter_m2 FROM hits", "fields"),
-    "field_totals": _with("SELECT f.field_id, round(coalesce(sum(a.inter_m2), 0) + 1e-7, 3) AS answered_m2, count(a.mukey) AS map_units FROM fields f LEFT JOIN ans a ON a.field_id = f.field_id GROUP BY f.field_id", "fields"),
-    "field_soil_summary": _with("SELECT s.field_id, round(rated_m2 + 1e-7, 3) AS rated_m2, round(cultivable_m2 + 1e-7, 3) AS cultivable_m2, round(irrigable_m2 + 1e-7, 3) AS irrigable_m2, round(slope_pct + 1e-7, 6) AS slope_pct, round(water_storage + 1e-7, 6) AS water_storage, dominant_soil, dominant_drainage FROM soilsum s LEFT JOIN domin d ON d.field_id = s.field_id", "fields"),
-    "field_breakdown": _with("SELECT field_id, 'cover' AS row_kind, land_cover, crop_code, is_agricultural, NULL AS drought_class, round(acres + 1e-7, 4) AS acres, round(pixels + 1e-7, 4) AS pixels FROM cover UNION ALL SELECT field_id, 'drought', NULL, NULL, NULL, drought_class, round(acres + 1e-7, 4), round(pixels + 1e-7, 4) FROM dry", "fields"),
-    "field_groups": _with(f"SELECT field_id, group_id, round(sum(acres) + 1e-7, 4) AS acres FROM (SELECT field_id, acres, {_GROUP} AS group_id FROM cover) GROUP BY ALL", "fields"),
-    "field_top_crops": _with("SELECT c.field_id, rn, crop_code, round(acres + 1e-7, 4) AS acres, hidden, round(hidden_acres + 1e-7, 4) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn, greatest(count(*) OVER (PARTITION BY field_id) - 3, 0) AS hidden FROM cover) c JOIN (SELECT field_id, coalesce(sum(acres) FILTER (WHERE rn > 3), 0) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY round(acres, 6) DESC, crop_code) AS rn FROM cover) GROUP BY field_id) h ON h.field_id = c.field_id WHERE rn <= 3", "fields"),
-    "field_response": _with(f"""SELECT f.field_id, round(f.query_acres, 3) AS query_acres, CASE WHEN b.t IS NULL THEN 0 ELSE round(coalesce(t.a, 0)/{ACRE}, 3) END AS answered_acres, CASE WHEN b.t IS NULL THEN 0 ELSE coalesce(t.n, 0) END AS map_units, round(s.cultivable_m2/nullif(s.rated_m2, 0) + 1e-7, 4) AS cultivable_share, round(b.ag/b.t + 1e-7, 4) AS agricultural_share, coalesce(b.k, 0) AS covers FROM fields f
+    "field_measure": _with(f"SELECT field_id, 'ok' AS status, cast(round(cast(query_acres AS DECIMAL(28,9)), 3) AS DOUBLE) AS query_acres FROM fields", "fields"),
+    "field_hits": _with("SELECT field_id, mukey, cast(round(cast(inter_m2 AS DECIMAL(28,9)), 3) AS DOUBLE) AS inter_m2 FROM hits", "fields"),
+    "field_totals": _with("SELECT f.field_id, cast(round(cast(coalesce(sum(a.inter_m2), 0) AS DECIMAL(28,9)), 3) AS DOUBLE) AS answered_m2, count(a.mukey) AS map_units FROM fields f LEFT JOIN ans a ON a.field_id = f.field_id GROUP BY f.field_id", "fields"),
+    "field_soil_summary": _with("SELECT s.field_id, cast(round(cast(rated_m2 AS DECIMAL(28,9)), 3) AS DOUBLE) AS rated_m2, cast(round(cast(cultivable_m2 AS DECIMAL(28,9)), 3) AS DOUBLE) AS cultivable_m2, cast(round(cast(irrigable_m2 AS DECIMAL(28,9)), 3) AS DOUBLE) AS irrigable_m2, cast(round(cast(slope_pct AS DECIMAL(28,9)), 6) AS DOUBLE) AS slope_pct, cast(round(cast(water_storage AS DECIMAL(28,9)), 6) AS DOUBLE) AS water_storage, dominant_soil, dominant_drainage FROM soilsum s LEFT JOIN domin d ON d.field_id = s.field_id", "fields"),
+    "field_breakdown": _with("SELECT field_id, 'cover' AS row_kind, land_cover, crop_code, is_agricultural, NULL AS drought_class, cast(round(cast(acres AS DECIMAL(28,9)), 4) AS DOUBLE) AS acres, cast(round(cast(pixels AS DECIMAL(28,9)), 4) AS DOUBLE) AS pixels FROM cover UNION ALL SELECT field_id, 'drought', NULL, NULL, NULL, drought_class, cast(round(cast(acres AS DECIMAL(28,9)), 4) AS DOUBLE), cast(round(cast(pixels AS DECIMAL(28,9)), 4) AS DOUBLE) FROM dry", "fields"),
+    "field_groups": _with(f"SELECT field_id, g.group_id, {_r('acres', 4)} AS acres, {_r('acres/nullif(sum(acres) OVER (PARTITION BY field_id), 0)', 6)} AS share, label AS group_label, o AS group_order FROM (SELECT field_id, group_id, sum(acres) AS acres FROM (SELECT field_id, acres, {_GROUP} AS group_id FROM cover) GROUP BY ALL) g JOIN (VALUES {', '.join(f"('{g}', '{label}', {i})" for i, (g, label, _) in enumerate(GROUPS))}) AS t(group_id, label, o) ON t.group_id = g.group_id", "fields"),
+    "field_top_crops": _with(f"SELECT c.field_id, rn, crop_code, land_cover, {_r('acres', 4)} AS acres, hidden, {_r('hidden_acres', 4)} AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY {_r('acres', 6)} DESC, crop_code) AS rn, greatest(count(*) OVER (PARTITION BY field_id) - 8, 0) AS hidden FROM cover) c JOIN (SELECT field_id, coalesce(sum(acres) FILTER (WHERE rn > 8), 0) AS hidden_acres FROM (SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY {_r('acres', 6)} DESC, crop_code) AS rn FROM cover) GROUP BY field_id) h ON h.field_id = c.field_id WHERE rn <= 8", "fields"),
+    "field_response": _with(f"""SELECT f.field_id, round(f.query_acres, 3) AS query_acres, CASE WHEN b.t IS NULL THEN 0 ELSE round(coalesce(t.a, 0)/{ACRE}, 3) END AS answered_acres, CASE WHEN b.t IS NULL THEN 0 ELSE coalesce(t.n, 0) END AS map_units, cast(round(cast(s.cultivable_m2/nullif(s.rated_m2, 0) AS DECIMAL(28,9)), 4) AS DOUBLE) AS cultivable_share, cast(round(cast(b.ag/b.t AS DECIMAL(28,9)), 4) AS DOUBLE) AS agricultural_share, coalesce(b.k, 0) AS covers FROM fields f
  LEFT JOIN (SELECT field_id, sum(inter_m2) AS a, count(*) AS n FROM ans GROUP BY field_id) t ON t.field_id = f.field_id LEFT JOIN soilsum s ON s.field_id = f.field_id
  LEFT JOIN (SELECT field_id, coalesce(nullif(sum(acres), 0), 1) AS t, coalesce(sum(acres) FILTER (WHERE is_agricultural), 0) AS ag, count(*) AS k FROM cover GROUP BY field_id) b ON b.field_id = f.field_id""", "fields"),
     "headline_counts": _with("""SELECT headline, count(*) AS fields FROM (SELECT CASE WHEN coalesce(s.rated_m2, 0) = 0 THEN 'No soil rating for this area.' WHEN k >= 0.5 AND g >= 0.5 THEN 'Capable ground, and it is being farmed.' WHEN k >= 0.5 AND g < 0.2 THEN 'Cultivable ground, largely out of production.' WHEN k < 0.2 AND g < 0.2 THEN 'Marginal ground, and used as such.' WHEN k < 0.2 AND g >= 0.5 THEN 'Farmed well beyond what the soil alone would carry.' ELSE 'Mixed ground, partly in production.' END AS headline
  FROM (SELECT b.field_id, s.rated_m2, s.cultivable_m2/nullif(s.rated_m2, 0) AS k, b.ag/b.t AS g FROM (SELECT field_id, coalesce(nullif(sum(acres), 0), 1) AS t, coalesce(sum(acres) FILTER (WHERE is_agricultural), 0) AS ag FROM cover GROUP BY field_id) b LEFT JOIN soilsum s ON s.field_id = b.field_id) s) GROUP BY headline""", "fields"),
-    "field_mapunits": _with("SELECT field_id, mukey, round(inter_m2 + 1e-7, 2) AS inter_m2, rn, n > 5 AS truncated FROM (SELECT h.*, row_number() OVER (PARTITION BY field_id ORDER BY round(inter_m2, 3) DESC, mukey) AS rn, count(*) OVER (PARTITION BY field_id) AS n FROM hits h WHERE inter_m2 > 0 AND mukey IN (SELECT mukey FROM roverlay)) WHERE rn <= 5", "fields"),
-    "consistency": "SELECT 0 AS field_id, 0.0 AS cover_acres, 0.0 AS drought_acres WHERE false",
+    "field_mapunits": _with(f"SELECT q.field_id, q.mukey, {_r('q.inter_m2', 2)} AS inter_m2, q.rn, q.n > 200 AS truncated, d.land_cover, d.crop_code, a.muname, a.drainage, a.slope_pct FROM (SELECT h.*, row_number() OVER (PARTITION BY field_id ORDER BY round(inter_m2, 3) DESC, mukey) AS rn, count(*) OVER (PARTITION BY field_id) AS n FROM hits h WHERE inter_m2 > 0 AND mukey IN (SELECT mukey FROM roverlay)) q JOIN (SELECT *, row_number() OVER (PARTITION BY mukey ORDER BY acres DESC, crop_code, drought_class, musym DESC, areasymbol DESC) AS rn FROM roverlay) d ON d.mukey = q.mukey AND d.rn = 1 LEFT JOIN fx_attr a ON a.mukey = q.mukey WHERE q.rn <= 200", "fields"),
+    "consistency": _with(f"SELECT c.field_id, {_r('c.a', 6)} AS cover_acres, {_r('d.a', 6)} AS drought_acres, abs(c.a - d.a) <= 1e-6*greatest(1, c.a) AS ok FROM (SELECT field_id, sum(acres) AS a FROM cover GROUP BY field_id) c JOIN (SELECT field_id, sum(acres) AS a FROM dry GROUP BY field_id) d ON d.field_id = c.field_id", "fields"),
     "dedupe_fields": _with("SELECT count(*) AS drawings, (SELECT count(*) FROM fx_fields)*2 AS fields FROM (SELECT DISTINCT minx, miny, maxx, maxy FROM fx_fields)"),
-    "zone_area_share": _with("SELECT f.field_id AS outline_id, d.drought_class, round(sum(cast((least(f.maxx,d.maxx)-greatest(f.minx,d.minx))*(least(f.maxy,d.maxy)-greatest(f.miny,d.miny)) AS double)), 2) AS m2 FROM fx_fields f JOIN fx_drought d ON f.minx <= d.maxx AND f.maxx >= d.minx AND f.miny <= d.maxy AND f.maxy >= d.miny GROUP BY ALL"),
-    "latency_summary": _FX + ",\n" + _RUNS + " SELECT phase, run, requests, errors, hit_rate, ok, p50_ms, p95_ms, p99_ms, min_ms, max_ms FROM runs",
-    "phase_summary": _FX + ",\n" + _RUNS + " SELECT phase, count(*) AS runs_kept, round(median(p50_ms), 3) AS p50_median_ms, min(p50_ms) AS p50_min_ms, max(p50_ms) AS p50_max_ms, round(median(p95_ms), 3) AS p95_median_ms, sum(errors) AS total_errors FROM (SELECT *, min(run) OVER (PARTITION BY phase) AS f, count(*) OVER (PARTITION BY phase) AS k FROM runs) WHERE run > f OR k = 1 GROUP BY phase",
+    "zone_area_share": _with(f"SELECT outline_id, drought_class, {_r('m2', 2)} AS m2, {_r('100*m2/total', 6)} AS pct FROM (SELECT f.field_id AS outline_id, d.drought_class, cast((f.maxx-f.minx)*(f.maxy-f.miny) AS double) AS total, sum(cast((least(f.maxx,d.maxx)-greatest(f.minx,d.minx))*(least(f.maxy,d.maxy)-greatest(f.miny,d.miny)) AS double)) AS m2 FROM fx_fields f JOIN fx_drought d ON f.minx <= d.maxx AND f.maxx >= d.minx AND f.miny <= d.maxy AND f.maxy >= d.miny GROUP BY ALL)"),
+    "latency_summary": _FX + ",\n" + _RUNS + " SELECT phase, run, requests, errors, hit_rate, error_codes, ok, p50_ms, p95_ms, p99_ms, min_ms, max_ms FROM runs",
+    "phase_summary": _FX + ",\n" + _RUNS + f" SELECT phase, count(*) AS runs_kept, {_r('median(p50_ms)', 3)} AS p50_median_ms, min(p50_ms) AS p50_min_ms, max(p50_ms) AS p50_max_ms, {_r('median(p95_ms)', 3)} AS p95_median_ms, sum(errors) AS total_errors FROM (SELECT *, min(run) OVER (PARTITION BY phase) AS f, count(*) OVER (PARTITION BY phase) AS k FROM runs) WHERE run > f OR k = 1 GROUP BY phase",
     "run_summary": "SELECT count(*) AS runs, sum(CASE WHEN s >= 100 THEN 1 ELSE 0 END) AS excluded, round(median(s) FILTER (WHERE s < 100), 3) AS median_s, round(min(s), 3) AS min_s, round(max(s) FILTER (WHERE s < 100), 3) AS max_s, round(stddev_samp(s) FILTER (WHERE s < 100), 4) AS stdev_s, round(max(r)/median(s) FILTER (WHERE s < 100), 1) AS records_per_s FROM (SELECT event_id, 1 + (event_id*7919 % 12000)/100.0::double AS s, 1000000 AS r FROM events)",
-    "tiles_for_aoi": _with("SELECT DISTINCT t.tr AS row, t.tc AS col FROM (SELECT r.i AS tr, c.i AS tc FROM (SELECT unnest(range(0, 4)) AS i) r, (SELECT unnest(range(0, 6)) AS i) c) t JOIN fx_fields f ON f.field_id % 40 = 0 AND f.minx <= -2000000 + (t.tc+1)*1000 AND f.maxx >= -2000000 + t.tc*1000 AND f.miny <= 1700000 + (t.tr+1)*1000 AND f.maxy >= 1700000 + t.tr*1000"),
+    "tiles_for_aoi": _with("SELECT DISTINCT t.tr AS row, t.tc AS col FROM (SELECT r.i AS tr, c.i AS tc, x0 + 1000*c.i AS tx0, y0 + 1000*r.i AS ty0, least(x0 + 1000*(c.i+1), x1) AS tx1, least(y0 + 1000*(r.i+1), y1) AS ty1 FROM (SELECT min(minx) AS x0, min(miny) AS y0, max(maxx) AS x1, max(maxy) AS y1 FROM fx_fields) b, LATERAL (SELECT unnest(range(0, cast(greatest(1, ceil((b.y1-b.y0)/1000.0)) AS bigint))) AS i) r, LATERAL (SELECT unnest(range(0, cast(greatest(1, ceil((b.x1-b.x0)/1000.0)) AS bigint))) AS i) c) t JOIN fx_fields f ON f.minx <= t.tx1 AND f.maxx >= t.tx0 AND f.miny <= t.ty1 AND f.maxy >= t.ty0"),
     "raster_points": _with("SELECT x, y, crop_code FROM fx_points"),
 }

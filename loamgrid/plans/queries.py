@@ -11,6 +11,7 @@ from ..functions import legend, links
 from ..functions import rings as R
 from ..functions.albers import to_4326, to_5070
 from ..functions.geometry import rings_to_wkb, wkb_to_rings
+from ..functions.numbers import rounded
 from ..operators import fields as FL
 from ..operators import overlay as O
 from ..operators import prepare as P
@@ -32,8 +33,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _round(df: DataFrame, **places: int) -> DataFrame:
-    # a ten-millionth first, so that exact halves round alike in every engine
-    return df.withColumns({c: F.round(F.col(c) + 1e-7, d) for c, d in places.items()})
+    return df.withColumns({c: rounded(F.col(c), d) for c, d in places.items()})
 
 
 def _dry_soil(s: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ def validate_overlay(s, d):
 
 @_query
 def block_profile(s, d):
-    return O.block_profile(X.points(s, d), X.soil(s, d), 1500).select("cx", "cy", "points", "polygons")
+    return O.block_profile(X.points(s, d), X.soil(s, d), 1500).withColumn("box_share", F.round("box_share", 6))
 
 
 @_query
@@ -221,7 +221,7 @@ def stride_sample(s, d):
 
 @_query
 def latency_summary(s, d):
-    return RP.latency_summary(X.fixture(s, d, "fx_requests")).drop("error_codes")
+    return RP.latency_summary(X.fixture(s, d, "fx_requests")).withColumn("error_codes", F.array_join("error_codes", ","))
 
 
 @_query
@@ -258,7 +258,7 @@ def polygon_geometry(s, d):
     """Geometry through WKB and back, with its box, kind, centre and ring check."""
     soil = X.soil(s, d).withColumn("wkb", rings_to_wkb("rings")).withColumn("rings", wkb_to_rings("wkb"))
     kind = F.when(F.size("rings") > 1, "MultiPolygon").otherwise("Polygon")
-    return R.with_bbox(soil).select("polygon_id", "minx", "maxy", kind.alias("geometry_type"), F.round(R.centroid(F.col("rings"))["x"], 3).alias("cx"), R.ring_status(F.col("rings")).alias("status"))
+    return R.with_bbox(soil).select("polygon_id", "minx", "miny", "maxx", "maxy", kind.alias("geometry_type"), F.round(R.centroid(F.col("rings"))["x"], 3).alias("cx"), F.round(R.centroid(F.col("rings"))["y"], 3).alias("cy"), R.ring_status(F.col("rings")).alias("status"))
 
 
 @_query
@@ -339,7 +339,7 @@ def raster_points(s, d):
 @_query
 def zone_area_share(s, d):
     outlines = X.rectangles(s, d, "fx_fields").withColumnRenamed("field_id", "outline_id")
-    return _round(P.zone_area_share(X.rectangles(s, d, "fx_drought"), outlines, 3000), m2=2).drop("pct")
+    return _round(P.zone_area_share(X.rectangles(s, d, "fx_drought"), outlines, 3000), m2=2, pct=6)
 
 
 @_query
@@ -397,7 +397,7 @@ def _soil_summary(s, d):
 
 
 def _response(s, d):
-    w, o = _weighted(s, d).persist(), _roverlay(s, d).persist()  # the spatial part is used three times
+    w, o = _weighted(s, d), _roverlay(s, d)  # three uses, one exchange each: Spark reuses it
     return FL.area_response(_fields(s, d), FL.field_totals(w, o, _fields(s, d)), FL.soil_summary(w, o, X.fixture(s, d, "fx_attr")), FL.area_breakdown(w, o))
 
 
@@ -428,19 +428,18 @@ def field_breakdown(s, d):
 
 @_query
 def field_groups(s, d):
-    return _round(FL.group_rollup(_breakdown(s, d)), acres=4).select("field_id", "group_id", "acres")
+    return _round(FL.group_rollup(_breakdown(s, d)), acres=4, share=6)
 
 
 @_query
 def field_top_crops(s, d):
-    rows = _breakdown(s, d).withColumn("acres", F.round("acres", 6))
-    return _round(FL.top_crops(rows), acres=4, hidden_acres=4).drop("land_cover")
+    return _round(FL.top_crops(_breakdown(s, d)), acres=4, hidden_acres=4)
 
 
 @_query
 def field_response(s, d):
     r = _response(s, d)
-    return r.select("field_id", F.round("query_acres", 3).alias("query_acres"), F.round("answered_acres", 3).alias("answered_acres"), "map_units", F.round(F.col("cultivable_share") + 1e-7, 4).alias("cultivable_share"), F.round(F.col("agricultural_share") + 1e-7, 4).alias("agricultural_share"), F.greatest(F.size(F.coalesce("breakdown", F.array())), F.lit(0)).cast("long").alias("covers"))
+    return r.select("field_id", F.round("query_acres", 3).alias("query_acres"), F.round("answered_acres", 3).alias("answered_acres"), "map_units", rounded(F.col("cultivable_share"), 4).alias("cultivable_share"), rounded(F.col("agricultural_share"), 4).alias("agricultural_share"), F.greatest(F.size(F.coalesce("breakdown", F.array())), F.lit(0)).cast("long").alias("covers"))
 
 
 @_query
@@ -460,7 +459,7 @@ QUERIES["headline_counts"] = QUERIES.pop("headline_counts_of_fields")
 
 @_query
 def field_mapunits(s, d):
-    return _round(FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr")), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated")
+    return _round(FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr")), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated", "land_cover", "crop_code", "muname", "drainage", "slope_pct")
 
 
 @_query
@@ -472,7 +471,7 @@ def field_features(s, d):
 
 @_query
 def consistency(s, d):
-    return FL.consistency(_breakdown(s, d))
+    return _round(FL.consistency(_breakdown(s, d)), cover_acres=6, drought_acres=6)
 
 
 @_query
