@@ -145,3 +145,41 @@ def test_vectors_against_brute_force(vectors, block):
 def test_crc_mod(spark):
     got = spark.createDataFrame([(7,), (None,)], "doc_id long").select(c.crc_mod(F.col("doc_id"), 3)).collect()
     assert [r[0] for r in got] == [zlib.crc32(b"7") % 3, -1]
+
+
+@pytest.mark.parametrize("dims", [16, 32, 64])
+def test_vectors_just_above_the_threshold_are_found(spark, dims):
+    r = np.random.default_rng(dims)
+    x = r.normal(size=(1500, dims)) * np.linspace(2, 0.5, dims) + 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = r.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    t = r.uniform(0.931, 0.95, (1500, 1))
+    y = t * x + np.sqrt(1 - t**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    rows = [(i, [float(v) for v in z], 0) for i, z in enumerate(np.concatenate([x, y]))]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    z = np.concatenate([x, y])
+    near = (z @ z.T) >= 0.93
+    np.fill_diagonal(near, False)
+    found = np.array([r["n_links"] for r in sorted(got, key=lambda r: r["vec_id"])])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+
+
+def test_what_is_compared_grows_slower_than_a_label():
+    share = [embeddings.tables(0.12, embeddings.substring_bits(n)) / 2 ** embeddings.substring_bits(n) for n in (10**3, 10**5, 10**7)]
+    assert share[0] > 8 * share[1] > 64 * share[2]
+
+
+def test_vectors_of_every_length_link(spark):
+    rows = [(i, [1.0, float(i)] + [0.5] * 6, 1) for i in range(40)] + [(100 + i, [2.0, 1.0 + i / 1e4, 3.0], 1) for i in range(3)] + [(200, [5.0], 1), (201, [7.0], 1), (202, [-5.0], 1)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i]["n_links"] for i in (100, 101, 102)] == [2, 2, 2] and got[102]["component_id"] == 100
+    assert got[200]["n_links"] == 1 and got[201]["component_id"] == 200 and got[202]["n_links"] == 0 and got[202]["kept"]
+
+
+def test_a_large_family_is_dealt_into_blocks(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=24)
+    rows = [(i, [float(v) for v in base + 0.02 * r.normal(size=24)], 0) for i in range(900)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=64).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(r["n_links"] for r in got) == 900 * 899
