@@ -282,4 +282,13 @@ def op5_superkmer_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_superkmer_substrings": op5_superkmer_substrings}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op5_superkmer_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 18))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM again, (SELECT unnest(range(0, 20)) AS o)),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.j) AS text FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+}
