@@ -111,15 +111,22 @@ def edges(rings: Column) -> Column:
     return F.flatten(F.flatten(F.transform(rings, lambda poly: F.transform(poly, of))))
 
 
+#: Stands for a point on an edge, whatever other edges say; even, so that it counts as outside.
+_ON = -1_000_000
+
+
 def contains(edge_list: Column, x: Column, y: Column) -> Column:
     """Whether (x, y) lies inside by even-odd parity; a point on an edge does not. Exact for whole coordinates."""
-    turn = lambda e: (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
-    on = F.exists(
-        edge_list,
-        lambda e: (turn(e) == 0) & (x >= F.least(e["x1"], e["x2"])) & (x <= F.greatest(e["x1"], e["x2"])) & (y >= F.least(e["y1"], e["y2"])) & (y <= F.greatest(e["y1"], e["y2"])),
-    )
-    crossed = F.filter(edge_list, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & ((turn(e) > 0) == (e["y2"] > e["y1"])))
-    return (F.size(crossed) % 2 == 1) & ~on
+
+    def step(total: Column, e: Column) -> Column:
+        # one look at each edge: one of other heights is passed over, one to the right counts, one that holds the point decides
+        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+        apart = ((e["y1"] > y) & (e["y2"] > y)) | ((e["y1"] < y) & (e["y2"] < y))
+        on = (turn == 0) & (x >= F.least(e["x1"], e["x2"])) & (x <= F.greatest(e["x1"], e["x2"]))
+        right = ((e["y1"] > y) != (e["y2"] > y)) & ((turn > 0) == (e["y2"] > e["y1"]))
+        return F.when(apart, total).when(on, F.lit(_ON)).when(right & (total >= 0), total + 1).otherwise(total)
+
+    return F.aggregate(edge_list, F.lit(0), step) % 2 == 1
 
 
 def square(lon: Column, lat: Column, half_m: Column) -> Column:

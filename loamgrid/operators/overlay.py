@@ -51,13 +51,13 @@ def _box_cells(cell_m: float) -> Column:
 
 
 def cell_cover(polygons: DataFrame, cell_m: float) -> DataFrame:
-    """Polygons without their rings, once for each cell: cx, cy and the edges that can decide a point there.
+    """Polygons without their rings, once for each cell: cx, cy, their box and the edges that can decide a point there.
 
     A ray to the right meets an edge only if the edge shares the point's height
     and is not wholly to its left, so edges below, above or left of a cell go.
     """
     listed = R.with_bbox(polygons).withColumn("all_edges", R.edges(F.col("rings"))).drop("rings")
-    cells = listed.withColumn("cell", F.explode(_box_cells(cell_m))).select("*", "cell.*").drop("cell", "minx", "miny", "maxx", "maxy")
+    cells = listed.withColumn("cell", F.explode(_box_cells(cell_m))).select("*", "cell.*").drop("cell")
     low, high, left = F.col("cy") * cell_m, (F.col("cy") + 1) * cell_m, F.col("cx") * cell_m
     near = F.filter("all_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left))
     return cells.withColumn("edges", near).drop("all_edges").filter(F.size("edges") > 0)
@@ -76,8 +76,11 @@ def point_in_polygon_join(points: DataFrame, polygons: DataFrame, cell_m: float
     cells = cell_cover(polygons, cell_m)
     if choose_strategy(polygons, strategy) == "broadcast":
         cells = F.broadcast(cells)
-    found = assign_cell(points, cell_m).join(cells, ["cx", "cy"])
-    return found.filter(R.contains(F.col("edges"), F.col("x").cast("double"), F.col("y").cast("double"))).drop("cx", "cy", "edges")
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    # the box decides most pairs, in generated code, before any edge is looked at
+    boxed = (x > F.col("minx")) & (x < F.col("maxx")) & (y > F.col("miny")) & (y < F.col("maxy"))
+    found = assign_cell(points, cell_m).join(cells, ["cx", "cy"]).filter(boxed)
+    return found.filter(R.contains(F.col("edges"), x, y)).drop("cx", "cy", "edges", "minx", "miny", "maxx", "maxy")
 
 
 def overlay_counts(joined: DataFrame) -> DataFrame:
@@ -138,8 +141,12 @@ def attach_drought(soils: DataFrame, drought: DataFrame | None, cell_m: float =
     """
     if drought is None:
         return soils.withColumn("drought_class", F.lit(-1))
-    soils = soils.dropDuplicates(["rings", "mukey", "musym", "areasymbol"])
-    zones = drought.withColumn("zone_id", F.monotonically_increasing_id()).select("zone_id", "drought_class", "rings")
+    # the least polygon_id stands for equal ones, and a zone's key is its content: the same however often it is worked out
+    key = ["rings", "mukey", "musym", "areasymbol"]
+    others = [n for n in soils.columns if n not in (*key, "polygon_id")]
+    least = soils.groupBy(*key).agg(F.min("polygon_id").alias("polygon_id"), *([F.min_by(F.struct(*others), "polygon_id").alias("_rest")] if others else []))
+    soils = (least.select("*", "_rest.*").drop("_rest") if others else least).select(*soils.columns)
+    zones = drought.select(F.xxhash64(F.to_json(F.struct("rings")), "drought_class").alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
     pairs = spatial_pairs(soils, zones, cell_m, "polygon_id", "zone_id")
     touched = pairs.filter(shapes_intersect(F.col("rings_a"), F.col("rings_b"))).join(zones.select("zone_id", "drought_class"), "zone_id")
     worst = touched.groupBy("polygon_id").agg(F.max("drought_class").alias("drought_class"))

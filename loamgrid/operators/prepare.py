@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..functions.geometry import intersection_area, repaired, shapes_intersect, simplified
 from .overlay import spatial_pairs
+from .reports import numbered
 
 
 def swap_axes(soil: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def mukeys(overlay: DataFrame) -> DataFrame:
 
 
 def key_batches(keys: DataFrame, n: int = 500, key: str = "mukey") -> DataFrame:
-    """Distinct keys in order, n to a batch; for small key tables."""
-    listed = keys.select(key).distinct().withColumn("rn", F.row_number().over(Window.orderBy(key)) - 1)
+    """Distinct keys in order, n to a batch."""
+    listed = numbered(keys.select(key).distinct(), [key], "rn")
     batch = F.floor(F.col("rn") / n).cast("int")
     return listed.groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
@@ -105,13 +106,14 @@ def tiles_for_aoi(counties: DataFrame, bbox: tuple[float, float, float, float],
     tiles = grid.select("row", "col", x.alias("minx"), y.alias("miny"), F.least(x + step, F.lit(float(bbox[2]))).alias("maxx"), F.least(y + step, F.lit(float(bbox[3]))).alias("maxy"))
     tiles = tiles.withColumn("tile_id", F.col("row") * 1_000_000 + F.col("col"))
     shapes = tiles.withColumn("rings", R.rectangle(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
-    met = spatial_pairs(shapes, counties.withColumn("county_id", F.monotonically_increasing_id()), step, "tile_id", "county_id")
+    outlines = counties.select(F.xxhash64(F.to_json(F.struct("rings"))).alias("county_id"), "rings").dropDuplicates(["county_id"])
+    met = spatial_pairs(shapes, outlines, step, "tile_id", "county_id")
     return tiles.join(met.filter(shapes_intersect("rings_a", "rings_b")).select("tile_id").distinct(), "tile_id", "left_semi")
 
 
 def zone_area_share(zones: DataFrame, outlines: DataFrame, cell_m: float = 30_000, outline: str = "outline_id") -> DataFrame:
     """Square metres and percentage of each outline by zone class."""
-    z = zones.withColumn("zone_id", F.monotonically_increasing_id())
+    z = zones.select(F.xxhash64(F.to_json(F.struct("rings")), "drought_class").alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
     pairs = spatial_pairs(outlines, z, cell_m, outline, "zone_id")
     met = pairs.withColumn("m2", intersection_area("rings_a", "rings_b")).join(z.select("zone_id", "drought_class"), "zone_id")
     whole = outlines.select(outline, R.area_m2(F.col("rings")).alias("total"))

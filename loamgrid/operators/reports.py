@@ -100,12 +100,20 @@ def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.sample(False, min(1.0, n / max(1, df.count())), seed)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in ``order``, from 0: rows are ranked within ranges, and ranges counted, so no task sees all rows."""
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn(name, inside).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+
+
 def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Every k-th row in order, n at most, with the stride k; for small dimension tables such as tiles."""
+    """Every k-th row in order, n at most, with the stride k."""
     total = df.count()
     k = max(1, total // max(1, n))
-    row = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("rn", row).filter(F.col("rn") % k == 0).orderBy("rn").limit(n).withColumn("stride", F.lit(k)).drop("rn")
+    return numbered(df, order, "rn").filter(F.col("rn") % k == 0).orderBy("rn").limit(n).withColumn("stride", F.lit(k)).drop("rn")
 
 
 def latency_summary(requests: DataFrame) -> DataFrame:
