@@ -19,6 +19,8 @@ text; input columns named like a result column are replaced.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -244,8 +246,15 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUC
     return ranges.groupBy("doc_key", "text_hash").agg(F.collect_list(packed).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The columns of ``docs`` and kept_text (kept words joined by one space), n_words, n_removed."""
+_WITH_SPACE = re.compile(rb"[ \t-\r]*[^ \t-\r]+")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, spaces: bool = False) -> DataFrame:
+    """The columns of ``docs`` and kept_text, n_words, n_removed.
+
+    Kept words are joined by one space, or with ``spaces`` by the white space
+    that stood before each of them.
+    """
     c.small_batches(docs.sparkSession)
     names = [n for n in docs.columns if n not in ("kept_text", "n_words", "n_removed")]
     keyed = docs.select(
@@ -259,7 +268,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCK
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         out = []
         for text, gone in zip(texts, ranges):
-            words = (text.as_py() or "").encode().split()
+            data = (text.as_py() or "").encode()
+            words = _WITH_SPACE.findall(data) if spaces else data.split()
             n, gone = len(words), gone.as_py()
             if gone:
                 drop = np.zeros(n + 1, np.int64)
@@ -267,7 +277,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_bytes: int = BUCK
                 np.add.at(drop, gone >> 32, 1)
                 np.add.at(drop, gone & 0xFFFFFFFF, -1)
                 words = [words[i] for i in np.flatnonzero(np.cumsum(drop[:-1]) == 0)]
-            out.append((b" ".join(words).decode(), n, n - len(words)))
+            out.append(((b"" if spaces else b" ").join(words).decode(), n, n - len(words)))
         kept, n_words, n_removed = zip(*out) if out else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], fields=list(kind))
 
