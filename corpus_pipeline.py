@@ -54,7 +54,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that stand elsewhere before."""
-    kept = substrings.remove_repeats(docs)
+    kept = substrings.remove_repeats(docs, spaces=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = kept.withColumn("text", text)
     if "n_chars" in docs.columns:
