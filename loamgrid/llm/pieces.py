@@ -227,7 +227,7 @@ class PieceCodec:
 
     def _nodes(self, text: str) -> Iterator[_Node]:
         """The segments of a text, in order."""
-        if MARK in text or "" in text:
+        if MARK in text:
             return iter(self._marked(text))
         if "  " not in text and text[0] != " " and text[-1] != " ":  # one word after each space
             return chain.from_iterable(map(self.known.__getitem__, text.split(" ")))
