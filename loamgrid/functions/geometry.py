@@ -148,11 +148,20 @@ def read_wkb(data: bytes | None):
         return None
 
 
-def write_wkb(shape) -> bytes | None:
-    """MultiPolygon, little-endian."""
+def read_srid(data: bytes | None) -> int | None:
+    """The SRID that extended WKB carries, if it does."""
+    if not data or len(data) < 9:
+        return None
+    order = "<" if data[0] == 1 else ">"
+    code, srid = struct.unpack_from(order + "II", data, 1)
+    return srid if code & 0x20000000 else None
+
+
+def write_wkb(shape, srid: int | None = None) -> bytes | None:
+    """MultiPolygon, little-endian; extended by the SRID where one is given."""
     if shape is None:
         return None
-    out = [struct.pack("<BII", 1, 6, len(shape))]
+    out = [struct.pack("<BII", 1, 6, len(shape)) if srid is None else struct.pack("<BIII", 1, 6 | 0x20000000, srid, len(shape))]
     for poly in shape:
         out.append(struct.pack("<BII", 1, 3, len(poly)))
         for ring in poly:
@@ -165,9 +174,19 @@ def wkb_to_rings(column: pa.Array) -> pa.Array:
     return pack([read_wkb(x.as_py()) for x in column])
 
 
-@arrow_function("binary")
-def rings_to_wkb(column: pa.Array) -> pa.Array:
-    return pa.array([write_wkb(s) for s in unpack(column)], pa.binary())
+@arrow_function("int")
+def wkb_srid(column: pa.Array) -> pa.Array:
+    return pa.array([read_srid(x.as_py()) for x in column], pa.int32())
+
+
+def rings_to_wkb(rings, srid: int | None = None) -> Column:
+    """WKB of rings, assigned an SRID where one is given."""
+
+    @arrow_function("binary")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([write_wkb(s, srid) for s in unpack(column)], pa.binary())
+
+    return run(rings)
 
 
 # --- predicates and overlay ---------------------------------------------------

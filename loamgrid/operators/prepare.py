@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rings as R
 from ..functions.geometry import intersection_area, repaired, shapes_intersect, simplified
-from .overlay import spatial_pairs
+from .overlay import point_in_polygon_join, spatial_pairs
 from .reports import numbered
 
 
@@ -129,6 +129,11 @@ def layer_overlap(points: DataFrame, soil: DataFrame) -> DataFrame:
     return p.crossJoin(s).select(R.bbox_overlaps(tuple(c[:4]), tuple(c[4:])).alias("overlaps"))  # one row each
 
 
+def layer_classes(points: DataFrame, soil: DataFrame, cell_m: float = 3000) -> DataFrame:
+    """Land-cover codes that the soil layer's polygons really hold, with their pixels: layers may meet by box alone."""
+    return point_in_polygon_join(points, soil, cell_m).groupBy("crop_code").agg(F.count("*").alias("pixels"))
+
+
 def footprint_coverage(points: DataFrame, soil: DataFrame, pixel: float = 30) -> DataFrame:
     """One row: soil area inside the raster's footprint against the footprint's area."""
     b = points.agg((F.min("x") - pixel / 2).alias("a"), (F.min("y") - pixel / 2).alias("b"), (F.max("x") + pixel / 2).alias("c"), (F.max("y") + pixel / 2).alias("d"))

@@ -64,6 +64,36 @@ def soil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("rings", rings)
 
 
+def dented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square for each soil polygon whose lower side is pushed out in the middle: by 10 m where polygon_id is even, else by 50."""
+    x, y = F.col("x0"), F.col("y0")
+    out = F.when(F.col("polygon_id") % 2 == 0, 10).otherwise(50)
+    ring = [R.vertex(x, y), R.vertex(x + 150, y - out), *(R.vertex(x + a, y + b) for a, b in ((300, 0), (300, 300), (0, 300), (0, 0)))]
+    return fixture(spark, sf_dir, "fx_soil").withColumn("rings", F.array(F.array(F.array(*ring))))
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing for each field, in units of its box: one good, the others each wrong in a way of its own (field_id % 10)."""
+    x, y, h = F.col("minx"), F.col("miny"), (F.col("maxx") - F.col("minx")) / 10
+    ring = lambda *at: F.array(*[R.vertex(x + h * a, y + h * b) for a, b in at])
+    square = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    shapes = [
+        F.array(F.array(ring(*square))),
+        F.array(F.array(ring(*square[:3]))),  # too few positions
+        F.array(F.array(ring(*square[:4]))),  # open
+        F.array(F.array(ring((0, 0), (10, 10), (10, 0), (0, 10), (0, 0)))),  # bow-tie
+        F.array(F.array(ring((0, 0), (10, 0), (10, 10), (5, 10), (5, 14), (5, 10), (0, 10), (0, 0)))),  # spike
+        F.array(F.array(ring(*square), ring((12, 2), (14, 2), (14, 4), (12, 4), (12, 2)))),  # hole outside
+        F.array(F.array(ring((0, 0), (5, 5), (10, 0), (10, 10), (5, 5), (0, 10), (0, 0)))),  # touches itself
+        F.array(F.array(ring(*square)), F.array(ring((5, 5), (15, 5), (15, 15), (5, 15), (5, 5)))),  # parts overlap
+        F.array(F.array(ring((0, 0), (2000, 0), (2000, 2000), (0, 2000), (0, 0)))),  # too large
+        F.lit(None).cast(R.RINGS),
+    ]
+    kind = F.col("field_id") % len(shapes)
+    picked = F.coalesce(*[F.when(kind == i, shape) for i, shape in enumerate(shapes[:-1])])
+    return fixture(spark, sf_dir, "fx_fields").select("field_id", picked.alias("rings"))
+
+
 def rectangles(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """fx_drought or fx_fields with their rings in place of the corners."""
     box = R.rectangle(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])

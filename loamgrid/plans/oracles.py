@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.albers import C, E, E2, LON0, N, RHO0
 from ..functions.legend import DROUGHT_LABELS, GROUPS, LEGEND, NOT_FARMED
-from .fixtures import SQL
+from .fixtures import SQL, X0, Y0
 
 ACRE = 4046.8564224
 
@@ -58,6 +58,20 @@ touch AS (
     ON greatest(d.minx-(s.x0+150), 0, (s.x0+150)-d.maxx) + greatest(d.miny-(s.y0+150), 0, (s.y0+150)-d.maxy) <= 210 WHERE s.shape = 4),
 soil_dry AS (SELECT s.*, coalesce(m.d, -1) AS drought_class FROM fx_soil s LEFT JOIN (SELECT polygon_id, max(drought_class) AS d FROM touch GROUP BY polygon_id) m ON m.polygon_id = s.polygon_id)"""
 
+_AREA = "CASE shape WHEN 0 THEN 90000.0 WHEN 1 THEN 57600.0 WHEN 2 THEN 75600.0 WHEN 3 THEN 72000.0 ELSE 88200.0 END"
+_BOX = (X0 + 450, Y0 + 130, X0 + 3010, Y0 + 2345)
+
+
+def _inside_box(box: tuple, soil: str = "fx_soil", more: str = "") -> str:
+    """SQL for polygon_id and m2 of each soil polygon inside a box."""
+    a, b, c, d = box
+    keep = f", {more}" if more else ""
+    cut = f"greatest(0, least({c}, x0+rx2)-greatest({a}, x0+rx1)) * greatest(0, least({d}, y0+ry2)-greatest({b}, y0+ry1))"
+    u = [f"({v}-({o}+150))" for v, o in ((a, "x0"), (b, "y0"), (c, "x0"), (d, "y0"))]
+    diamond = f"{_diamond(u[2], u[3])} - {_diamond(u[0], u[3])} - {_diamond(u[2], u[1])} + {_diamond(u[0], u[1])}"
+    return f"SELECT polygon_id{keep}, sum(1.0*{cut}) AS m2 FROM {soil}, fx_shape_rects r WHERE r.shape = fx_soil.shape GROUP BY ALL UNION ALL SELECT polygon_id{keep}, {diamond} AS m2 FROM {soil} WHERE shape = 4"
+
+
 _KEY = "mukey, musym, areasymbol, crop_code, drought_class"
 _ENRICH = f"round(pixels * (900/{ACRE}), 3) AS acres, {_NAME} AS land_cover, {_AG} AS is_agricultural"
 _PARTS = {
@@ -176,4 +190,21 @@ ORACLES = {
     "run_summary": "SELECT count(*) AS runs, sum(CASE WHEN s >= 100 THEN 1 ELSE 0 END) AS excluded, round(median(s) FILTER (WHERE s < 100), 3) AS median_s, round(min(s), 3) AS min_s, round(max(s) FILTER (WHERE s < 100), 3) AS max_s, round(stddev_samp(s) FILTER (WHERE s < 100), 4) AS stdev_s, round(max(r)/median(s) FILTER (WHERE s < 100), 1) AS records_per_s FROM (SELECT event_id, 1 + (event_id*7919 % 12000)/100.0::double AS s, 1000000 AS r FROM events)",
     "tiles_for_aoi": _with("SELECT DISTINCT t.tr AS row, t.tc AS col FROM (SELECT r.i AS tr, c.i AS tc, x0 + 1000*c.i AS tx0, y0 + 1000*r.i AS ty0, least(x0 + 1000*(c.i+1), x1) AS tx1, least(y0 + 1000*(r.i+1), y1) AS ty1 FROM (SELECT min(minx) AS x0, min(miny) AS y0, max(maxx) AS x1, max(maxy) AS y1 FROM fx_fields) b, LATERAL (SELECT unnest(range(0, cast(greatest(1, ceil((b.y1-b.y0)/1000.0)) AS bigint))) AS i) r, LATERAL (SELECT unnest(range(0, cast(greatest(1, ceil((b.x1-b.x0)/1000.0)) AS bigint))) AS i) c) t JOIN fx_fields f ON f.minx <= t.tx1 AND f.maxx >= t.tx0 AND f.miny <= t.ty1 AND f.maxy >= t.ty0"),
     "raster_points": _with("SELECT x, y, crop_code FROM fx_points"),
+    "point_files": _with("SELECT x, y, crop_code FROM fx_points"),
+    "geometry_files": _with(f"SELECT polygon_id, 5070 AS srid, {_AREA} AS m2 FROM fx_soil"),
+    "wkt_round_trip": _with(f"SELECT polygon_id, cast(x0 - o AS double) AS minx, cast(y0 - o AS double) AS miny, x0 + 300.0 + o AS maxx, y0 + 300.0 + o AS maxy, {_AREA} AS m2, CASE WHEN shape = 3 THEN 2 ELSE 1 END AS parts FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
+    "swapped_axes": _with("SELECT polygon_id, cast(y0 - o AS double) AS minx, cast(x0 - o AS double) AS miny, y0 + 300.0 + o AS maxx, x0 + 300.0 + o AS maxy FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
+    "published_overlay": _with(f"SELECT {_COLS}, CASE WHEN crop_code < 60 THEN 'west' ELSE 'east' END AS aoi FROM plain", "plain"),
+    "written_overlay": _with("SELECT mukey, sum(pixels) AS pixels FROM plain GROUP BY mukey", "plain"),
+    "clipped_soil": _with(f"SELECT polygon_id, {_r('m2', 3)} AS m2 FROM ({_inside_box(_BOX)}) WHERE m2 > 0"),
+    "soil_in_area": _with(f"SELECT DISTINCT s.polygon_id FROM fx_soil s JOIN fx_shape_rects r ON r.shape = s.shape WHERE s.x0+r.rx1 <= {_BOX[2]} AND s.x0+r.rx2 >= {_BOX[0]} AND s.y0+r.ry1 <= {_BOX[3]} AND s.y0+r.ry2 >= {_BOX[1]} UNION SELECT polygon_id FROM fx_soil WHERE shape = 4 AND greatest({_BOX[0]}-(x0+150), 0, (x0+150)-({_BOX[2]})) + greatest({_BOX[1]}-(y0+150), 0, (y0+150)-({_BOX[3]})) <= 210"),
+    "footprint_coverage": _with(f"SELECT {_r('sum(m2)', 3)} AS soil_m2, any_value(whole) AS footprint_m2, {_r('sum(m2)/any_value(whole)', 6)} AS coverage FROM (SELECT m2, (c-a)*(d-b) AS whole FROM ({_inside_box(('a', 'b', 'c', 'd'), 'fx_soil, (SELECT min(x)-15.0 AS a, min(y)-15.0 AS b, max(x)+15.0 AS c, max(y)+15.0 AS d FROM fx_points)', 'a, b, c, d')}))"),
+    "layer_classes": _with("SELECT crop_code, count(*) AS pixels FROM hit GROUP BY crop_code", "hits"),
+    "geometry_types": _with("SELECT CASE WHEN shape = 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, count(*) AS n FROM fx_soil GROUP BY 1"),
+    "prepared_soil": _with(f"SELECT mukey, sum({_AREA}) AS total_m2, count(*) AS polygons FROM fx_soil GROUP BY mukey"),
+    "simplify_impact": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS net_pct, {_r('avg(100*abs(b-a)/a)', 6)} AS mean_abs_pct, {_r('max(100*abs(b-a)/a)', 6)} AS worst_pct FROM (SELECT 90000.0 + 150*o AS a, 90000.0 + CASE WHEN o = 50 THEN 150*o ELSE 0 END AS b FROM (SELECT CASE WHEN polygon_id % 2 = 0 THEN 10 ELSE 50 END AS o FROM fx_soil))"),
+    "simplified_soil": _with("SELECT polygon_id, CASE WHEN polygon_id % 2 = 0 THEN 90000.0 ELSE 97500.0 END AS m2, CASE WHEN polygon_id % 2 = 0 THEN 5 ELSE 6 END AS vertices FROM fx_soil"),
+    "answer_change": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS total_pct, {_r('quantile_cont(e, 0.5)', 6)} AS median_pct, {_r('quantile_cont(e, 0.95)', 6)} AS p95_pct, {_r('max(e)', 6)} AS worst_pct FROM (SELECT a, b, 100*abs(b-a)/a AS e FROM (SELECT query_acres AS a, query_acres*(1 + (field_id % 7 - 3)/100.0) AS b FROM fields))", "fields"),
+    "field_statuses": _with(f"SELECT field_id, CASE field_id % 10 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_ring' WHEN 2 THEN 'bad_ring' WHEN 8 THEN CASE WHEN 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END WHEN 9 THEN 'bad_geometry' ELSE 'invalid' END AS status FROM (SELECT field_id, maxx-minx AS w FROM fx_fields)"),
+    "repaired_fields": _with(f"SELECT field_id, {_r('CASE field_id % 10 WHEN 3 THEN 0.5*w*w WHEN 5 THEN 1.04*w*w WHEN 6 THEN 0.5*w*w WHEN 7 THEN 1.5*w*w WHEN 8 THEN 40000.0*w*w ELSE 1.0*w*w END', 3)} AS m2 FROM (SELECT field_id, cast(maxx-minx AS double) AS w FROM fx_fields) WHERE field_id % 10 IN (0, 3, 4, 5, 6, 7, 8)"),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import legend, links
 from ..functions import rings as R
 from ..functions.albers import to_4326, to_5070
-from ..functions.geometry import rings_to_wkb, wkb_to_rings
+from ..functions.geometry import repaired, rings_to_wkb, wkb_srid, wkb_to_rings
 from ..functions.numbers import rounded
 from ..operators import fields as FL
 from ..operators import overlay as O
@@ -344,14 +344,126 @@ def zone_area_share(s, d):
 
 @_query
 def footprint_coverage(s, d):
-    return P.footprint_coverage(X.points(s, d), X.soil(s, d))
+    return _round(P.footprint_coverage(X.points(s, d), X.soil(s, d)), soil_m2=3, coverage=6)
 
 
 @_query
 def simplify_impact(s, d):
-    soil = X.soil(s, d)
+    soil = X.dented(s, d)
     simple = soil.withColumn("rings", P.simplified(F.col("rings"), 30.0))
-    return P.simplify_impact(soil, simple)
+    return _round(P.simplify_impact(soil, simple), net_pct=6, mean_abs_pct=6, worst_pct=6)
+
+
+@_query
+def simplified_soil(s, d):
+    """Each dented square after simplification."""
+    simple = X.dented(s, d).withColumn("rings", P.simplified(F.col("rings"), 30.0))
+    return _round(simple.select("polygon_id", R.area_m2(F.col("rings")).alias("m2"), F.size(F.flatten(F.flatten("rings"))).alias("vertices")), m2=3)
+
+
+@_query
+def answer_change(s, d):
+    """Field acres before and after a change of at most three per cent."""
+    a = X.rectangles(s, d, "fx_fields").select("field_id", (R.area_m2(F.col("rings")) / R.M2_PER_ACRE).alias("acres"))
+    b = a.withColumn("acres", F.col("acres") * (1 + (F.col("field_id") % 7 - 3) / 100.0))
+    return _round(P.answer_diff(a, b), total_pct=6, median_pct=6, p95_pct=6, worst_pct=6)
+
+
+# --- reading, writing, shaping ------------------------------------------------
+
+
+@_query
+def point_files(s, d):
+    """Points written by cell and read again."""
+    path = T.shared_folder(s, "points")
+    T.write_points(X.points(s, d).select("x", "y", F.col("crop_code").cast("short")), path, 3000)
+    return T.read_points(s, path).withColumn("crop_code", F.col("crop_code").cast("int"))
+
+
+@_query
+def geometry_files(s, d):
+    """Soil written as WKB and read again: number, SRID and area."""
+    path = T.shared_folder(s, "soil")
+    X.soil(s, d).select("polygon_id", rings_to_wkb("rings", 5070).alias("geometry")).write.parquet(path)
+    return T.read_geometries(s, path).select("polygon_id", wkb_srid("geometry").alias("srid"), R.area_m2(F.col("rings")).alias("m2"))
+
+
+@_query
+def wkt_round_trip(s, d):
+    soil = X.soil(s, d).withColumn("rings", T.from_wkt(T.to_wkt(F.col("rings"))))
+    return R.with_bbox(soil).select("polygon_id", "minx", "miny", "maxx", "maxy", R.area_m2(F.col("rings")).alias("m2"), F.size("rings").alias("parts"))
+
+
+@_query
+def published_overlay(s, d):
+    """Two areas published, one of them twice, and read with the served types."""
+    path = T.shared_folder(s, "served")
+    o = overlay(s, d)
+    west, east = o.filter("crop_code < 60"), o.filter("crop_code >= 60")
+    for part, name in ((west, "west"), (east, "east"), (west, "west")):
+        T.publish(part, path, name)
+    return T.load_overlay(s.read.parquet(path), "aoi").withColumn("crop_code", F.col("crop_code").cast("int"))
+
+
+@_query
+def written_overlay(s, d):
+    """A full product, and a sampled run that must not replace it."""
+    path = T.shared_folder(s, "product")
+    o = overlay(s, d)
+    full = T.write_overlay(o, path)
+    T.write_overlay(o.filter("crop_code = 1"), path, sampled=True)
+    return s.read.parquet(full).groupBy("mukey").agg(F.sum("pixels").alias("pixels"))
+
+
+@_query
+def swapped_axes(s, d):
+    soil = P.swap_axes(X.soil(s, d))
+    return R.with_bbox(soil).select("polygon_id", "minx", "miny", "maxx", "maxy")
+
+
+_BOX = (X.X0 + 450, X.Y0 + 130, X.X0 + 3010, X.Y0 + 2345)
+
+
+@_query
+def clipped_soil(s, d):
+    """Soil cut to a box."""
+    cut = O.clip_to_bbox(X.soil(s, d), _BOX)
+    return _round(cut.select("polygon_id", R.area_m2(F.col("rings")).alias("m2")), m2=3)
+
+
+@_query
+def soil_in_area(s, d):
+    """Soil that touches a box."""
+    return O.intersecting(X.soil(s, d), R.rectangle(*[F.lit(v) for v in _BOX])).select("polygon_id")
+
+
+@_query
+def layer_classes(s, d):
+    return P.layer_classes(X.points(s, d), X.soil(s, d), X.CELL)
+
+
+@_query
+def geometry_types(s, d):
+    return RP.geometry_types(X.soil(s, d))
+
+
+@_query
+def fraction_sample(s, d):
+    """About a hundred points; which ones depends on the partitioning."""
+    return RP.sample_n(X.points(s, d), 100)
+
+
+@_query
+def field_statuses(s, d):
+    """Fields drawn well and badly, and what becomes of them."""
+    return FL.validate_fields(X.drawings(s, d), projected=True).select("field_id", "status")
+
+
+@_query
+def repaired_fields(s, d):
+    """Areas of the badly drawn fields after repair."""
+    f = X.drawings(s, d).filter(R.ring_status(F.col("rings")) == "ok").withColumn("rings", repaired("rings"))
+    return _round(f.select("field_id", R.area_m2(F.col("rings")).alias("m2")), m2=3)
 
 
 @_query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,12 @@ from ..functions.rings import RINGS, normalise
 POINTS = "x int, y int, crop_code short"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/loamgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Land-cover records; splits follow spark.sql.files.maxPartitionBytes, not the number of files."""
     return spark.read.schema(POINTS).parquet(path)
@@ -36,10 +44,10 @@ def write_overlay(overlay: DataFrame, path: str, sampled: bool = False) -> str:
     return path
 
 
-def load_overlay(df: DataFrame) -> DataFrame:
-    """The nine served columns with their types."""
+def load_overlay(df: DataFrame, *more: str) -> DataFrame:
+    """The nine served columns with their types, and any ``more`` as they are."""
     kinds = {"mukey": "string", "musym": "string", "areasymbol": "string", "crop_code": "short", "drought_class": "int", "pixels": "long", "acres": "double", "land_cover": "string", "is_agricultural": "boolean"}
-    return df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+    return df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *more)
 
 
 def publish(df: DataFrame, path: str, aoi: str) -> None:
@@ -80,6 +88,26 @@ def from_geojson(column: Column) -> Column:
     return F.transform(shape, lambda poly: F.transform(poly, lambda r: F.transform(r, pair))).cast(RINGS)
 
 
+def from_wkt(column: Column) -> Column:
+    """Rings of a POLYGON or MULTIPOLYGON text, further ordinates dropped; null for anything else."""
+    kind = F.upper(F.regexp_extract(column, r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+)", 1))
+    body = F.regexp_extract(column, r"(\(.*\))", 1)
+    # positions become arrays of numbers, and brackets those of JSON
+    text = F.regexp_replace(body, r"\s*([-+.\deE]+)\s+([-+.\deE]+)[^,()]*", "[$1,$2]")
+    text = F.translate(text, "()", "[]")
+    ring = "array<array<array<double>>>"
+    shape = F.when(kind == "POLYGON", F.array(F.from_json(text, ring))).when(kind == "MULTIPOLYGON", F.from_json(text, f"array<{ring}>"))
+    pair = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    return F.transform(shape, lambda poly: F.transform(poly, lambda r: F.transform(r, pair))).cast(RINGS)
+
+
+def to_wkt(rings: Column) -> Column:
+    """MULTIPOLYGON text of rings."""
+    listed = lambda parts: F.concat(F.lit("("), F.array_join(parts, ","), F.lit(")"))
+    point = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+    return F.concat(F.lit("MULTIPOLYGON "), listed(F.transform(rings, lambda poly: listed(F.transform(poly, lambda r: listed(F.transform(r, point)))))))
+
+
 def to_geojson(rings: Column, places: int = 6) -> Column:
     """GeoJSON text, a Polygon for one part and a MultiPolygon for more."""
     pairs = F.transform(normalise(rings, places), lambda poly: F.transform(poly, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
