@@ -151,7 +151,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
             scale, n = 1, int(ends[at])
             for i in range(int(starts[at]), n, _STEP):
                 part = values[i : min(n, i + _STEP)].astype(np.uint64) + np.uint64(1)
-                out[at] += (part * powers[: len(part)]).sum(dtype=np.uint64) * np.uint64(scale)
+                out[at : at + 1] += (part * powers[: len(part)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(scale)
                 scale = scale * pow(_BASE, _STEP, 2**64) % 2**64
             at += 1
             continue
