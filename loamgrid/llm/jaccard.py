@@ -255,13 +255,15 @@ def traverse(one: SignatureTree, two: SignatureTree, percent: int = PERCENT) ->
 
 def tree_candidates(members: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of different components that a group's trees leave: members are (g, k, part)."""
-    # a group's largest component comes in blocks that meet only those of all others: it is never compared with itself
+    # a small group is one block; a larger one's largest component comes in blocks that meet only those of all others:
+    # it is never compared with itself
     parts = members.groupBy("g", "part").agg(F.count("*").alias("size"))
     sizes = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "part")).alias("main")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("g", F.col("main.part").alias("main"), blocks(F.col("main.size")).alias("mains"), blocks(F.col("size") - F.col("main.size")).alias("others"))
+    large, main = F.col("size") > BLOCK, F.col("main.size")
+    sizes = sizes.select("g", F.when(large, F.col("main.part")).alias("main"), F.when(large, blocks(main)).otherwise(0).alias("mains"), F.when(large, blocks(F.col("size") - main)).otherwise(1).alias("others"))
     live = members.join(sizes, "g").join(classes.select("k", "n", "bitmap"), "k")
-    in_main, hashed = F.col("part") == F.col("main"), F.xxhash64("k")
+    in_main, hashed = F.col("part").eqNullSafe(F.col("main")), F.xxhash64("k")
     own = F.when(in_main, F.pmod(hashed, F.col("mains"))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others"))).cast("int")
     first = F.when(in_main, F.col("mains")).otherwise(F.lit(0))
     pairs = F.transform(F.sequence(first, F.col("mains") + F.col("others") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))

@@ -105,6 +105,21 @@ def test_shingle_components_of_edited_families(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows)
 
 
+def test_groups_of_many_blocks_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    r = random.Random(3)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(len(w))] = f"e{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows)
+
+
 def test_tree_traversal_keeps_every_link():
     r = np.random.default_rng(3)
     base = [r.integers(0, 2**63, 200).astype(np.uint64) for _ in range(3)]
