@@ -31,6 +31,7 @@ SQL = {
     "fx_soil": f"SELECT s_suppkey AS polygon_id, cast(100000 + s_suppkey % 37 as varchar(20)) AS mukey, concat('M', cast(s_suppkey % 11 as varchar(20))) AS musym, CASE WHEN s_suppkey % 7 = 0 THEN 'NV001' ELSE 'CA013' END AS areasymbol, {X0} + 300*(s_suppkey % 20) AS x0, {Y0} + 300*cast(floor(s_suppkey/20) as bigint) AS y0, s_suppkey % 5 AS shape FROM supplier",
     "fx_drought": f"SELECT r_regionkey AS drought_class, {X0} + 1200*r_regionkey AS minx, {Y0} AS miny, {X0} + 1200*r_regionkey + 1500 AS maxx, {Y0} + 30*(SELECT cast(floor(count(*)/200) as bigint) FROM events) AS maxy FROM region",
     "fx_attr": "SELECT cast(100000 + n_nationkey as varchar(20)) AS mukey, CASE WHEN n_nationkey % 2 = 0 THEN concat(n_name, '.') ELSE n_name END AS muname, nullif(n_nationkey % 9, 0) AS cap_rainfed, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey % 8 + 1 END AS cap_irrigated, CASE n_nationkey % 3 WHEN 0 THEN 'Well drained' WHEN 1 THEN 'Poorly drained' END AS drainage, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey * cast(0.8 as double) END AS water_storage, CASE WHEN n_nationkey % 6 <> 0 THEN n_nationkey * cast(1.5 as double) END AS slope_pct FROM nation",
+    "fx_raw_attr": "SELECT cast(100000 + s_suppkey as varchar(20)) AS mukey, concat(s_name, '.') AS muname, nullif(s_suppkey % 9, 0) AS cap_rainfed, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 8 + 1 END AS cap_irrigated, CASE s_suppkey % 3 WHEN 0 THEN 'Well drained' WHEN 1 THEN 'Poorly drained' END AS drainage, CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey % 50) * cast(0.8 as double) END AS water_storage, CASE WHEN s_suppkey % 6 <> 0 THEN (s_suppkey % 60) * cast(1.5 as double) END AS slope_pct FROM supplier",
     "fx_fields": f"SELECT c_custkey AS field_id, {X0} + (c_custkey*137) % 6600 - 300 - h AS minx, {Y0} + (c_custkey*91) % (30*r + 600) - 300 - h AS miny, {X0} + (c_custkey*137) % 6600 - 300 + h AS maxx, {Y0} + (c_custkey*91) % (30*r + 600) - 300 + h AS maxy FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 800 ELSE 1600 END AS h, (SELECT cast(floor(count(*)/200) as bigint) FROM events) AS r FROM customer) q",
     "fx_requests": "SELECT event_type AS phase, user_id % 5 AS run, value AS latency_ms, CASE WHEN event_id % 50 = 0 THEN 500 ELSE 200 END AS status, event_id % 2 = 0 AS cached FROM events",
 }
@@ -40,7 +41,7 @@ RECTS = [(0, 0, 0, 300, 300), (1, 0, 0, 300, 120), (1, 0, 120, 120, 300), (2, 0,
 SQL["fx_shape_edges"] = "SELECT * FROM (VALUES " + ", ".join(map(str, _EDGES)) + ") AS t(shape, ex1, ey1, ex2, ey2)"
 SQL["fx_shape_rects"] = "SELECT * FROM (VALUES " + ", ".join(map(str, RECTS)) + ") AS t(shape, rx1, ry1, rx2, ry2)"
 
-_TABLES = {"fx_points": ["events"], "fx_points_skew": ["events", "lineitem"], "fx_soil": ["supplier"], "fx_drought": ["events", "region"], "fx_attr": ["nation"], "fx_fields": ["events", "customer"], "fx_requests": ["events"]}
+_TABLES = {"fx_points": ["events"], "fx_points_skew": ["events", "lineitem"], "fx_soil": ["supplier"], "fx_drought": ["events", "region"], "fx_attr": ["nation"], "fx_raw_attr": ["supplier"], "fx_fields": ["events", "customer"], "fx_requests": ["events"]}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

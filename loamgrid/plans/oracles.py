@@ -159,7 +159,7 @@ ORACLES = {
     "polygon_geometry": _with("SELECT polygon_id, cast(x0 - o AS double) AS minx, cast(y0 - o AS double) AS miny, x0 + 300.0 + o AS maxx, y0 + 300.0 + o AS maxy, CASE WHEN shape = 3 THEN 'MultiPolygon' ELSE 'Polygon' END AS geometry_type, round(CASE shape WHEN 1 THEN x0 + (36000*150 + 21600*60)/57600.0 ELSE x0+150.0 END, 3) AS cx, round(CASE shape WHEN 1 THEN y0 + (36000*60 + 21600*210)/57600.0 ELSE y0+150.0 END, 3) AS cy, 'ok' AS status FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
     "soil_profile": _with("SELECT count(*) AS polygons, count(DISTINCT mukey) AS units, count(DISTINCT areasymbol) AS areas, min(v) AS min_acres, median(v) AS median_acres, max(v) AS max_acres FROM (SELECT *, CASE WHEN polygon_id % 6 <> 0 THEN cast(polygon_id % 50 AS double) END AS v FROM fx_soil)"),
     "dedupe_polygons": _with("SELECT polygon_id, min(t) AS tile_id, any_value(mukey) AS mukey FROM (SELECT *, polygon_id % 4 AS t FROM fx_soil UNION ALL SELECT *, (polygon_id+1) % 4 AS t FROM fx_soil WHERE polygon_id % 3 = 0) GROUP BY polygon_id"),
-    "clean_attributes": _with("SELECT mukey, muname, cap_rainfed, cap_irrigated, drainage, water_storage, slope_pct FROM fx_attr"),
+    "clean_attributes": _with("SELECT mukey, muname, cap_rainfed, cap_irrigated, drainage, water_storage, slope_pct FROM fx_raw_attr"),
     "attribute_coverage": _with("SELECT count(*) AS units, count(cap_rainfed) AS cap_rainfed, count(cap_irrigated) AS cap_irrigated, count(drainage) AS drainage, count(water_storage) AS water_storage, count(slope_pct) AS slope_pct, (SELECT count(DISTINCT mukey) FROM overlay WHERE mukey NOT IN (SELECT mukey FROM fx_attr)) AS without_row FROM fx_attr", "overlay"),
     "key_batches": _with("SELECT cast(floor((rn-1)/10) AS int) AS batch, count(*) AS keys, min(mukey) AS first_key FROM (SELECT mukey, row_number() OVER (ORDER BY mukey) AS rn FROM (SELECT DISTINCT mukey FROM overlay)) GROUP BY 1", "overlay"),
     "class_diff": _with("SELECT coalesce(a.mukey, b.mukey) AS mukey, coalesce(a.crop_code, b.crop_code) AS crop_code, CASE WHEN b.mukey IS NULL THEN 'a' ELSE 'b' END AS only_in FROM (SELECT DISTINCT mukey, crop_code FROM overlay WHERE drought_class < 2) a FULL JOIN (SELECT DISTINCT mukey, crop_code FROM overlay WHERE drought_class >= 2) b ON a.mukey = b.mukey AND a.crop_code = b.crop_code WHERE a.mukey IS NULL OR b.mukey IS NULL", "overlay"),
@@ -167,7 +167,7 @@ ORACLES = {
     "stride_sample": "SELECT s_suppkey, k AS stride FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS rn, (SELECT greatest(1, cast(floor(count(*)/7) AS bigint)) FROM supplier) AS k FROM supplier) WHERE rn % k = 0 ORDER BY rn LIMIT 7",
     "valid_weeks": "SELECT event_id, strftime(d - cast((isodow(d) + 5) % 7 AS int), '%Y%m%d') AS week0, strftime(d - cast((isodow(d) + 5) % 7 AS int) - 21, '%Y%m%d') AS week3 FROM (SELECT event_id, cast(ts AS date) AS d FROM events)",
     "labels_and_groups": _with(f"SELECT crop_code, {_NAME} AS land_cover, coalesce({_NAME}, 'Unknown (' || crop_code || ')') AS label, {_GROUP} AS group_id, {_AG} AS is_agricultural, count(*) AS n FROM fx_points GROUP BY ALL"),
-    "region_slugs": "SELECT replace(lower(n_name), ' ', '_') AS slug FROM nation",
+    "region_slugs": "SELECT p_partkey, replace(lower(p_name), ' ', '_') AS slug FROM part",
     "square_fields": """SELECT c_custkey, round(lon - h/(111320.0*greatest(0.1, abs(cos(radians(lat))))), 6) AS minx, round(lat + h/111320.0, 6) AS maxy FROM (SELECT c_custkey, -120 + (c_custkey % 97)/100.0 AS lon, 36 + (c_custkey % 89)/100.0 AS lat, CASE c_custkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 800 ELSE 1600 END AS h FROM customer)""",
     "field_measure": _with(f"SELECT field_id, 'ok' AS status, cast(round(cast(query_acres AS DECIMAL(28,9)), 3) AS DOUBLE) AS query_acres FROM fields", "fields"),
     "field_hits": _with("SELECT field_id, mukey, cast(round(cast(inter_m2 AS DECIMAL(28,9)), 3) AS DOUBLE) AS inter_m2 FROM hits", "fields"),

@@ -271,8 +271,8 @@ def dedupe_polygons(s, d):
 
 @_query
 def clean_attributes(s, d):
-    """The attribute table as the JSON answer it is downloaded as, read and typed again."""
-    a = X.fixture(s, d, "fx_attr")
+    """An attribute table as the JSON answers it is downloaded as, read and typed again."""
+    a = X.fixture(s, d, "fx_raw_attr")
     names = {"mukey": "mukey", "muname": "muname", "niccdcd": "cap_rainfed", "iccdcd": "cap_irrigated", "drclassdcd": "drainage", "aws0150wta": "water_storage", "slopegraddcp": "slope_pct"}
     row = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit(None if c == "drainage" else "none")) for c in names.values()])
     head = F.array(*map(F.lit, names))
@@ -302,7 +302,7 @@ def labels_and_groups(s, d):
 
 @_query
 def region_slugs(s, d):
-    return _read(s, d, "nation").select(P.slug(F.col("n_name")).alias("slug"))
+    return _read(s, d, "part").select("p_partkey", P.slug(F.initcap("p_name")).alias("slug"))
 
 
 @_query
