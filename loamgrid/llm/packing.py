@@ -179,7 +179,8 @@ def pack(parts: DataFrame, window: int = WINDOW) -> DataFrame:
             sequence, offset = plan.place(length, rank)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    ranked = parts.join(counts.select("part", "length", "earlier"), ["part", "length"]).select(*names, (F.col("earlier") + F.col("nth")).alias("rank"))
+    # as many rows as tasks times lengths: more than a broadcast should hold
+    ranked = parts.join(counts.select("part", "length", "earlier").hint("merge"), ["part", "length"]).select(*names, (F.col("earlier") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, ", ".join(f"{n} long" for n in [*names, "sequence_id", "offset"]))
 
 
