@@ -90,12 +90,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 # --- texts as numbers ---------------------------------------------------------
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers from -1 to 2**24 - 2, the low bytes of all first: most high bytes are 0 and compress to nothing."""
+    return np.ascontiguousarray((x + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int32)
+    return (low | middle << 8 | high << 16) - 1
+
+
 def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(nth, row, train, ids, rest, which) for ``docs`` (row, train, text).
+    """(nth, row, train, ids, rest, shapes, which) for ``docs`` (row, train, text).
 
-    ``ids`` holds a little-endian int32 for each token: its place in ``words``,
-    which end with END, or -1. ``rest`` lists the text's other words, each once,
-    and ``which`` says for every -1, in order, which of them stands there.
+    ``ids`` holds for each token its place in ``words``, which end with END, or
+    -1. ``rest`` lists the text's other words, each once, ``shapes`` the shapes of
+    these, and ``which`` says for every -1, in order, which of them stands there.
     """
     c.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(words)  # lookup_words of them at most
@@ -103,20 +113,21 @@ def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
     def run(batches):
         find = {w: i for i, w in enumerate(shared.value)}.get
         for batch in batches:
-            ids, rests, which = [], [], []
+            ids, rests, shapes, which = [], [], [], []
             for text in batch.column("text"):
                 listed = tokens(text.as_py())
                 row = np.fromiter((find(w, -1) for w in listed), "<i4", len(listed))
                 rest: dict[bytes, int] = {}
-                which.append(np.array([rest.setdefault(listed[i], len(rest)) for i in np.flatnonzero(row < 0)], "<i4").tobytes())
-                ids.append(row.tobytes())
+                which.append(_planes(np.array([rest.setdefault(listed[i], len(rest)) for i in np.flatnonzero(row < 0)], np.int32)))
+                ids.append(_planes(row))
                 rests.append(list(rest))
-            columns = [batch.column("nth"), batch.column("row"), batch.column("train"), pa.array(ids, pa.binary()), pa.array(rests, pa.list_(pa.binary())), pa.array(which, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["nth", "row", "train", "ids", "rest", "which"])
+                shapes.append(bytes(map(shape, rest)))
+            columns = [batch.column("nth"), batch.column("row"), batch.column("train"), pa.array(ids, pa.binary()), pa.array(rests, pa.list_(pa.binary())), *(pa.array(x, pa.binary()) for x in (shapes, which))]
+            yield pa.RecordBatch.from_arrays(columns, ["nth", "row", "train", "ids", "rest", "shapes", "which"])
 
     source = docs.withColumn("nth", F.monotonically_increasing_id()).select("nth", "row", "train", "text")
     kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(run, f"nth long, row {kind}, train boolean, ids binary, rest array<binary>, which binary")
+    return source.mapInArrow(run, f"nth long, row {kind}, train boolean, ids binary, rest array<binary>, shapes binary, which binary")
 
 
 def _lines(batches, *columns: str) -> Iterator[tuple]:
@@ -129,11 +140,11 @@ def _lines(batches, *columns: str) -> Iterator[tuple]:
         at = 0
         while at < len(held):
             stop, size = at, 0
-            while stop < len(held) and (stop == at or size + len(held[stop]) <= 4 * _TOKENS):
+            while stop < len(held) and (stop == at or size + len(held[stop]) <= 3 * _TOKENS):
                 size += len(held[stop])
                 stop += 1
-            texts = [np.frombuffer(x, "<i4") for x in held[at:stop]]
-            flat = np.full(size // 4 + len(texts), -2, np.int32)
+            texts = [_numbers(x) for x in held[at:stop]]
+            flat = np.full(size // 3 + len(texts), -2, np.int32)
             ends = np.cumsum([len(t) + 1 for t in texts])
             for t, e in zip(texts, ends.tolist()):
                 flat[e - len(t) : e] = t
@@ -284,7 +295,7 @@ def rare_contexts(ids: DataFrame, group: np.ndarray) -> DataFrame:
             near = np.where(flat == -1, rest, np.where(flat == -2, end, shared.value[np.maximum(flat, 0)])).astype(np.int64)
             at = np.flatnonzero(flat == -1)
             base = np.cumsum([0, *pc.list_value_length(words).to_pylist()])
-            place = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), "<i4") + b for x, b in zip(which, base.tolist()))])
+            place = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_py()) + b for x, b in zip(which, base.tolist()))])
             code = near[at - 1] * size + near[at + 1]
             yield pa.RecordBatch.from_arrays([words.flatten().take(pa.array(place)), pa.array(code.astype(np.int32)), pa.array(np.ones(len(at), np.int64))], ["key", "code", "n"])
 
@@ -407,7 +418,7 @@ def coded(ids: DataFrame, model: ClassModel) -> DataFrame:
     """(row, train, n_tokens, n_known, base_score, emit, classes): every token's class as a byte, and what does not depend on the class."""
     rest = ids.select("nth", F.posexplode("rest").alias("k", "word")).join(model.rare, "word")
     known = rest.groupBy("nth").agg(F.collect_list(F.struct("k", "n", "class")).alias("known"))
-    source = ids.join(known, "nth", "left").select("row", "train", "ids", "rest", "which", "known")
+    source = ids.drop("rest").join(known, "nth", "left").select("row", "train", "ids", "shapes", "which", "known")
     shared = ids.sparkSession.sparkContext.broadcast((model.seen, model.group, model.classes, model.train_tokens, model.vocabulary))
     kind = source.schema["row"].dataType.simpleString()
 
@@ -421,12 +432,11 @@ def coded(ids: DataFrame, model: ClassModel) -> DataFrame:
             out, flat = [], batch.column("known").flatten()
             k_, n_, cls_ = (flat.field(x).to_numpy() for x in ("k", "n", "class"))
             stop = np.cumsum(pc.list_value_length(batch.column("known")).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            for ids_, rest, which, first, last in zip(batch.column("ids"), batch.column("rest"), batch.column("which"), [0, *stop], stop):
-                at, where = np.frombuffer(ids_.as_py(), "<i4"), np.frombuffer(which.as_py(), "<i4")
-                n, cls = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+            for ids_, shaped, which, first, last in zip(batch.column("ids"), batch.column("shapes"), batch.column("which"), [0, *stop], stop):
+                at, where = _numbers(ids_.as_py()), _numbers(which.as_py())
+                cls = np.frombuffer(shaped.as_py(), np.uint8).astype(np.int64) + shapes  # of words that no training text holds
+                n = np.zeros(len(cls), np.int64)
                 n[k_[first:last]], cls[k_[first:last]] = n_[first:last], cls_[first:last]
-                for i in np.flatnonzero(n == 0).tolist():
-                    cls[i] = shapes + shape(rest[i].as_py())
                 classes = group[np.maximum(at, 0)]
                 classes[at < 0] = cls[where]
                 inside = at[at >= 0]
