@@ -31,7 +31,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches bounded in bytes, as rows here are whole texts; one longer text is a batch of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
+    asked = spark.conf.get(key, str(2**31 - 1)).lower().rstrip("b")
+    if asked.isdigit() and int(asked) > BATCH_BYTES:  # a size with a unit is someone's choice
         spark.conf.set(key, str(BATCH_BYTES))
 
 
