@@ -5,7 +5,6 @@ from __future__ import annotations
 from math import floor
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from .geometry import arrow_function
 from .rings import RINGS
