@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterable
 
 #: Stretches and parts of them whose ids one worker keeps, all in all; beyond it the tables start anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 # The vocabulary's own splitting pattern, spelled out for the
 # characters up to U+00FF, all of which are unchanged by its NFC step.
