@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legend import drought_label
 from ..functions.numbers import rounded
+from ..sources.tables import shared_folder
 
 
 def land_cover_totals(overlay: DataFrame) -> DataFrame:
@@ -100,13 +101,21 @@ def sample_n(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.sample(False, min(1.0, n / max(1, df.count())), seed)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds the place of each row in ``order``, from 0: rows are ranked within ranges, and ranges counted, so no task sees all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the place of each row in ``order``, from 0, of rows dealt to ranges: no task sees all of them.
+
+    The ranges are fixed before they are counted: the sorted rows are written
+    once, each with its range and its place there. Rows equal in ``order`` come
+    in any order.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "numbered")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.option("compression", "zstd").parquet(path)
+    # the number's upper bits are the range, its lower ones the place there
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn(name, inside).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_start")).drop("_range", "_start")
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_at") + F.col("_start")).drop("_range", "_start", "_at")
 
 
 def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -16,8 +16,10 @@ POINTS = "x int, y int, crop_code short"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: below spark.checkpoint.dir, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder below spark.checkpoint.dir, which all executors see."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/loamgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
