@@ -245,9 +245,8 @@ def _sides(e: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
     return _side(e, f[:, :2]), _side(e, f[:, 2:]), _side(f, e[:, :2]), _side(f, e[:, 2:])
 
 
-def intersects(a, b) -> bool:
-    """Whether two shapes share a point; touching counts."""
-    e, f = edges_of(a), edges_of(b)
+def edges_meet(e: np.ndarray, f: np.ndarray) -> bool:
+    """Whether an edge of e and one of f share a point."""
     if not len(e) or not len(f):
         return False
     p, q = _near(e, f), _near(f, e)
@@ -256,6 +255,16 @@ def intersects(a, b) -> bool:
             s1, s2, t1, t2 = _sides(p[i], q[j])
             if ((s1 * s2 <= 0) & (t1 * t2 <= 0)).any():
                 return True
+    return False
+
+
+def intersects(a, b) -> bool:
+    """Whether two shapes share a point; touching counts."""
+    e, f = edges_of(a), edges_of(b)
+    if not len(e) or not len(f):
+        return False
+    if edges_meet(e, f):
+        return True
     starts = lambda shape: np.array([poly[0][0] for poly in shape if poly and len(poly[0])]).reshape(-1, 2)
     return bool(inside(f, starts(a)).any() or inside(e, starts(b)).any())  # a part may lie wholly inside
 
@@ -398,6 +407,39 @@ def _crossed_rows(e: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def strip_areas(e: np.ndarray, row_e: np.ndarray, sign_e: np.ndarray, f: np.ndarray, row_f: np.ndarray, sign_f: np.ndarray, n_rows: int) -> np.ndarray:
+    """For each row the sum, over pairs of an edge of e and one of f in it, of the signed area of what lies below both.
+
+    Edges are (x0, y0, x1, y1) with x0 < x1 and heights from 0 up; both lists are in order of rows.
+    """
+    out = np.zeros(n_rows)
+    at_f = np.append(0, np.cumsum(np.bincount(row_f, minlength=n_rows)))
+    size = np.diff(at_f)[row_e]  # each edge of a meets all of b's in its row
+    total = np.append(0, np.cumsum(size))
+    at = 0
+    while at < len(e):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + _STEP, side="right")) - 1)
+        n = size[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at_f[row_e[at:stop]], n)
+        p, q = e[i], f[j]
+        x0, x1 = np.maximum(p[:, 0], q[:, 0]), np.minimum(p[:, 2], q[:, 2])
+        on = x1 > x0
+        i, p, q, x0, x1, sign = i[on], p[on], q[on], x0[on], x1[on], (sign_e[i] * sign_f[j])[on]
+        p_rate, q_rate = (p[:, 3] - p[:, 1]) / (p[:, 2] - p[:, 0]), (q[:, 3] - q[:, 1]) / (q[:, 2] - q[:, 0])
+        p0, p1 = p[:, 1] + (x0 - p[:, 0]) * p_rate, p[:, 1] + (x1 - p[:, 0]) * p_rate
+        q0, q1 = q[:, 1] + (x0 - q[:, 0]) * q_rate, q[:, 1] + (x1 - q[:, 0]) * q_rate
+        d0, d1 = p0 - q0, p1 - q1
+        mean = (np.minimum(p0, q0) + np.minimum(p1, q1)) / 2
+        k = np.flatnonzero(d0 * d1 < 0)  # the lines cross on the way: two pieces
+        t = d0[k] / (d0[k] - d1[k])
+        peak = p0[k] + t * (p1[k] - p0[k])
+        mean[k] = (t * (np.minimum(p0, q0)[k] + peak) + (1 - t) * (peak + np.minimum(p1, q1)[k])) / 2
+        out += np.bincount(row_e[i], sign * mean * (x1 - x0), n_rows)
+        at = stop
+    return out
+
+
 def overlap_areas(a: Shapes, b: Shapes) -> np.ndarray:
     """Area of the common interior of the shapes in the same row; 0 where one is null.
 
@@ -406,7 +448,6 @@ def overlap_areas(a: Shapes, b: Shapes) -> np.ndarray:
     edges, of what lies below both: the integral of the lower of two lines. All
     pairs of edges of a block of rows are worked out together.
     """
-    out = np.zeros(len(a))
     (e, row_e, sign_e), (f, row_f, sign_f) = a.edges(), b.edges()
     crossed = _crossed_rows(e, row_e, len(a)) | _crossed_rows(f, row_f, len(a))
     base, top = (np.full((len(a), 2), v) for v in (-np.inf, np.inf))
@@ -424,32 +465,10 @@ def overlap_areas(a: Shapes, b: Shapes) -> np.ndarray:
         x, row, sign = x[on], row[on], sign[on]
         sign = np.where(x[:, 0] < x[:, 2], sign, -sign)
         x = np.where((x[:, 0] < x[:, 2])[:, None], x, x[:, [2, 3, 0, 1]]) - np.tile(base[row], 2)
-        return x, row, sign, np.append(0, np.cumsum(np.bincount(row, minlength=len(a))))
+        return x, row, sign
 
-    (e, row_e, sign_e, at_e), (f, row_f, sign_f, at_f) = kept(e, row_e, sign_e), kept(f, row_f, sign_f)
-    size = np.diff(at_f)[row_e]  # each edge of a meets all of b's in its row
-    total = np.append(0, np.cumsum(size))
-    at = 0
-    while at < len(e):
-        stop = max(at + 1, int(np.searchsorted(total, total[at] + _STEP, side="right")) - 1)
-        n = size[at:stop]
-        i = np.repeat(np.arange(at, stop), n)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at_f[row_e[at:stop]], n)
-        p, q = e[i], f[j]
-        x0, x1 = np.maximum(p[:, 0], q[:, 0]), np.minimum(p[:, 2], q[:, 2])
-        on = x1 > x0
-        i, p, q, x0, x1, sign = i[on], p[on], q[on], x0[on], x1[on], (sign_e[i] * sign_f[j])[on]
-        p_rate, q_rate = (p[:, 3] - p[:, 1]) / (p[:, 2] - p[:, 0]), (q[:, 3] - q[:, 1]) / (q[:, 2] - q[:, 0])
-        p0, p1 = p[:, 1] + (x0 - p[:, 0]) * p_rate, p[:, 1] + (x1 - p[:, 0]) * p_rate
-        q0, q1 = q[:, 1] + (x0 - q[:, 0]) * q_rate, q[:, 1] + (x1 - q[:, 0]) * q_rate
-        d0, d1 = p0 - q0, p1 - q1
-        mean = (np.minimum(p0, q0) + np.minimum(p1, q1)) / 2
-        k = np.flatnonzero(d0 * d1 < 0)  # the lines cross on the way: two pieces
-        t = d0[k] / (d0[k] - d1[k])
-        peak = p0[k] + t * (p1[k] - p0[k])
-        mean[k] = (t * (np.minimum(p0, q0)[k] + peak) + (1 - t) * (peak + np.minimum(p1, q1)[k])) / 2
-        out += np.bincount(row_e[i], sign * mean * (x1 - x0), len(out))
-        at = stop
+    (e, row_e, sign_e), (f, row_f, sign_f) = kept(e, row_e, sign_e), kept(f, row_f, sign_f)
+    out = strip_areas(e, row_e, sign_e, f, row_f, sign_f, len(a))
     for i in np.flatnonzero(crossed & a.valid & b.valid).tolist():
         out[i] = _area(trapezoids(a.shape(i), b.shape(i)))
     return np.where(a.valid & b.valid, np.maximum(out, 0), 0)
@@ -538,10 +557,25 @@ def self_crossing(a: pa.Array) -> pa.Array:
     return pa.array([None if s is None else crosses_itself(s) for s in unpack(a)], pa.bool_())
 
 
+def repair(shape) -> list:
+    """A shape cut anew by even-odd parity."""
+    return _shape(trapezoids(shape, shape))
+
+
 @arrow_function(RINGS)
 def repaired(a: pa.Array) -> pa.Array:
     """A self-crossing shape cut anew by even-odd parity; others unchanged."""
-    return pack([s if s is None or not crosses_itself(s) else _shape(trapezoids(s, s)) for s in unpack(a)])
+    return pack([s if s is None or not crosses_itself(s) else repair(s) for s in unpack(a)])
+
+
+def clean_shapes(column: pa.Array) -> pa.Array:
+    """Shapes as they are, but for those whose edges cross: these cut anew by parity."""
+    shapes = Shapes(column)
+    e, row, _ = shapes.edges()
+    crossed = _crossed_rows(e, row, len(shapes))
+    if not crossed.any():
+        return column
+    return pack([None if not ok else repair(shapes.shape(i)) if crossed[i] else shapes.shape(i) for i, ok in enumerate(shapes.valid)])
 
 
 def _keep_line(p: np.ndarray, tolerance: float) -> np.ndarray:

@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..functions.geometry import intersection, meeting_area, self_crossing
+from ..functions.geometry import intersection, self_crossing
 from ..functions.legend import drought_label, group_dimension, land_cover_group
 from ..functions.numbers import rounded
 from ..sources.tables import to_geojson
 from .insight import insight
-from .overlay import spatial_pairs
+from .cover import meeting_pairs
 from .reports import dominant_cover
 
 MAX_ACRES, FEATURES = 100_000, 200
@@ -54,10 +54,8 @@ def validate_fields(fields: DataFrame, projected: bool = False) -> DataFrame:
 
 
 def field_pairs(fields: DataFrame, soil: DataFrame, cell_m: float = 3000, key: str = "field_id") -> DataFrame:
-    """Fields and soil polygons that touch: field, polygon_id, mukey, m2 in common, rings_a (soil) and rings_b (field)."""
-    pairs = spatial_pairs(soil, fields, cell_m, "polygon_id", key)
-    met = pairs.withColumn("m2", meeting_area("rings_a", "rings_b")).filter("m2 is not null")
-    return met.join(soil.select("polygon_id", "mukey"), "polygon_id")
+    """Fields and soil polygons that touch: field, polygon_id, mukey and the m2 in common. No ring travels with a pair."""
+    return meeting_pairs(soil, fields, cell_m, "polygon_id", key).join(soil.select("polygon_id", "mukey"), "polygon_id")
 
 
 def field_hits(pairs: DataFrame, key: str = "field_id") -> DataFrame:
@@ -157,15 +155,24 @@ def with_attributes(df: DataFrame, attrs: DataFrame) -> DataFrame:
     return df.join(attrs, "mukey", "left")
 
 
-def area_mapunits(pairs: DataFrame, overlay: DataFrame, attrs: DataFrame, cap: int = FEATURES) -> DataFrame:
-    """Clipped map units of each field, largest first, ``cap`` at most, with whether there were more."""
-    cut = pairs.select("field_id", "mukey", "polygon_id", "m2", "rings_a", "rings_b").filter("m2 > 0").select("field_id", "mukey", "polygon_id", "m2", intersection("rings_a", "rings_b").alias("part"))
-    units = cut.groupBy("field_id", "mukey").agg(F.sum("m2").alias("inter_m2"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", "part"))), lambda x: x["part"])).alias("rings"))
-    found = units.join(dominant_cover(overlay), "mukey")
+def area_mapunits(pairs: DataFrame, fields: DataFrame, soil: DataFrame, overlay: DataFrame, attrs: DataFrame, cap: int = FEATURES) -> DataFrame:
+    """Clipped map units of each field, largest first, ``cap`` at most, with whether there were more.
+
+    Units are ranked by their summed area; only the parts of those kept are clipped.
+    """
+    best = dominant_cover(overlay)
+    met = pairs.filter("m2 > 0")
+    units = field_hits(met).join(best.select("mukey"), "mukey", "left_semi")
     w = Window.partitionBy("field_id")
-    ranked = found.withColumn("rn", F.row_number().over(w.orderBy(F.desc("inter_m2"), "mukey"))).withColumn("truncated", F.count("*").over(w) > cap)
-    kept = with_attributes(ranked.filter(F.col("rn") <= cap), attrs)
-    return kept.withColumn("geojson", to_geojson(R.project(F.col("rings"), inverse=True))).withColumn("field_acres", F.col("inter_m2") / R.M2_PER_ACRE)
+    ranked = units.withColumn("rn", F.row_number().over(w.orderBy(rounded(F.col("inter_m2"), 3).desc(), "mukey"))).withColumn("truncated", F.count("*").over(w) > cap)
+    kept = ranked.filter(F.col("rn") <= cap)
+    parts = met.join(kept.select("field_id", "mukey"), ["field_id", "mukey"], "left_semi")
+    parts = parts.join(soil.select("polygon_id", F.col("rings").alias("a")), "polygon_id").join(fields.select("field_id", F.col("rings").alias("b")), "field_id")
+    cut = parts.select("field_id", "mukey", "polygon_id", intersection("a", "b").alias("part"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", "part"))), lambda x: x["part"]))
+    shaped = kept.join(cut.groupBy("field_id", "mukey").agg(listed.alias("rings")), ["field_id", "mukey"]).join(best, "mukey")
+    found = with_attributes(shaped, attrs)
+    return found.withColumn("geojson", to_geojson(R.project(F.col("rings"), inverse=True))).withColumn("field_acres", F.col("inter_m2") / R.M2_PER_ACRE)
 
 
 def consistency(breakdown: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Points in polygons by a grid-cell equi-join, and the overlay built on it.
+"""Points in polygons by an equi-join on tiles, and the overlay built on it.
 
-A polygon is listed under every cell that its box touches, with only those of
-its edges that can decide a point of the cell; a point's cell is arithmetic. The
-join is on the cell, and parity over the listed edges decides. Nothing of a
-polygon but those edges is shuffled, and the join may be broadcast or shuffled.
+A polygon is listed under the tiles of its cover (see ``operators.cover``): those
+wholly inside settle a point at once, border tiles by their own few edges. A
+point's tile is arithmetic. Nothing of a polygon but its border's edges is
+shuffled, and the join may be broadcast or shuffled.
 """
 
 from __future__ import annotations
@@ -14,21 +14,18 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..functions.geometry import intersection, shapes_intersect
 from ..functions.legend import is_agricultural, land_cover_name
+from .cover import meeting_pairs, point_cover, points_in_cover, stored, tile_index
 
-#: Polygons up to which the exploded cell table is broadcast.
+#: Polygons up to which a cover is broadcast.
 BROADCAST_POLYGONS = 250_000
-#: Edges up to which it is: the table's real size.
-BROADCAST_EDGES = 5_000_000
+#: Tiles and edges up to which it is: the table's real size.
+BROADCAST_TILES, BROADCAST_EDGES = 2_000_000, 5_000_000
 KEY = ["mukey", "musym", "areasymbol", "crop_code", "drought_class"]
 
 
-def _floor(x: Column, cell_m: float) -> Column:
-    return F.floor(x / F.lit(float(cell_m))).cast("long")
-
-
 def assign_cell(points: DataFrame, cell_m: float) -> DataFrame:
     """Adds the cell (cx, cy) of each point."""
-    return points.withColumn("cx", _floor(F.col("x"), cell_m)).withColumn("cy", _floor(F.col("y"), cell_m))
+    return points.withColumn("cx", tile_index(F.col("x"), cell_m)).withColumn("cy", tile_index(F.col("y"), cell_m))
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -45,42 +42,28 @@ def assign_block(points: DataFrame, n: int) -> DataFrame:
 
 
 def _box_cells(cell_m: float) -> Column:
-    xs = F.sequence(_floor(F.col("minx"), cell_m), _floor(F.col("maxx"), cell_m))
-    ys = F.sequence(_floor(F.col("miny"), cell_m), _floor(F.col("maxy"), cell_m))
+    xs = F.sequence(tile_index(F.col("minx"), cell_m), tile_index(F.col("maxx"), cell_m))
+    ys = F.sequence(tile_index(F.col("miny"), cell_m), tile_index(F.col("maxy"), cell_m))
     return F.flatten(F.transform(xs, lambda cx: F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def cell_cover(polygons: DataFrame, cell_m: float) -> DataFrame:
-    """Polygons without their rings, once for each cell: cx, cy, their box and the edges that can decide a point there.
-
-    A ray to the right meets an edge only if the edge shares the point's height
-    and is not wholly to its left, so edges below, above or left of a cell go.
-    """
-    listed = R.with_bbox(polygons).withColumn("all_edges", R.edges(F.col("rings"))).drop("rings")
-    cells = listed.withColumn("cell", F.explode(_box_cells(cell_m))).select("*", "cell.*").drop("cell")
-    low, high, left = F.col("cy") * cell_m, (F.col("cy") + 1) * cell_m, F.col("cx") * cell_m
-    near = F.filter("all_edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["x1"], e["x2"]) >= left))
-    return cells.withColumn("edges", near).drop("all_edges").filter(F.size("edges") > 0)
-
-
-def choose_strategy(polygons: DataFrame, force: str | None = None) -> str:
-    """``broadcast`` while polygons and their edges are few enough, else ``partitioned``."""
-    if force:
-        return force
-    size = polygons.agg(F.count("*").alias("n"), F.sum(F.size(F.flatten(F.flatten("rings")))).alias("edges")).first()
-    return "broadcast" if size["n"] <= BROADCAST_POLYGONS and (size["edges"] or 0) <= BROADCAST_EDGES else "partitioned"
+def choose_strategy(polygons: int, tiles: int, edges: int, force: str | None = None) -> str:
+    """``broadcast`` while polygons, tiles and edges are few enough, else ``partitioned``; a forced broadcast beyond that is refused."""
+    fits = polygons <= BROADCAST_POLYGONS and tiles <= BROADCAST_TILES and edges <= BROADCAST_EDGES
+    if force == "broadcast" and not fits:
+        raise ValueError(f"{polygons} polygons in {tiles} tiles with {edges} edges are too many to broadcast")
+    return force or ("broadcast" if fits else "partitioned")
 
 
 def point_in_polygon_join(points: DataFrame, polygons: DataFrame, cell_m: float = 3000, strategy: str | None = None) -> DataFrame:
     """Every point with every polygon that holds it (boundary points with none); the point's and the polygon's columns without rings."""
-    cells = cell_cover(polygons, cell_m)
-    if choose_strategy(polygons, strategy) == "broadcast":
-        cells = F.broadcast(cells)
-    x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    # the box decides most pairs, in generated code, before any edge is looked at
-    boxed = (x > F.col("minx")) & (x < F.col("maxx")) & (y > F.col("miny")) & (y < F.col("maxy"))
-    found = assign_cell(points, cell_m).join(cells, ["cx", "cy"]).filter(boxed)
-    return found.filter(R.contains(F.col("edges"), x, y)).drop("cx", "cy", "edges", "minx", "miny", "maxx", "maxy")
+    cover = stored(point_cover(polygons, cell_m), "cover")
+    size = cover.agg(F.count("*").alias("tiles"), F.coalesce(F.sum("n_edges"), F.lit(0)).alias("edges"), F.collect_set("level").alias("levels")).first()
+    # a polygon has a tile at least: only a cover of many tiles needs its polygons counted
+    many = polygons.count() if size["tiles"] > BROADCAST_POLYGONS else size["tiles"]
+    if choose_strategy(many, size["tiles"], size["edges"], strategy) == "broadcast":
+        cover = F.broadcast(cover)
+    return points_in_cover(points, cover, cell_m, sorted(size["levels"]))
 
 
 def overlay_counts(joined: DataFrame) -> DataFrame:
@@ -119,18 +102,9 @@ def intersecting(shapes: DataFrame, aoi: Column) -> DataFrame:
     return shapes.filter(near).filter(shapes_intersect(F.col("rings"), aoi))
 
 
-def spatial_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: str) -> DataFrame:
-    """Pairs of rows whose boxes overlap, each once: ids, and both rings as rings_a and rings_b."""
-    left = R.with_bbox(a.select(a_id, "rings"))
-    right = R.with_bbox(b.select(b_id, "rings"))
-    box = F.struct("minx", "miny", "maxx", "maxy")
-    spread = lambda df, key, name: df.select(key, box.alias(name), F.explode(_box_cells(cell_m)).alias("cell"))
-    met = spread(left, a_id, "p").join(spread(right, b_id, "q"), "cell")
-    near = (F.col("p.minx") <= F.col("q.maxx")) & (F.col("q.minx") <= F.col("p.maxx")) & (F.col("p.miny") <= F.col("q.maxy")) & (F.col("q.miny") <= F.col("p.maxy"))
-    # the pair belongs to the cell that holds the corner where the boxes first overlap
-    home = (_floor(F.greatest("p.minx", "q.minx"), cell_m) == F.col("cell.cx")) & (_floor(F.greatest("p.miny", "q.miny"), cell_m) == F.col("cell.cy"))
-    pairs = met.filter(near & home).select(a_id, b_id)
-    return pairs.join(a.select(a_id, F.col("rings").alias("rings_a")), a_id).join(b.select(b_id, F.col("rings").alias("rings_b")), b_id)
+def content_key(*columns: Column) -> Column:
+    """A digest of what columns hold: the same however often and wherever it is worked out."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])).cast("binary"), 256)
 
 
 def attach_drought(soils: DataFrame, drought: DataFrame | None, cell_m: float = 30_000) -> DataFrame:
@@ -141,14 +115,13 @@ def attach_drought(soils: DataFrame, drought: DataFrame | None, cell_m: float =
     """
     if drought is None:
         return soils.withColumn("drought_class", F.lit(-1))
-    # the least polygon_id stands for equal ones, and a zone's key is its content: the same however often it is worked out
-    key = ["rings", "mukey", "musym", "areasymbol"]
-    others = [n for n in soils.columns if n not in (*key, "polygon_id")]
-    least = soils.groupBy(*key).agg(F.min("polygon_id").alias("polygon_id"), *([F.min_by(F.struct(*others), "polygon_id").alias("_rest")] if others else []))
-    soils = (least.select("*", "_rest.*").drop("_rest") if others else least).select(*soils.columns)
-    zones = drought.select(F.xxhash64(F.to_json(F.struct("rings")), "drought_class").alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
-    pairs = spatial_pairs(soils, zones, cell_m, "polygon_id", "zone_id")
-    touched = pairs.filter(shapes_intersect(F.col("rings_a"), F.col("rings_b"))).join(zones.select("zone_id", "drought_class"), "zone_id")
+    # equal ones are found by a digest of their content, the least polygon_id stands for them; a zone's key is its content too
+    key = [content_key(F.col("rings")).alias("_shape"), "mukey", "musym", "areasymbol"]
+    others = [n for n in soils.columns if n not in ("mukey", "musym", "areasymbol")]
+    least = soils.groupBy(*key).agg(F.min_by(F.struct(*others), "polygon_id").alias("_rest"))
+    soils = least.select("mukey", "musym", "areasymbol", "_rest.*").select(*soils.columns)
+    zones = drought.select(content_key(F.col("rings"), F.col("drought_class")).alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
+    touched = meeting_pairs(soils, zones, cell_m, "polygon_id", "zone_id").join(zones.select("zone_id", "drought_class"), "zone_id")
     worst = touched.groupBy("polygon_id").agg(F.max("drought_class").alias("drought_class"))
     return soils.join(worst, "polygon_id", "left").withColumn("drought_class", F.coalesce("drought_class", F.lit(-1)).cast("int"))
 

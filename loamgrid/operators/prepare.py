@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..functions.geometry import intersection_area, repaired, shapes_intersect, simplified
-from .overlay import point_in_polygon_join, spatial_pairs
+from ..functions.geometry import intersection_area, repaired, simplified
+from .cover import meeting_pairs
+from .overlay import content_key, point_in_polygon_join
 from .reports import numbered
 
 
@@ -106,16 +107,15 @@ def tiles_for_aoi(counties: DataFrame, bbox: tuple[float, float, float, float],
     tiles = grid.select("row", "col", x.alias("minx"), y.alias("miny"), F.least(x + step, F.lit(float(bbox[2]))).alias("maxx"), F.least(y + step, F.lit(float(bbox[3]))).alias("maxy"))
     tiles = tiles.withColumn("tile_id", F.col("row") * 1_000_000 + F.col("col"))
     shapes = tiles.withColumn("rings", R.rectangle(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")))
-    outlines = counties.select(F.xxhash64(F.to_json(F.struct("rings"))).alias("county_id"), "rings").dropDuplicates(["county_id"])
-    met = spatial_pairs(shapes, outlines, step, "tile_id", "county_id")
-    return tiles.join(met.filter(shapes_intersect("rings_a", "rings_b")).select("tile_id").distinct(), "tile_id", "left_semi")
+    outlines = counties.select(content_key(F.col("rings")).alias("county_id"), "rings").dropDuplicates(["county_id"])
+    met = meeting_pairs(shapes, outlines, step, "tile_id", "county_id")
+    return tiles.join(met.select("tile_id").distinct(), "tile_id", "left_semi")
 
 
 def zone_area_share(zones: DataFrame, outlines: DataFrame, cell_m: float = 30_000, outline: str = "outline_id") -> DataFrame:
     """Square metres and percentage of each outline by zone class."""
-    z = zones.select(F.xxhash64(F.to_json(F.struct("rings")), "drought_class").alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
-    pairs = spatial_pairs(outlines, z, cell_m, outline, "zone_id")
-    met = pairs.withColumn("m2", intersection_area("rings_a", "rings_b")).join(z.select("zone_id", "drought_class"), "zone_id")
+    z = zones.select(content_key(F.col("rings"), F.col("drought_class")).alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
+    met = meeting_pairs(outlines, z, cell_m, outline, "zone_id").join(z.select("zone_id", "drought_class"), "zone_id")
     whole = outlines.select(outline, R.area_m2(F.col("rings")).alias("total"))
     by = met.groupBy(outline, "drought_class").agg(F.sum("m2").alias("m2")).join(whole, outline)
     return by.select(outline, "drought_class", "m2", (100 * F.col("m2") / F.nullif("total", F.lit(0.0))).alias("pct"))

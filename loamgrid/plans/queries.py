@@ -489,7 +489,7 @@ def _fields(s, d):
 
 
 def _pairs(s, d):
-    return FL.field_pairs(_fields(s, d), X.soil(s, d), 1500)
+    return FL.field_pairs(_fields(s, d), X.soil(s, d), X.CELL)
 
 
 def _weighted(s, d):
@@ -571,13 +571,13 @@ QUERIES["headline_counts"] = QUERIES.pop("headline_counts_of_fields")
 
 @_query
 def field_mapunits(s, d):
-    return _round(FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr")), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated", "land_cover", "crop_code", "muname", "drainage", "slope_pct")
+    return _round(FL.area_mapunits(_pairs(s, d), _fields(s, d), X.soil(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr")), inter_m2=2).select("field_id", "mukey", "inter_m2", "rn", "truncated", "land_cover", "crop_code", "muname", "drainage", "slope_pct")
 
 
 @_query
 def field_features(s, d):
     """One GeoJSON FeatureCollection for each field."""
-    units = FL.area_mapunits(_pairs(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"))
+    units = FL.area_mapunits(_pairs(s, d), _fields(s, d), X.soil(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"))
     return T.feature_collection(units, "field_id", "geojson", ["mukey", "muname", "land_cover", "field_acres"])
 
 

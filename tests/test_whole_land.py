@@ -98,5 +98,5 @@ def test_truncation_is_told(spark):
     fields = spark.range(1).select(F.lit(7).alias("field_id"), square(0, 25).alias("rings"))
     attrs = spark.createDataFrame([], "mukey string, muname string")
     for cap, units in ((2, 2), (3, 3)):
-        got = FL.area_mapunits(FL.field_pairs(fields, soil, 50), overlay, attrs, cap).collect()
+        got = FL.area_mapunits(FL.field_pairs(fields, soil, 50), fields, soil, overlay, attrs, cap).collect()
         assert len(got) == units and all(r["truncated"] == (cap < 3) for r in got)
