@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .planar import region
 from .rings import RINGS
 
 _VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -281,17 +282,7 @@ def _meets_itself(shape) -> bool:
     nth = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
     for i, j in _meetings(e, e):
         i, j = i[i < j], j[i < j]
-        s1, s2, t1, t2 = _sides(e[i], e[j])
-        if ((s1 * s2 < 0) & (t1 * t2 < 0)).any():
-            return True
-        flat = (s1 == 0) & (s2 == 0) & (t1 == 0) & (t2 == 0)
-        b, c = _boxes(e[i]), _boxes(e[j])
-        length = np.minimum(b[:, 2:], c[:, 2:]) - np.maximum(b[:, :2], c[:, :2])
-        if (flat & (length.max(1, initial=0) > 0)).any():
-            return True
-        gap = np.abs(nth[i] - nth[j])
-        neighbours = (gap == 1) | (gap == size[ring[i]] - 1)
-        if ((s1 * s2 <= 0) & (t1 * t2 <= 0) & (ring[i] == ring[j]) & ~neighbours).any():
+        if _meet_badly(e[i], e[j], ring[i] == ring[j], nth[i], nth[j], size[ring[i]]).any():
             return True
     return False
 
@@ -319,8 +310,10 @@ def crosses_itself(shape) -> bool:
             if not len(probes) or not inside(own[0], probes).all():
                 return True
             for m in range(1, len(poly)):
-                if m != k and len(near := _near(np.hstack([probes, probes]), own[m])) and inside(own[m], near[:, :2]).any():
-                    return True
+                if m != k and len(_near(own[k], own[m])):
+                    probes = _probes(poly[k], own[m])
+                    if len(probes) and inside(own[m], probes).any():
+                        return True
     whole = [np.concatenate(own) for own in sides]
     for i, e in enumerate(whole):
         for j, f in enumerate(whole):
@@ -480,43 +473,23 @@ def overlap_area(a, b) -> float:
 
 
 def overlap(a, b) -> list:
-    """The common interior; a shape wholly inside the other is kept as it is."""
+    """The common interior as outlines with holes; a shape wholly inside the other is kept as it is."""
     e, f = edges_of(a), edges_of(b)
-    if len(e) and len(f):
-        for shape, x, y in ((a, e, f), (b, f, e)):
-            if not len(_near(y, x)):
-                return shape if inside(y, x[:1, :2])[0] else []
-    return _shape(trapezoids(a, b))
+    if not len(e) or not len(f):
+        return []
+    near = [_near(e, f), _near(f, e)]
+    for shape, x, y in ((a, e, f), (b, f, e)):
+        if not len(_near(y, x)):
+            return shape if inside(y, x[:1, :2])[0] else []
+    if not len(near[0]) or not len(near[1]):
+        return []
+    return region(np.concatenate([e, f]), np.repeat([0, 1], [len(e), len(f)]), lambda side: side.all(1), _meetings, inside)
 
 
 def _area(t: np.ndarray) -> float:
     return float(((t[:, 3] - t[:, 2] + t[:, 5] - t[:, 4]) / 2 * (t[:, 1] - t[:, 0])).sum())
 
 
-def _shape(t: np.ndarray) -> list:
-    """Trapezoids as polygons; stacked ones with straight sides are joined."""
-    done, open_ = [], []
-    for row in t[np.lexsort((t[:, 2], t[:, 0]))] if len(t) else t:
-        y0, y1, l0, r0, l1, r1 = row
-        for k, (b, u, bl, br, tl, tr) in enumerate(open_):
-            straight = u == y0 and np.allclose((tl, tr), (l0, r0), atol=1e-9) and np.isclose((tl - bl) * (y1 - y0), (l1 - l0) * (u - b), atol=1e-6) and np.isclose((tr - br) * (y1 - y0), (r1 - r0) * (u - b), atol=1e-6)
-            if straight:
-                open_[k] = (b, y1, bl, br, l1, r1)
-                break
-        else:
-            open_.append((y0, y1, l0, r0, l1, r1))
-        keep = [o for o in open_ if o[1] >= y0]
-        done += [o for o in open_ if o[1] < y0]
-        open_ = keep
-    out = []
-    for y0, y1, l0, r0, l1, r1 in done + open_:
-        ring = [(l0, y0), (r0, y0), (r1, y1), (l1, y1), (l0, y0)]
-        ring = [p for i, p in enumerate(ring) if i == 0 or p != ring[i - 1]]
-        if len(ring) >= 4:
-            out.append([np.array(ring)])
-    return out
-
-
 @arrow_function(RINGS)
 def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     """The common interior."""
@@ -552,20 +525,70 @@ def shapes_intersect(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else intersects(x, y) for x, y in zip(unpack(a), unpack(b))], pa.bool_())
 
 
+#: Edges of a row up to which all its pairs are looked at together with those of other rows.
+_SMALL = 64
+
+
+def invalid_rows(shapes: Shapes) -> np.ndarray:
+    """``crosses_itself`` for every row: rows of few edges are looked at together, and only what passes and has holes or parts alone."""
+    out, at = np.zeros(len(shapes), bool), np.arange(1, len(shapes.xy))
+    n_rings = np.diff(shapes.polygons[shapes.rows])
+    ends = shapes.rings[1:-1]
+    at = at[~np.isin(at, ends[ends < len(shapes.xy)])]  # no edge ends at a ring's first vertex
+    e = np.hstack([shapes.xy[at - 1], shapes.xy[at]]) if len(at) else np.zeros((0, 4))
+    there = (e[:, :2] != e[:, 2:]).any(1)
+    e, at = e[there], at[there]
+    ring = np.searchsorted(shapes.rings, at, side="right") - 1
+    row = np.searchsorted(shapes.rows, np.searchsorted(shapes.polygons, ring, side="right") - 1, side="right") - 1
+    size = np.bincount(ring, minlength=len(shapes.rings))
+    nth = np.arange(len(e)) - (np.cumsum(size) - size)[ring]
+    edges = np.bincount(row, minlength=len(shapes))
+    few = np.flatnonzero((edges <= _SMALL)[row])
+    after = (np.cumsum(edges)[row] - np.arange(len(e)) - 1)[few]
+    box = _boxes(e)
+    for k in range(0, len(few), _STEP // _SMALL):
+        part, count = few[k : k + _STEP // _SMALL], after[k : k + _STEP // _SMALL]
+        i = np.repeat(part, count)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + i + 1
+        near = np.flatnonzero((box[i, :2] <= box[j, 2:]).all(1) & (box[j, :2] <= box[i, 2:]).all(1))
+        i, j = i[near], j[near]
+        out[row[i[_meet_badly(e[i], e[j], ring[i] == ring[j], nth[i], nth[j], size[ring[i]])]]] = True
+    for r in np.flatnonzero(~out & ((edges > _SMALL) | (n_rings > 1))).tolist():
+        out[r] = crosses_itself(shapes.shape(r))
+    return out
+
+
+def _meet_badly(e: np.ndarray, f: np.ndarray, same: np.ndarray, nth_e: np.ndarray, nth_f: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether two edges cross, lie on one another, or touch though they are no neighbours in a ring (``same``) of ``size`` edges."""
+    s1, s2, t1, t2 = _sides(e, f)
+    crossed = (s1 * s2 < 0) & (t1 * t2 < 0)
+    flat = (s1 == 0) & (s2 == 0) & (t1 == 0) & (t2 == 0)
+    b, c = _boxes(e), _boxes(f)
+    along = flat & ((np.minimum(b[:, 2:], c[:, 2:]) - np.maximum(b[:, :2], c[:, :2])).max(1, initial=0) > 0)
+    gap = np.abs(nth_e - nth_f)
+    return crossed | along | ((s1 * s2 <= 0) & (t1 * t2 <= 0) & same & (gap != 1) & (gap != size - 1))
+
+
 @arrow_function("boolean")
 def self_crossing(a: pa.Array) -> pa.Array:
-    return pa.array([None if s is None else crosses_itself(s) for s in unpack(a)], pa.bool_())
+    shapes = Shapes(a)
+    return pa.array(invalid_rows(shapes), pa.bool_(), mask=~shapes.valid)
 
 
 def repair(shape) -> list:
-    """A shape cut anew by even-odd parity."""
-    return _shape(trapezoids(shape, shape))
+    """A shape drawn anew by even-odd parity: outlines with their holes, that touch at points only."""
+    e = edges_of(shape)
+    return region(e, np.zeros(len(e), int), lambda side: side[:, 0], _meetings, inside)
 
 
 @arrow_function(RINGS)
 def repaired(a: pa.Array) -> pa.Array:
     """A self-crossing shape cut anew by even-odd parity; others unchanged."""
-    return pack([s if s is None or not crosses_itself(s) else repair(s) for s in unpack(a)])
+    shapes = Shapes(a)
+    wrong = invalid_rows(shapes)
+    if not wrong.any():
+        return a
+    return pack([None if not ok else repair(shapes.shape(i)) if wrong[i] else shapes.shape(i) for i, ok in enumerate(shapes.valid)])
 
 
 def clean_shapes(column: pa.Array) -> pa.Array:

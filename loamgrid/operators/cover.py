@@ -25,6 +25,7 @@ from ..sources.tables import shared_folder
 MOST, DEEPEST = 24, -2
 #: Vertices worked on together.
 VERTICES = 1 << 18
+BOX = ("minx", "miny", "maxx", "maxy")
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,6 @@ def point_cover(polygons: DataFrame, cell_m: float) -> DataFrame:
 
     The box of the polygon is added as minx, miny, maxx and maxy.
     """
-    box = ("minx", "miny", "maxx", "maxy")
 
     def run(batches):
         for whole in batches:
@@ -78,14 +78,14 @@ def point_cover(polygons: DataFrame, cell_m: float) -> DataFrame:
                     n = pc.divide(pc.list_value_length(edges), 4).cast(pa.int32())
                     columns = [pa.array(np.full(len(owner), level, np.int32)), pa.array(ix), pa.array(iy), pa.array(known), pa.array((ix + 1) * side), n, edges]
                     taken = [batch.column(k).take(pa.array(owner)) for k in names]  # noqa: B023
-                    return pa.RecordBatch.from_arrays([*taken, *(pa.array(cover.boxes[owner, k]) for k in range(4)), *columns], [*names, *box, "level", "ix", "iy", "known", "right", "n_edges", "edges"])  # noqa: B023
+                    return pa.RecordBatch.from_arrays([*taken, *(pa.array(cover.boxes[owner, k]) for k in range(4)), *columns], [*names, *BOX, "level", "ix", "iy", "known", "right", "n_edges", "edges"])  # noqa: B023
 
                 for level, (owner, ix, iy) in cover.inner.items():
                     yield rows(owner, level, ix, iy, np.ones(len(owner), bool), _lists(np.zeros(0, np.int64), np.zeros((0, 4)), len(owner)))
                 for level, tiles in cover.border.items():
                     yield rows(tiles.owner, level, tiles.ix, tiles.iy, cover.known(tiles, cover.side(level)), _lists(tiles.tile, cover.edges[tiles.edge], len(tiles)))
 
-    kinds = f"{_kinds(polygons)}, {', '.join(f'{k} double' for k in box)}, level int, ix long, iy long, known boolean, right double, n_edges int, edges array<double>"
+    kinds = f"{_kinds(polygons)}, {', '.join(f'{k} double' for k in BOX)}, level int, ix long, iy long, known boolean, right double, n_edges int, edges array<double>"
     return polygons.mapInArrow(run, kinds)
 
 
@@ -119,17 +119,22 @@ def points_in_cover(points: DataFrame, cover: DataFrame, cell_m: float, levels:
 
 
 def pair_cover(shapes: DataFrame, key: str, cell_m: float) -> DataFrame:
-    """(key, level, ix, iy, inner, m2, pieces, edges): what of each shape lies in each tile. Shapes that cross themselves are repaired first."""
+    """(key, level, ix, iy, inner, m2, pieces, edges): what of each shape lies in each tile, and the box of the shape cut to the tile.
+
+    Shapes that cross themselves are repaired first.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in _slices(whole):
                 cover = Cover(Shapes(clean_shapes(batch.column("rings"))), cell_m, 1 << 40, 0)
-                names = [key, "level", "ix", "iy", "inner", "m2", "pieces", "edges"]
+                names = [key, "level", "ix", "iy", "inner", *BOX, "m2", "pieces", "edges"]
 
                 def rows(owner, level, ix, iy, inner, m2, pieces, edges):
-                    n = len(owner)
-                    return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner)), pa.array(np.full(n, level, np.int32)), pa.array(ix), pa.array(iy), pa.array(np.full(n, inner)), pa.array(m2), pieces, edges], names)  # noqa: B023
+                    n, side, box = len(owner), cover.side(level), cover.boxes[owner]  # noqa: B023
+                    low, high = np.stack([ix, iy], 1) * side, (np.stack([ix, iy], 1) + 1) * side
+                    cut = np.hstack([np.maximum(low, box[:, :2]), np.minimum(high, box[:, 2:])])
+                    return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner)), pa.array(np.full(n, level, np.int32)), pa.array(ix), pa.array(iy), pa.array(np.full(n, inner)), *map(pa.array, cut.T.copy()), pa.array(m2), pieces, edges], names)  # noqa: B023
 
                 none = np.zeros(0, np.int64)
                 for level, (owner, ix, iy) in cover.inner.items():
@@ -141,7 +146,7 @@ def pair_cover(shapes: DataFrame, key: str, cell_m: float) -> DataFrame:
                     yield rows(tiles.owner, level, tiles.ix, tiles.iy, False, m2, _lists(tile, pieces, len(tiles)), _lists(tiles.tile, cover.edges[tiles.edge], len(tiles)))
 
     kind = shapes.schema[key].dataType.simpleString()
-    table = f"`{key}` {kind}, level int, ix long, iy long, inner boolean, m2 double, pieces array<double>, edges array<double>"
+    table = f"`{key}` {kind}, level int, ix long, iy long, inner boolean, {', '.join(f'{k} double' for k in BOX)}, m2 double, pieces array<double>, edges array<double>"
     return shapes.select(key, "rings").mapInArrow(run, table)
 
 
@@ -175,7 +180,7 @@ def _with_ancestors(cover: DataFrame, levels: list[int], name: str) -> DataFrame
     at = lambda k, c: F.expr(f"CASE WHEN level <= {k} THEN shiftright({c}, 3 * greatest({k} - level, 0)) END")
     key = lambda k: F.when(F.col("level") <= k, F.struct(F.lit(k).alias("level"), at(k, "ix").alias("ix"), at(k, "iy").alias("iy")))
     keys = F.array_compact(F.array(*map(key, levels)))
-    own = F.struct("level", "inner", "m2", F.when(~F.col("inner"), F.col("pieces")).alias("pieces"), F.when(~F.col("inner"), F.col("edges")).alias("edges"))
+    own = F.struct("level", "inner", *BOX, "m2", F.when(~F.col("inner"), F.col("pieces")).alias("pieces"), F.when(~F.col("inner"), F.col("edges")).alias("edges"))
     return cover.select(cover.columns[0], own.alias(name), F.explode(keys).alias("tile"))
 
 
@@ -189,6 +194,8 @@ def meeting_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: st
     levels = sorted({r["level"] for side in (p, q) for r in side.select("level").distinct().collect()}) or [0]  # a dozen at most
     met = _with_ancestors(p, levels, "p").join(_with_ancestors(q, levels, "q"), "tile")
     met = met.filter((F.col("p.level") == F.col("tile.level")) | (F.col("q.level") == F.col("tile.level")))
+    # boxes decide most pairs of a tile, in generated code, before a part is looked at
+    met = met.filter((F.col("p.minx") <= F.col("q.maxx")) & (F.col("q.minx") <= F.col("p.maxx")) & (F.col("p.miny") <= F.col("q.maxy")) & (F.col("q.miny") <= F.col("p.maxy")))
     both = ~F.col("p.inner") & ~F.col("q.inner")
     part = lambda c: F.when(both, F.col(c))
     border = _meeting(float(cell_m))(part("p.pieces"), part("p.edges"), part("q.pieces"), part("q.edges"))

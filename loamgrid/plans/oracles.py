@@ -206,5 +206,5 @@ ORACLES = {
     "simplified_soil": _with("SELECT polygon_id, CASE WHEN polygon_id % 2 = 0 THEN 90000.0 ELSE 97500.0 END AS m2, CASE WHEN polygon_id % 2 = 0 THEN 5 ELSE 6 END AS vertices FROM fx_soil"),
     "answer_change": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS total_pct, {_r('quantile_cont(e, 0.5)', 6)} AS median_pct, {_r('quantile_cont(e, 0.95)', 6)} AS p95_pct, {_r('max(e)', 6)} AS worst_pct FROM (SELECT a, b, 100*abs(b-a)/a AS e FROM (SELECT query_acres AS a, query_acres*(1 + (field_id % 7 - 3)/100.0) AS b FROM fields))", "fields"),
     "field_statuses": _with(f"SELECT field_id, CASE field_id % 10 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_ring' WHEN 2 THEN 'bad_ring' WHEN 8 THEN CASE WHEN 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END WHEN 9 THEN 'bad_geometry' ELSE 'invalid' END AS status FROM (SELECT field_id, maxx-minx AS w FROM fx_fields)"),
-    "repaired_fields": _with(f"SELECT field_id, {_r('CASE field_id % 10 WHEN 3 THEN 0.5*w*w WHEN 5 THEN 1.04*w*w WHEN 6 THEN 0.5*w*w WHEN 7 THEN 1.5*w*w WHEN 8 THEN 40000.0*w*w ELSE 1.0*w*w END', 3)} AS m2 FROM (SELECT field_id, cast(maxx-minx AS double) AS w FROM fx_fields) WHERE field_id % 10 IN (0, 3, 4, 5, 6, 7, 8)"),
+    "repaired_fields": _with(f"SELECT field_id, {_r('CASE field_id % 10 WHEN 3 THEN 0.5*w*w WHEN 5 THEN 1.04*w*w WHEN 6 THEN 0.5*w*w WHEN 7 THEN 1.5*w*w WHEN 8 THEN 40000.0*w*w ELSE 1.0*w*w END', 3)} AS m2, CASE WHEN field_id % 10 IN (3, 5, 6, 7) THEN 2 ELSE 1 END AS parts, CASE WHEN field_id % 10 = 8 AND 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END AS status FROM (SELECT field_id, cast(maxx-minx AS double) AS w FROM fx_fields) WHERE field_id % 10 IN (0, 3, 4, 5, 6, 7, 8)"),
 }

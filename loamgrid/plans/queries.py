@@ -461,9 +461,10 @@ def field_statuses(s, d):
 
 @_query
 def repaired_fields(s, d):
-    """Areas of the badly drawn fields after repair."""
+    """The badly drawn fields after repair: area, parts, and what validity then says."""
     f = X.drawings(s, d).filter(R.ring_status(F.col("rings")) == "ok").withColumn("rings", repaired("rings"))
-    return _round(f.select("field_id", R.area_m2(F.col("rings")).alias("m2")), m2=3)
+    f = FL.validate_fields(f.withColumn("parts", F.size("rings")), projected=True)
+    return _round(f.select("field_id", "m2", "parts", "status"), m2=3)
 
 
 @_query
@@ -485,11 +486,13 @@ def link_round_trip(s, d):
 
 
 def _fields(s, d):
-    return FL.validate_fields(X.rectangles(s, d, "fx_fields"), projected=True).filter("status = 'ok'")
+    # a field is little to read and much to work out: one small file is dealt to all cores
+    fields = X.rectangles(s, d, "fx_fields").repartition(s.sparkContext.defaultParallelism, "field_id")
+    return FL.validate_fields(fields, projected=True).filter("status = 'ok'")
 
 
 def _pairs(s, d):
-    return FL.field_pairs(_fields(s, d), X.soil(s, d), X.CELL)
+    return FL.field_pairs(_fields(s, d), X.soil(s, d), 1500)
 
 
 def _weighted(s, d):
