@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Shapes, arrow_function, clean_shapes, edges_meet, strip_areas
 from ..functions.tiles import Cover, inside_tiles, spread
-from ..sources.tables import shared_folder
+from ..sources.tables import stored
 
 #: Edges of a border tile from which it is cut further; the level at which cutting ends.
 MOST, DEEPEST = 24, -2
@@ -50,13 +50,6 @@ def _kinds(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "rings")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder once and read from there."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tile_index(x: Column, side: float) -> Column:
     return F.floor(x / F.lit(float(side))).cast("long")
 

@@ -1,12 +1,15 @@
 """What lies under each of many drawn fields, answered in one job.
 
-Fields that are the same after rounding are answered once. The spatial part is
-one cell equi-join that lists each pair of field and polygon once; everything
-after it is keyed by field or by (field, map unit).
+Drawings that are the same after rounding are answered once, and by
+``stored_answers`` once for all runs. The spatial part is one equi-join on tiles;
+everything after it is keyed by field or by (field, map unit).
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from ..functions import rings as R
 from ..functions.geometry import intersection, self_crossing
 from ..functions.legend import drought_label, group_dimension, land_cover_group
 from ..functions.numbers import rounded
-from ..sources.tables import to_geojson
+from ..sources.tables import stored, to_geojson, written
 from .insight import insight
 from .cover import meeting_pairs
 from .reports import dominant_cover
@@ -39,6 +42,23 @@ def dedupe_fields(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.groupBy("field_key").agg(F.first("rings").alias("rings")), keyed.select("field_id", "field_key")
 
 
+def stored_answers(fields: DataFrame, path: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The answers of ``fields`` (field_id, rings) by way of a table of answers at ``path``, keyed by drawing.
+
+    Only drawings that the table does not know are answered: ``answer`` gets them
+    as field_id (their key) and rings, and its rows are added as a part of their
+    own. With none new it is not called. Fields without an answer are left out.
+    """
+    spark = fields.sparkSession
+    drawings, keys = dedupe_fields(fields)
+    known = spark.read.parquet(path).select("field_key") if written(spark, path) else None
+    new = stored(drawings if known is None else drawings.join(known, "field_key", "left_anti"), "new-drawings")
+    if known is None or not new.isEmpty():
+        found = answer(new.withColumnRenamed("field_key", "field_id")).withColumnRenamed("field_id", "field_key")
+        found.withColumn("run", F.lit(uuid.uuid4().hex)).write.mode("append").partitionBy("run").option("compression", "zstd").parquet(path)
+    return keys.join(spark.read.parquet(path).drop("run"), "field_key").drop("field_key")
+
+
 def validate_fields(fields: DataFrame, projected: bool = False) -> DataFrame:
     """Adds m2, query_acres and status: ok, bad_geometry, bad_ring, invalid, empty or too_large.
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import rings as R
 from ..functions.geometry import intersection, shapes_intersect
 from ..functions.legend import is_agricultural, land_cover_name
-from .cover import meeting_pairs, point_cover, points_in_cover, stored, tile_index
+from ..sources.tables import stored, written
+from .cover import meeting_pairs, point_cover, points_in_cover, tile_index
 
 #: Polygons up to which a cover is broadcast.
 BROADCAST_POLYGONS = 250_000
@@ -131,6 +132,14 @@ def polygon_crop_counts(points: DataFrame, polygons: DataFrame, cell_m: float =
     return point_in_polygon_join(points, polygons, cell_m).groupBy("polygon_id", "crop_code").agg(F.count("*").alias("pixels"))
 
 
+def stored_counts(points: DataFrame, polygons: DataFrame, path: str, cell_m: float = 3000) -> DataFrame:
+    """``polygon_crop_counts`` published at ``path``: points are joined by the first run that asks, and read by none after it."""
+    spark = points.sparkSession
+    if not written(spark, path):
+        polygon_crop_counts(points, polygons, cell_m).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def refresh_drought(counts: DataFrame, soils_drought: DataFrame) -> DataFrame:
     """The overlay for another week's drought, without joining points again."""
     attrs = soils_drought.select("polygon_id", "mukey", "musym", "areasymbol", "drought_class")

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..functions.geometry import intersection_area, repaired, simplified
+from ..functions.geometry import intersection_area, repaired
 from .cover import meeting_pairs
 from .overlay import content_key, point_in_polygon_join
 from .reports import numbered
+from .simplify import simplify_layer
 
 
 def swap_axes(soil: DataFrame) -> DataFrame:
@@ -69,11 +70,10 @@ def slug(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("_"))
 
 
-def prepare_soil(soil: DataFrame, tolerance: float = 30.0) -> DataFrame:
-    """(mukey, rings in EPSG:5070): projected, simplified, repaired, empty ones dropped. ``soil`` has rings in degrees."""
+def prepare_soil(soil: DataFrame, tolerance: float = 30.0, key: str = "polygon_id") -> DataFrame:
+    """(mukey, rings in EPSG:5070): projected, simplified as a layer, repaired, empty ones dropped. ``soil`` has rings in degrees."""
     shaped = soil.filter("rings is not null").withColumn("rings", R.project(F.col("rings")))
-    if tolerance > 0:
-        shaped = shaped.withColumn("rings", simplified(F.col("rings"), tolerance))
+    shaped = simplify_layer(shaped, tolerance, key)
     return shaped.withColumn("rings", repaired("rings")).filter(F.size("rings") > 0)
 
 

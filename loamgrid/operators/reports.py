@@ -126,14 +126,21 @@ def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def latency_summary(requests: DataFrame) -> DataFrame:
-    """Request log (phase, run, latency_ms, status, cached) per run: nearest-rank percentiles of what succeeded."""
+    """Request log (phase, run, latency_ms, status, cached) per run: nearest-rank percentiles of what succeeded.
+
+    Requests are counted by value in the tasks that read them; ranks are running
+    sums of those counts, so no window sees the requests themselves.
+    """
     key = ["phase", "run"]
-    ok = requests.filter("status = 200")
-    ranked = ok.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("latency_ms"))).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
+    values = requests.filter("status = 200").groupBy(*key, "latency_ms").agg(F.count("*").alias("k"))
+    run = Window.partitionBy(*key)
+    upto = F.sum("k").over(run.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("upto", upto).withColumn("n", F.sum("k").over(run))
     at = lambda p: F.greatest(F.lit(1), F.least(F.col("n"), F.bround(p / 100 * F.col("n") + 0.5, 0).cast("long")))
-    pick = lambda p: rounded(F.max(F.when(F.col("rn") == at(p), F.col("latency_ms"))), 2)
+    pick = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("k") < rank), F.col("latency_ms")))
+    middle = (pick(F.floor((F.col("n") + 1) / 2)) + pick(F.floor(F.col("n") / 2) + 1)) / 2
     good = ranked.groupBy(*key).agg(
-        F.count("*").alias("ok"), rounded(F.expr("percentile(latency_ms, 0.5)"), 2).alias("p50_ms"), pick(95).alias("p95_ms"), pick(99).alias("p99_ms"),
+        F.max("n").alias("ok"), rounded(middle, 2).alias("p50_ms"), rounded(pick(at(95)), 2).alias("p95_ms"), rounded(pick(at(99)), 2).alias("p99_ms"),
         rounded(F.min("latency_ms"), 2).alias("min_ms"), rounded(F.max("latency_ms"), 2).alias("max_ms"),
     )
     every = requests.groupBy(*key).agg(

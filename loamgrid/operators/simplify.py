@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import _near, inside
-from .cover import stored
+from ..sources.tables import stored
 
 #: Side of the tiles in which arcs and vertices meet, in tolerances.
 REACH = 32

@@ -73,6 +73,15 @@ def dented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "fx_soil").withColumn("rings", F.array(F.array(F.array(*ring))))
 
 
+def bordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layer of neighbours: squares whose lower and upper sides are pushed down in the middle, by 10 m where the number of the one above is a multiple of 3, else by 50."""
+    x, y = F.col("x0"), F.col("y0")
+    out = lambda k: F.when(k % 3 == 0, 10).otherwise(50)
+    low, high = out(F.col("polygon_id")), out(F.col("polygon_id") + 20)
+    ring = [R.vertex(x, y), R.vertex(x + 150, y - low), R.vertex(x + 300, y), R.vertex(x + 300, y + 300), R.vertex(x + 150, y + 300 - high), R.vertex(x, y + 300), R.vertex(x, y)]
+    return fixture(spark, sf_dir, "fx_soil").withColumn("rings", F.array(F.array(F.array(*ring))))
+
+
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawing for each field, in units of its box: one good, the others each wrong in a way of its own (field_id % 10)."""
     x, y, h = F.col("minx"), F.col("miny"), (F.col("maxx") - F.col("minx")) / 10

@@ -72,6 +72,12 @@ def _inside_box(box: tuple, soil: str = "fx_soil", more: str = "") -> str:
     return f"SELECT polygon_id{keep}, sum(1.0*{cut}) AS m2 FROM {soil}, fx_shape_rects r WHERE r.shape = fx_soil.shape GROUP BY ALL UNION ALL SELECT polygon_id{keep}, {diamond} AS m2 FROM {soil} WHERE shape = 4"
 
 
+# a field and a dented square: the square is a rectangle, the dent the lower half of a diamond 300 wide and o deep each way
+_TRI = "150.0*o*({} - {} - {} + {})".format(*(_diamond(x, y, 1) for y, xs in (("w2", ("u2", "u1")), ("w1", ("u2", "u1"))) for x in xs))
+_DENTED_HITS = f"""SELECT field_id, o, sq, {_TRI} AS tri FROM (SELECT f.field_id, o, 1.0*greatest(0, least(maxx, x0+300)-greatest(minx, x0))*greatest(0, least(maxy, y0+300)-greatest(miny, y0)) AS sq,
+  (minx-(x0+150))/150.0 AS u1, (maxx-(x0+150))/150.0 AS u2, 1.0*least(miny-y0, 0)/o AS w1, 1.0*least(maxy-y0, 0)/o AS w2
+  FROM fx_fields f JOIN (SELECT *, CASE WHEN polygon_id % 2 = 0 THEN 10 ELSE 50 END AS o FROM fx_soil) s ON minx <= x0+300 AND maxx >= x0 AND miny <= y0+300 AND maxy >= y0-o)"""
+
 _KEY = "mukey, musym, areasymbol, crop_code, drought_class"
 _ENRICH = f"round(pixels * (900/{ACRE}), 3) AS acres, {_NAME} AS land_cover, {_AG} AS is_agricultural"
 _PARTS = {
@@ -204,7 +210,9 @@ ORACLES = {
     "prepared_soil": _with(f"SELECT mukey, sum({_AREA}) AS total_m2, count(*) AS polygons FROM fx_soil GROUP BY mukey"),
     "simplify_impact": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS net_pct, {_r('avg(100*abs(b-a)/a)', 6)} AS mean_abs_pct, {_r('max(100*abs(b-a)/a)', 6)} AS worst_pct FROM (SELECT 90000.0 + 150*o AS a, 90000.0 + CASE WHEN o = 50 THEN 150*o ELSE 0 END AS b FROM (SELECT CASE WHEN polygon_id % 2 = 0 THEN 10 ELSE 50 END AS o FROM fx_soil))"),
     "simplified_soil": _with("SELECT polygon_id, CASE WHEN polygon_id % 2 = 0 THEN 90000.0 ELSE 97500.0 END AS m2, CASE WHEN polygon_id % 2 = 0 THEN 5 ELSE 6 END AS vertices FROM fx_soil"),
-    "answer_change": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS total_pct, {_r('quantile_cont(e, 0.5)', 6)} AS median_pct, {_r('quantile_cont(e, 0.95)', 6)} AS p95_pct, {_r('max(e)', 6)} AS worst_pct FROM (SELECT a, b, 100*abs(b-a)/a AS e FROM (SELECT query_acres AS a, query_acres*(1 + (field_id % 7 - 3)/100.0) AS b FROM fields))", "fields"),
+    "answer_change": _with(f"SELECT {_r('100*(sum(b)-sum(a))/sum(a)', 6)} AS total_pct, {_r('quantile_cont(e, 0.5)', 6)} AS median_pct, {_r('quantile_cont(e, 0.95)', 6)} AS p95_pct, {_r('max(e)', 6)} AS worst_pct FROM (SELECT a, b, 100*abs(b-a)/nullif(a, 0) AS e FROM (SELECT field_id, sum(sq + tri) AS a, sum(sq + CASE WHEN o = 50 THEN tri ELSE 0 END) AS b FROM ({_DENTED_HITS}) GROUP BY field_id))"),
+    "simplified_layer": _with(f"SELECT polygon_id, 90000.0 + CASE WHEN polygon_id % 3 = 0 THEN 0 ELSE 7500 END - CASE WHEN (polygon_id + 20) % 3 = 0 THEN 0 ELSE 7500 END AS m2, 5 + CASE WHEN polygon_id % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN (polygon_id + 20) % 3 = 0 THEN 0 ELSE 1 END AS vertices FROM fx_soil"),
+    "stored_field_answers": _with(f"SELECT field_id, {_r('sum(inter_m2)', 3)} AS m2, count(*) AS units FROM hits GROUP BY field_id", "fields"),
     "field_statuses": _with(f"SELECT field_id, CASE field_id % 10 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_ring' WHEN 2 THEN 'bad_ring' WHEN 8 THEN CASE WHEN 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END WHEN 9 THEN 'bad_geometry' ELSE 'invalid' END AS status FROM (SELECT field_id, maxx-minx AS w FROM fx_fields)"),
     "repaired_fields": _with(f"SELECT field_id, {_r('CASE field_id % 10 WHEN 3 THEN 0.5*w*w WHEN 5 THEN 1.04*w*w WHEN 6 THEN 0.5*w*w WHEN 7 THEN 1.5*w*w WHEN 8 THEN 40000.0*w*w ELSE 1.0*w*w END', 3)} AS m2, CASE WHEN field_id % 10 IN (3, 5, 6, 7) THEN 2 ELSE 1 END AS parts, CASE WHEN field_id % 10 = 8 AND 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END AS status FROM (SELECT field_id, cast(maxx-minx AS double) AS w FROM fx_fields) WHERE field_id % 10 IN (0, 3, 4, 5, 6, 7, 8)"),
 }

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import legend, links
 from ..functions import rings as R
 from ..functions.albers import to_4326, to_5070
-from ..functions.geometry import repaired, rings_to_wkb, wkb_srid, wkb_to_rings
+from ..functions.geometry import repaired, rings_to_wkb, simplified, wkb_srid, wkb_to_rings
 from ..functions.numbers import rounded
 from ..operators import fields as FL
 from ..operators import overlay as O
 from ..operators import prepare as P
 from ..operators import reports as RP
 from ..operators.insight import headline_counts
+from ..operators.simplify import simplify_layer
 from ..sources import tables as T
 from . import fixtures as X
 
@@ -79,7 +80,10 @@ def overlay_drought(s, d):
 
 @_query
 def drought_refresh(s, d):
-    return O.refresh_drought(O.polygon_crop_counts(X.points(s, d), X.soil(s, d), X.CELL), _dry_soil(s, d))
+    """This week's drought on counts that are published once for these points and polygons."""
+    version = T.table_version(_read(s, d, "events"), _read(s, d, "supplier"))
+    counts = O.stored_counts(X.points(s, d), X.soil(s, d), T.published_folder(s, f"counts-{version}"), X.CELL)
+    return O.refresh_drought(counts, _dry_soil(s, d))
 
 
 @_query
@@ -350,23 +354,32 @@ def footprint_coverage(s, d):
 @_query
 def simplify_impact(s, d):
     soil = X.dented(s, d)
-    simple = soil.withColumn("rings", P.simplified(F.col("rings"), 30.0))
+    simple = soil.withColumn("rings", simplified(F.col("rings"), 30.0))
     return _round(P.simplify_impact(soil, simple), net_pct=6, mean_abs_pct=6, worst_pct=6)
 
 
 @_query
 def simplified_soil(s, d):
     """Each dented square after simplification."""
-    simple = X.dented(s, d).withColumn("rings", P.simplified(F.col("rings"), 30.0))
+    simple = X.dented(s, d).withColumn("rings", simplified(F.col("rings"), 30.0))
     return _round(simple.select("polygon_id", R.area_m2(F.col("rings")).alias("m2"), F.size(F.flatten(F.flatten("rings"))).alias("vertices")), m2=3)
 
 
 @_query
 def answer_change(s, d):
-    """Field acres before and after a change of at most three per cent."""
-    a = X.rectangles(s, d, "fx_fields").select("field_id", (R.area_m2(F.col("rings")) / R.M2_PER_ACRE).alias("acres"))
-    b = a.withColumn("acres", F.col("acres") * (1 + (F.col("field_id") % 7 - 3) / 100.0))
-    return _round(P.answer_diff(a, b), total_pct=6, median_pct=6, p95_pct=6, worst_pct=6)
+    """Acres of mapped soil under each field, from the soil as drawn and as simplified, in one join."""
+    soil = X.dented(s, d).select("polygon_id", "rings")
+    both = soil.withColumn("simple", F.lit(0)).unionByName(soil.withColumn("rings", simplified(F.col("rings"), 30.0)).withColumn("simple", F.lit(1)))
+    both = both.select((F.col("polygon_id") * 2 + F.col("simple")).alias("polygon_id"), F.col("simple").cast("string").alias("mukey"), "rings")
+    acres = FL.field_hits(FL.field_pairs(_fields(s, d), both, 1500)).select("field_id", "mukey", (F.col("inter_m2") / R.M2_PER_ACRE).alias("acres"))
+    return _round(P.answer_diff(acres.filter("mukey = '0'"), acres.filter("mukey = '1'")), total_pct=6, median_pct=6, p95_pct=6, worst_pct=6)
+
+
+@_query
+def simplified_layer(s, d):
+    """Each polygon of a layer of neighbours after simplification, and what the layer covers."""
+    simple = simplify_layer(X.bordered(s, d), 30.0)
+    return _round(simple.select("polygon_id", R.area_m2(F.col("rings")).alias("m2"), F.size(F.flatten(F.flatten("rings"))).alias("vertices")), m2=3)
 
 
 # --- reading, writing, shaping ------------------------------------------------
@@ -526,6 +539,20 @@ def field_hits(s, d):
     return _round(FL.field_hits(_pairs(s, d)), inter_m2=3)
 
 
+@_query
+def stored_field_answers(s, d):
+    """Soil under each field from a table of answers that is filled in two runs: half of the fields first, then all, each twice."""
+    path = T.shared_folder(s, "answers")
+    soil, f = X.soil(s, d), X.rectangles(s, d, "fx_fields")
+
+    def answer(new):
+        hits = FL.field_hits(FL.field_pairs(FL.validate_fields(new, projected=True).filter("status = 'ok'"), soil, 1500))
+        return hits.groupBy("field_id").agg(F.sum("inter_m2").alias("m2"), F.count("*").alias("units"))
+
+    FL.stored_answers(f.filter("field_id % 2 = 0"), path, answer)
+    return _round(FL.stored_answers(f, path, answer), m2=3)
+
+
 @_query
 def field_totals(s, d):
     return _round(FL.field_totals(_weighted(s, d), _roverlay(s, d), _fields(s, d)), answered_m2=3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -23,6 +24,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/loamgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def published_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name which all runs share."""
+    return f"{shared_folder(spark, name).rsplit('/', 2)[0]}/loamgrid-published/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder once and read from there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def table_version(*tables: DataFrame) -> str:
+    """A digest of the files that tables are read from, by name, size and time: the same as long as they are."""
+    marks = []
+    for t in tables:
+        files = t.select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+        marks.append(files.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("h")).first())
+    return hashlib.sha256(str([tuple(m) for m in marks]).encode()).hexdigest()[:16]
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Land-cover records; splits follow spark.sql.files.maxPartitionBytes, not the number of files."""
     return spark.read.schema(POINTS).parquet(path)
