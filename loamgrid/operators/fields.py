@@ -147,7 +147,8 @@ def area_response(fields: DataFrame, totals: DataFrame, soil: DataFrame, breakdo
     """
     total = F.sum(F.when(F.col("row_kind") == "cover", F.col("acres"))).over(Window.partitionBy("field_id"))
     b = breakdown.withColumn("total", F.when(total == 0, 1.0).otherwise(F.coalesce(total, F.lit(1.0)))).withColumn("s", F.col("acres") / F.col("total"))
-    cover = F.struct((-F.col("acres")).alias("o"), "crop_code", "land_cover", "is_agricultural", F.bround("acres", 3).alias("acres"), F.bround("pixels", 1).alias("pixels"), F.bround("s", 4).alias("share"))
+    # equal acres stay equal whatever order they were added up in, and then the code decides
+    cover = F.struct((-rounded(F.col("acres"), 6)).alias("o"), "crop_code", "land_cover", "is_agricultural", F.bround("acres", 3).alias("acres"), F.bround("pixels", 1).alias("pixels"), F.bround("s", 4).alias("share"))
     dry = F.struct("drought_class", drought_label(F.col("drought_class")).alias("label"), F.bround("acres", 3).alias("acres"), F.bround("s", 4).alias("share"))
     is_cover = F.col("row_kind") == "cover"
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("s"))), F.lit(0.0))
@@ -158,7 +159,7 @@ def area_response(fields: DataFrame, totals: DataFrame, soil: DataFrame, breakdo
     )
     df = fields.select("field_id", "query_acres").join(totals, "field_id", "left").join(soil, "field_id", "left").join(lists, "field_id", "left")
     answered = F.coalesce(F.col("answered_m2"), F.lit(0.0)) / R.M2_PER_ACRE
-    df = df.withColumn("coverage", F.coalesce(F.bround(answered / F.nullif("query_acres", F.lit(0.0)), 4), F.lit(0.0)))
+    df = df.withColumn("coverage", F.coalesce(F.bround(F.round(answered / F.nullif("query_acres", F.lit(0.0)), 9), 4), F.lit(0.0)))
     df = df.withColumn("answered_acres", F.bround(answered, 3)).withColumn("answered", F.col("breakdown").isNotNull())
     df = df.fillna(0.0, ["agricultural_share", "severe_share", "drought_share", "rated_m2", "cultivable_m2", "irrigable_m2"])
     df = insight(df)
@@ -191,8 +192,18 @@ def area_mapunits(pairs: DataFrame, fields: DataFrame, soil: DataFrame, overlay:
     cut = parts.select("field_id", "mukey", "polygon_id", intersection("a", "b").alias("part"))
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", "part"))), lambda x: x["part"]))
     shaped = kept.join(cut.groupBy("field_id", "mukey").agg(listed.alias("rings")), ["field_id", "mukey"]).join(best, "mukey")
-    found = with_attributes(shaped, attrs)
-    return found.withColumn("geojson", to_geojson(R.project(F.col("rings"), inverse=True))).withColumn("field_acres", F.col("inter_m2") / R.M2_PER_ACRE)
+    found = with_attributes(shaped, attrs).withColumn("field_acres", F.col("inter_m2") / R.M2_PER_ACRE)
+    return found.withColumn("geojson", to_geojson(R.project(F.col("rings"), inverse=True)))
+
+
+#: Properties of a map unit's feature.
+PROPERTIES = ["mukey", "musym", "areasymbol", "muname", "land_cover", "crop_code", "is_agricultural", "drought_class", "drought_label", "capability_class", "acres"]
+
+
+def unit_features(units: DataFrame) -> DataFrame:
+    """``area_mapunits`` with the properties of its features: acres under the field to three places, the label of its drought, the preferred capability."""
+    units = units.withColumn("acres", F.bround("field_acres", 3)).withColumn("drought_label", drought_label(F.col("drought_class")))
+    return units.withColumn("capability_class", capability(F.col("cap_irrigated"), F.col("cap_rainfed")))
 
 
 def consistency(breakdown: DataFrame) -> DataFrame:

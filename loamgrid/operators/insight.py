@@ -27,7 +27,7 @@ FINDING = "struct<kind:string,severity:string,text:string>"
 
 def pct_text(x: Column) -> Column:
     """A share as a percentage: one decimal below 10, none from there on; half-even."""
-    p = x * 100
+    p = F.round(x * 100, 9)  # a half is one in whatever order shares were added up
     plain = lambda d: F.replace(F.format_number(p, d), F.lit(","), F.lit(""))
     return F.concat(F.when(p < 10, plain(1)).otherwise(plain(0)), F.lit("%"))
 
@@ -45,7 +45,7 @@ def _finding(on: Column, kind: str, severity, *text) -> Column:
 
 
 def _rounded(x: Column, places: int) -> Column:
-    return F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
+    return F.replace(F.format_number(F.round(x, 9), places), F.lit(","), F.lit(""))
 
 
 def insight(df: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def insight(df: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b != 0, a / F.nullif(b, F.lit(0.0)))
     df = df.withColumn("rated_share", F.coalesce(share(rated, c("answered_m2")), F.lit(0.0)))
     df = df.withColumn("cultivable_share", share(c("cultivable_m2"), rated)).withColumn("irrigable_share", share(c("irrigable_m2"), rated))
-    k, farmed, i = c("cultivable_share"), c("agricultural_share"), c("irrigable_share")
+    near = lambda x: F.round(x, 9)  # noqa: E731  what is at a threshold is there in whatever order it was added up
+    k, farmed, i = near(c("cultivable_share")), near(c("agricultural_share")), near(c("irrigable_share"))
     headline = (
         F.when(rated == 0, NO_RATING)
         .when((k >= CULTIVABLE_HIGH) & (farmed >= FARMED_HIGH), CAPABLE)
@@ -74,8 +75,9 @@ def insight(df: DataFrame) -> DataFrame:
         .when(k == 1, "All of the rated area is USDA capability class 1–4 (capable of cultivation).")
         .otherwise(F.concat(pct_text(k), F.lit(" of rated area is USDA capability class 1–4 (capable of cultivation); "), pct_text(1 - k), F.lit(" is class 5–8.")))
     )
-    severe, dry, slope, water = c("severe_share"), c("drought_share"), c("slope_pct"), c("water_storage")
+    severe, dry, slope, water = c("severe_share"), c("drought_share"), near(c("slope_pct")), near(c("water_storage"))
     always = F.lit(True)
+    # Fixed texts: readers compare findings by them.
     found = [
         _finding(always, "capability", "neutral", capability, soil_clause(c("dominant_soil"))),
         _finding(always, "use", "neutral", pct_text(farmed), " of land cover is agricultural."),
@@ -95,7 +97,7 @@ def insight(df: DataFrame) -> DataFrame:
             F.when(F.coalesce(c("dominant_drainage"), F.lit("")) == "", "").otherwise(F.concat(F.lit(" Drainage: "), F.lower("dominant_drainage"), F.lit("."))),
         ),
         _finding(c("coverage") < COVERAGE_PARTIAL, "caveat", "note", "Only ", pct_text(c("coverage")), " of the drawn polygon fell on mapped soil; the rest is outside the survey."),
-        _finding(c("rated_share") < RATED_PARTIAL, "caveat", "note", pct_text(1 - c("rated_share")), " of the answered area has no capability rating — open water, rock outcrop or made land."),
+        _finding(near(c("rated_share")) < RATED_PARTIAL, "caveat", "note", pct_text(1 - c("rated_share")), " of the answered area has no capability rating — open water, rock outcrop or made land."),
     ]
     none = F.array(_finding(always, "caveat", "note", "None of the answered area carries a USDA capability rating — typically open water, rock outcrop or made land."))
     findings = F.when(rated == 0, none).otherwise(F.filter(F.array(*found), lambda f: f.isNotNull()))

@@ -59,7 +59,7 @@ def top_units(overlay: DataFrame, k: int = 6) -> DataFrame:
 def dominant_cover(overlay: DataFrame) -> DataFrame:
     """The largest single overlay row of each map unit."""
     order = F.struct("acres", (-F.col("crop_code")).alias("c"), (-F.col("drought_class")).alias("d"), F.col("musym"), F.col("areasymbol"))
-    best = overlay.groupBy("mukey").agg(F.max_by(F.struct("land_cover", "crop_code", "drought_class", "acres"), order).alias("r"))
+    best = overlay.groupBy("mukey").agg(F.max_by(F.struct("musym", "areasymbol", "land_cover", "crop_code", "is_agricultural", "drought_class", "acres"), order).alias("r"))
     return best.select("mukey", "r.*")
 
 

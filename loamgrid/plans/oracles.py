@@ -9,6 +9,7 @@ round them, so that a half is one in both engines.
 from __future__ import annotations
 
 from ..functions.albers import C, E, E2, LON0, N, RHO0
+from ..operators import insight
 from ..functions.legend import DROUGHT_LABELS, GROUPS, LEGEND, NOT_FARMED
 from .fixtures import SQL, X0, Y0
 
@@ -216,3 +217,51 @@ ORACLES = {
     "field_statuses": _with(f"SELECT field_id, CASE field_id % 10 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad_ring' WHEN 2 THEN 'bad_ring' WHEN 8 THEN CASE WHEN 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END WHEN 9 THEN 'bad_geometry' ELSE 'invalid' END AS status FROM (SELECT field_id, maxx-minx AS w FROM fx_fields)"),
     "repaired_fields": _with(f"SELECT field_id, {_r('CASE field_id % 10 WHEN 3 THEN 0.5*w*w WHEN 5 THEN 1.04*w*w WHEN 6 THEN 0.5*w*w WHEN 7 THEN 1.5*w*w WHEN 8 THEN 40000.0*w*w ELSE 1.0*w*w END', 3)} AS m2, CASE WHEN field_id % 10 IN (3, 5, 6, 7) THEN 2 ELSE 1 END AS parts, CASE WHEN field_id % 10 = 8 AND 40000.0*w*w/{ACRE} > 100000 THEN 'too_large' ELSE 'ok' END AS status FROM (SELECT field_id, cast(maxx-minx AS double) AS w FROM fx_fields) WHERE field_id % 10 IN (0, 3, 4, 5, 6, 7, 8)"),
 }
+
+_PCT = "CASE WHEN round(100*({x}), 9) < 10 THEN printf('%.1f%%', round(100*({x}), 9)) ELSE printf('%.0f%%', round(100*({x}), 9)) END"
+
+
+def _pct(x: str) -> str:
+    return _PCT.format(x=x)
+
+
+def _even4(x: str) -> str:
+    """To four places, a half to the even side, by way of decimals."""
+    v = f"cast(10000*({x}) AS DECIMAL(18,5))"
+    return f"cast(CASE WHEN {v} - floor({v}) > 0.5 OR {v} - floor({v}) = 0.5 AND floor({v}) % 2 = 1 THEN floor({v}) + 1 ELSE floor({v}) END AS DOUBLE)/10000"
+
+
+# the values of an answer as they are before they are rounded or worded
+_ANSWER = f"""
+totals AS (SELECT field_id, coalesce(nullif(sum(acres), 0), 1) AS t, coalesce(sum(acres) FILTER (WHERE is_agricultural), 0) AS ag FROM cover GROUP BY field_id),
+wet AS (SELECT d.field_id, coalesce(sum(acres/t) FILTER (WHERE drought_class >= 2), 0) AS severe, coalesce(sum(acres/t) FILTER (WHERE drought_class >= 0), 0) AS dry FROM dry d JOIN totals t ON t.field_id = d.field_id GROUP BY d.field_id),
+got AS (SELECT field_id, sum(inter_m2) AS m2, count(*) AS units FROM ans GROUP BY field_id),
+answer AS (SELECT f.field_id, f.query_acres, t.t IS NOT NULL AS answered, CASE WHEN t.t IS NULL THEN 0 ELSE g.m2/{ACRE} END AS answered_acres, CASE WHEN t.t IS NULL THEN 0 ELSE g.units END AS map_units,
+  CASE WHEN t.t IS NULL THEN 0 ELSE {_even4(f'g.m2/{ACRE}/nullif(f.query_acres, 0)')} END AS coverage, round(t.ag/t.t, 9) AS farmed, w.severe, w.dry, coalesce(s.rated_m2, 0) AS rated,
+  round(s.cultivable_m2/nullif(s.rated_m2, 0), 9) AS k, round(s.irrigable_m2/nullif(s.rated_m2, 0), 9) AS i, coalesce(round(s.rated_m2/nullif(g.m2, 0), 9), 0) AS rated_share, round(s.slope_pct, 9) AS slope_pct, round(s.water_storage, 9) AS water_storage, d.dominant_soil, d.dominant_drainage
+  FROM fields f LEFT JOIN totals t ON t.field_id = f.field_id LEFT JOIN wet w ON w.field_id = f.field_id LEFT JOIN got g ON g.field_id = f.field_id LEFT JOIN soilsum s ON s.field_id = f.field_id LEFT JOIN domin d ON d.field_id = f.field_id)"""
+_PARTS["answer"], _NEEDS["answer"] = [_ANSWER], ["hits", "dry", "overlay", "fields"]
+_HEADLINE = "CASE WHEN NOT answered THEN NULL WHEN rated = 0 THEN 'No soil rating for this area.' WHEN k >= 0.5 AND farmed >= 0.5 THEN 'Capable ground, and it is being farmed.' WHEN k >= 0.5 AND farmed < 0.2 THEN 'Cultivable ground, largely out of production.' WHEN k < 0.2 AND farmed < 0.2 THEN 'Marginal ground, and used as such.' WHEN k < 0.2 AND farmed >= 0.5 THEN 'Farmed well beyond what the soil alone would carry.' ELSE 'Mixed ground, partly in production.' END"
+_FOUND = [
+    ("rated = 0", "caveat", "'note'", "'None of the answered area carries a USDA capability rating — typically open water, rock outcrop or made land.'"),
+    ("rated > 0", "capability", "'neutral'", f"CASE WHEN k = 0 THEN 'None of the rated area is USDA capability class 1–4 (capable of cultivation); all of it is class 5–8.' WHEN k = 1 THEN 'All of the rated area is USDA capability class 1–4 (capable of cultivation).' ELSE {_pct('k')} || ' of rated area is USDA capability class 1–4 (capable of cultivation); ' || {_pct('1 - k')} || ' is class 5–8.' END || CASE WHEN coalesce(dominant_soil, '') = '' THEN '' ELSE ' Dominant soil: ' || rtrim(dominant_soil, '.') || '.' END"),
+    ("rated > 0", "use", "'neutral'", f"{_pct('farmed')} || ' of land cover is agricultural.'"),
+    ("rated > 0 AND i < {IRRIGABLE}", "irrigation", "'note'", f"CASE WHEN i = 0 THEN 'None of the rated area can be irrigated.' ELSE 'Only ' || {_pct('i')} || ' of rated area carries an irrigated capability rating; the rest cannot be irrigated.' END"),
+    ("rated > 0 AND severe > 0", "drought", "'caution'", f"{_pct('severe')} || ' of the field is in severe drought (D2) or worse' || CASE WHEN farmed >= 0.2 THEN ', on ground that is ' || {_pct('farmed')} || ' agricultural.' ELSE '.' END"),
+    ("rated > 0 AND severe <= 0 AND dry > 0", "drought", "'note'", f"{_pct('dry')} || ' of the field is under some drought classification (D0–D1).'"),
+    ("rated > 0 AND slope_pct >= {STEEP}", "terrain", "'caution'", "'Mean slope ' || printf('%.0f', round(slope_pct, 9)) || '% — steep. Limits machinery and raises erosion risk.'"),
+    ("rated > 0 AND slope_pct >= {ROLLING} AND slope_pct < {STEEP}", "terrain", "'note'", "'Mean slope ' || printf('%.0f', round(slope_pct, 9)) || '% — rolling.'"),
+    ("rated > 0 AND water_storage < {WATER}", "water", "'note'", "'Available water storage ' || printf('%.1f', round(water_storage, 9)) || ' cm to 150 cm — low. Crops here depend on irrigation timing rather than stored moisture.' || CASE WHEN coalesce(dominant_drainage, '') = '' THEN '' ELSE ' Drainage: ' || lower(dominant_drainage) || '.' END"),
+    ("rated > 0 AND coverage < {PARTIAL}", "caveat", "'note'", f"'Only ' || {_pct('coverage')} || ' of the drawn polygon fell on mapped soil; the rest is outside the survey.'"),
+    ("rated > 0 AND rated_share < {RATED}", "caveat", "'note'", f"{_pct('1 - rated_share')} || ' of the answered area has no capability rating — open water, rock outcrop or made land.'"),
+]
+_LIMITS = {"IRRIGABLE": insight.IRRIGABLE_LOW, "STEEP": insight.SLOPE_STEEP, "ROLLING": insight.SLOPE_ROLLING, "WATER": insight.WATER_LOW, "PARTIAL": insight.COVERAGE_PARTIAL, "RATED": insight.RATED_PARTIAL}
+_FINDINGS = " UNION ALL ".join(f"SELECT field_id, {n} AS o, '{kind}' AS kind, {severity} AS severity, {text} AS text FROM answer WHERE answered AND {on.format(**_LIMITS)}" for n, (on, kind, severity, text) in enumerate(_FOUND))
+_SIX = ("slope_pct", "water_storage")
+
+ORACLES |= {
+    "field_answers": _with(f"SELECT field_id, map_units, dominant_soil, dominant_drainage, {_HEADLINE} AS headline, {_r('query_acres', 3)} AS query_acres, {_r('answered_acres', 3)} AS answered_acres, {_r('coverage', 4)} AS coverage, {_r('slope_pct', 6)} AS slope_pct, {_r('water_storage', 6)} AS water_storage, {_r('k', 6)} AS cultivable_share, {_r('i', 6)} AS irrigable_share, {_r('CASE WHEN answered THEN rated_share END', 6)} AS rated_share, {_r('farmed', 6)} AS agricultural_share FROM answer", "answer"),
+    "field_answer_lists": _with(f"SELECT c.field_id, 'cover' AS kind, cast(row_number() OVER (PARTITION BY c.field_id ORDER BY {_r('acres', 6)} DESC, crop_code) - 1 AS INTEGER) AS pos, crop_code AS code, land_cover AS label, is_agricultural, {_r('acres', 3)} AS acres, {_r('pixels', 1)} AS pixels, {_r('acres/t', 4)} AS share FROM cover c JOIN totals t ON t.field_id = c.field_id UNION ALL SELECT d.field_id, 'drought', cast(row_number() OVER (PARTITION BY d.field_id ORDER BY drought_class) - 1 AS INTEGER), drought_class, {_LABEL}, NULL, {_r('acres', 3)}, NULL, {_r('acres/t', 4)} FROM dry d JOIN totals t ON t.field_id = d.field_id", "answer"),
+    "field_findings": _with(f"SELECT field_id, cast(row_number() OVER (PARTITION BY field_id ORDER BY o) - 1 AS INTEGER) AS pos, kind, severity, text FROM ({_FINDINGS})", "answer"),
+    "field_feature_rows": _with(f"SELECT q.field_id, q.rn, q.n > 200 AS truncated, q.mukey, d.musym, d.areasymbol, a.muname, d.land_cover, d.crop_code, d.is_agricultural, d.drought_class, {_LABEL} AS drought_label, coalesce(a.cap_irrigated, a.cap_rainfed) AS capability_class, {_r(f'q.inter_m2/{ACRE}', 3)} AS acres FROM (SELECT h.*, row_number() OVER (PARTITION BY field_id ORDER BY round(inter_m2, 3) DESC, mukey) AS rn, count(*) OVER (PARTITION BY field_id) AS n FROM hits h WHERE inter_m2 > 0 AND mukey IN (SELECT mukey FROM roverlay)) q JOIN (SELECT *, row_number() OVER (PARTITION BY mukey ORDER BY acres DESC, crop_code, drought_class, musym DESC, areasymbol DESC) AS rn FROM roverlay) d ON d.mukey = q.mukey AND d.rn = 1 LEFT JOIN fx_attr a ON a.mukey = q.mukey WHERE q.rn <= 200", "fields"),
+}

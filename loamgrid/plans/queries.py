@@ -188,7 +188,7 @@ def top_units(s, d):
 
 @_query
 def dominant_cover(s, d):
-    return RP.dominant_cover(_overlay(s, d))
+    return RP.dominant_cover(_overlay(s, d)).select("mukey", "land_cover", "crop_code", "drought_class", "acres")
 
 
 @_query
@@ -520,13 +520,20 @@ def _breakdown(s, d):
     return FL.area_breakdown(_weighted(s, d), _roverlay(s, d))
 
 
+def _features(s, d):
+    units = FL.area_mapunits(T.stored(_pairs(s, d), "pairs"), _fields(s, d), X.soil(s, d), T.stored(_roverlay(s, d), "overlay"), X.fixture(s, d, "fx_attr"))
+    return FL.unit_features(units)
+
+
 def _soil_summary(s, d):
     return FL.soil_summary(_weighted(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"))
 
 
 def _response(s, d):
-    w, o = _weighted(s, d), _roverlay(s, d)  # three uses, one exchange each: Spark reuses it
-    return FL.area_response(_fields(s, d), FL.field_totals(w, o, _fields(s, d)), FL.soil_summary(w, o, X.fixture(s, d, "fx_attr")), FL.area_breakdown(w, o))
+    # each is used several times: written once, and not left to what Spark finds the same
+    w, o = T.stored(_weighted(s, d), "weighted"), T.stored(_roverlay(s, d), "overlay")
+    f = T.stored(_fields(s, d).select("field_id", "query_acres"), "fields")
+    return FL.area_response(f, FL.field_totals(w, o, f), FL.soil_summary(w, o, X.fixture(s, d, "fx_attr")), FL.area_breakdown(w, o))
 
 
 @_query
@@ -607,8 +614,39 @@ def field_mapunits(s, d):
 @_query
 def field_features(s, d):
     """One GeoJSON FeatureCollection for each field."""
-    units = FL.area_mapunits(_pairs(s, d), _fields(s, d), X.soil(s, d), _roverlay(s, d), X.fixture(s, d, "fx_attr"))
-    return T.feature_collection(units, "field_id", "geojson", ["mukey", "muname", "land_cover", "field_acres"])
+    return T.feature_collection(_features(s, d), "field_id", "geojson", FL.PROPERTIES, "rn", "truncated")
+
+
+@_query
+def field_feature_rows(s, d):
+    """The collections read again: each feature's place, kind, ring and part counts, and its eleven properties."""
+    kinds = "mukey string, musym string, areasymbol string, muname string, land_cover string, crop_code int, is_agricultural boolean, drought_class int, drought_label string, capability_class int, acres double"
+    rows = T.read_features(field_features(s, d), "collection", kinds)
+    return rows.filter("size(rings) > 0").select("field_id", (F.col("pos") + 1).alias("rn"), "truncated", *FL.PROPERTIES)
+
+
+@_query
+def field_answers(s, d):
+    """The single values of each field's answer."""
+    r = _response(s, d)
+    plain = ["field_id", "map_units", "dominant_soil", "dominant_drainage", "headline"]
+    places = {"query_acres": 3, "answered_acres": 3, "coverage": 4, "slope_pct": 6, "water_storage": 6, "cultivable_share": 6, "irrigable_share": 6, "rated_share": 6, "agricultural_share": 6}
+    return _round(r, **places).select(*plain, *places)
+
+
+@_query
+def field_answer_lists(s, d):
+    """Land cover and drought of each field's answer, place by place."""
+    r = T.stored(_response(s, d).select("field_id", "breakdown", "drought"), "lists")
+    cover = r.select("field_id", F.posexplode("breakdown").alias("pos", "x")).select("field_id", F.lit("cover").alias("kind"), "pos", F.col("x.crop_code").alias("code"), F.col("x.land_cover").alias("label"), "x.is_agricultural", "x.acres", "x.pixels", "x.share")
+    dry = r.select("field_id", F.posexplode("drought").alias("pos", "x")).select("field_id", F.lit("drought").alias("kind"), "pos", F.col("x.drought_class").alias("code"), "x.label", F.lit(None).cast("boolean").alias("is_agricultural"), "x.acres", F.lit(None).cast("double").alias("pixels"), "x.share")
+    return cover.unionByName(dry)
+
+
+@_query
+def field_findings(s, d):
+    """The findings of each field's answer, in order."""
+    return _response(s, d).select("field_id", F.posexplode("findings").alias("pos", "x")).select("field_id", "pos", "x.kind", "x.severity", "x.text")
 
 
 @_query

@@ -119,7 +119,7 @@ def from_geojson(column: Column) -> Column:
 
 
 def from_wkt(column: Column) -> Column:
-    """Rings of a POLYGON or MULTIPOLYGON text, further ordinates dropped; null for anything else."""
+    """Rings of a POLYGON or MULTIPOLYGON text, further ordinates dropped; none for an EMPTY one, null for anything else."""
     kind = F.upper(F.regexp_extract(column, r"^\s*(?:SRID=\d+;)?\s*([A-Za-z]+)", 1))
     body = F.regexp_extract(column, r"(\(.*\))", 1)
     # positions become arrays of numbers, and brackets those of JSON
@@ -128,7 +128,9 @@ def from_wkt(column: Column) -> Column:
     ring = "array<array<array<double>>>"
     shape = F.when(kind == "POLYGON", F.array(F.from_json(text, ring))).when(kind == "MULTIPOLYGON", F.from_json(text, f"array<{ring}>"))
     pair = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
-    return F.transform(shape, lambda poly: F.transform(poly, lambda r: F.transform(r, pair))).cast(RINGS)
+    empty = kind.isin("POLYGON", "MULTIPOLYGON") & F.upper(column).rlike(r"POLYGON\s*(?:ZM|Z|M)?\s*EMPTY\s*$")
+    rings = F.transform(F.filter(shape, lambda poly: poly.isNotNull()), lambda poly: F.transform(poly, lambda r: F.transform(r, pair)))
+    return F.when(empty, F.array().cast(RINGS)).when(body != "", rings.cast(RINGS))
 
 
 def to_wkt(rings: Column) -> Column:
@@ -145,8 +147,23 @@ def to_geojson(rings: Column, places: int = 6) -> Column:
     return F.when(F.size(rings) == 1, one).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), pairs.alias("coordinates"))))
 
 
-def feature_collection(features: DataFrame, key: str, geojson: str, properties: list[str]) -> DataFrame:
-    """(key, collection): the rows of a key as one GeoJSON FeatureCollection."""
-    feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.col(geojson), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit("}"))
-    listed = features.groupBy(key).agg(F.concat_ws(",", F.array_sort(F.collect_list(feature))).alias("list"))
-    return listed.select(key, F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("list"), F.lit("]}")).alias("collection"))
+def feature_collection(features: DataFrame, key: str, geojson: str, properties: list[str], order: str | None = None, truncated: str | None = None) -> DataFrame:
+    """(key, collection): the rows of a key as one GeoJSON FeatureCollection, by ``order``, with the flag ``truncated`` if one is named."""
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), F.col(geojson), F.lit(',"properties":'), F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}), F.lit("}"))
+    place = F.col(order) if order else F.lit(0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("o"), feature.alias("f")))), lambda x: x["f"])
+    flag = F.max(F.coalesce(F.col(truncated), F.lit(False))) if truncated else F.lit(None).cast("boolean")
+    by = features.groupBy(key).agg(F.concat_ws(",", listed).alias("list"), flag.alias("flag"))
+    tail = F.when(F.col("flag").isNull(), "]}").otherwise(F.concat(F.lit('],"truncated":'), F.col("flag").cast("string"), F.lit("}")))
+    return by.select(key, F.concat(F.lit('{"type":"FeatureCollection","features":['), F.col("list"), tail).alias("collection"))
+
+
+def read_features(collections: DataFrame, column: str, properties: str) -> DataFrame:
+    """A row for each feature of GeoJSON collections: ``truncated``, ``pos`` (from 0), ``geometry_type``, ``rings`` of polygons (null for
+    other kinds), the ``geometry`` as text and the properties, typed as ``properties`` says. Other columns stay; what is no collection gives no row.
+    """
+    kind = f"type string, truncated boolean, features array<struct<geometry:string,properties:struct<{properties}>>>"
+    whole = collections.withColumn("_c", F.from_json(F.col(column), kind)).filter("_c.type = 'FeatureCollection'").drop(column)
+    rows = whole.select(*[n for n in whole.columns if n != "_c"], F.col("_c.truncated").alias("truncated"), F.posexplode("_c.features").alias("pos", "_f"))
+    text = F.col("_f.geometry")
+    return rows.select("*", F.get_json_object(text, "$.type").alias("geometry_type"), from_geojson(text).alias("rings"), text.alias("geometry"), "_f.properties.*").drop("_f")
