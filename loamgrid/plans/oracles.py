@@ -11,6 +11,7 @@ from __future__ import annotations
 from ..functions.albers import C, E, E2, LON0, N, RHO0
 from ..operators import insight
 from ..functions.legend import DROUGHT_LABELS, GROUPS, LEGEND, NOT_FARMED
+from ..functions.links import ALPHABET
 from .fixtures import SQL, X0, Y0
 
 ACRE = 4046.8564224
@@ -259,7 +260,13 @@ _LIMITS = {"IRRIGABLE": insight.IRRIGABLE_LOW, "STEEP": insight.SLOPE_STEEP, "RO
 _FINDINGS = " UNION ALL ".join(f"SELECT field_id, {n} AS o, '{kind}' AS kind, {severity} AS severity, {text} AS text FROM answer WHERE answered AND {on.format(**_LIMITS)}" for n, (on, kind, severity, text) in enumerate(_FOUND))
 _SIX = ("slope_pct", "water_storage")
 
+# a link's numbers: latitude and longitude of the first corner, then steps; each doubled, turned over if below 0, and cut into groups of five bits
+_LINK = f"""list_aggregate(list_transform([b, a, 0, w, h, 0, 0, -w], lambda s: list_aggregate(list_transform(range(0, greatest(1, cast(ceil(len(ltrim(bin(CASE WHEN s < 0 THEN -2*s - 1 ELSE 2*s END), '0'))/5.0) AS BIGINT))),
+  lambda k: substr('{ALPHABET}', cast(((CASE WHEN s < 0 THEN -2*s - 1 ELSE 2*s END) >> (5*k)) % 32 + CASE WHEN ((CASE WHEN s < 0 THEN -2*s - 1 ELSE 2*s END) >> (5*k + 5)) > 0 THEN 32 ELSE 0 END + 1 AS BIGINT), 1)), 'string_agg', '')), 'string_agg', '')"""
+
 ORACLES |= {
+    "square_links": f"""SELECT c_custkey, {_LINK} AS link FROM (SELECT c_custkey, x1 AS a, y1 AS b, x2 - x1 AS w, y2 - y1 AS h FROM (SELECT c_custkey, {', '.join(f"cast(round({m} {sign} {off}, 6)*1000000 AS BIGINT) AS {name}" for name, m, sign, off in (('x1', 'lon', '-', 'dx'), ('x2', 'lon', '+', 'dx'), ('y1', 'lat', '-', 'dy'), ('y2', 'lat', '+', 'dy')))}
+ FROM (SELECT c_custkey, lon, lat, h/(111320.0*greatest(0.1, abs(cos(radians(lat))))) AS dx, h/111320.0 AS dy FROM (SELECT c_custkey, -120 + (c_custkey % 97)/100.0 AS lon, 36 + (c_custkey % 89)/100.0 AS lat, CASE c_custkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 200 WHEN 2 THEN 400 WHEN 3 THEN 800 ELSE 1600 END AS h FROM customer))))""",
     "field_answers": _with(f"SELECT field_id, map_units, dominant_soil, dominant_drainage, {_HEADLINE} AS headline, {_r('query_acres', 3)} AS query_acres, {_r('answered_acres', 3)} AS answered_acres, {_r('coverage', 4)} AS coverage, {_r('slope_pct', 6)} AS slope_pct, {_r('water_storage', 6)} AS water_storage, {_r('k', 6)} AS cultivable_share, {_r('i', 6)} AS irrigable_share, {_r('CASE WHEN answered THEN rated_share END', 6)} AS rated_share, {_r('farmed', 6)} AS agricultural_share FROM answer", "answer"),
     "field_answer_lists": _with(f"SELECT c.field_id, 'cover' AS kind, cast(row_number() OVER (PARTITION BY c.field_id ORDER BY {_r('acres', 6)} DESC, crop_code) - 1 AS INTEGER) AS pos, crop_code AS code, land_cover AS label, is_agricultural, {_r('acres', 3)} AS acres, {_r('pixels', 1)} AS pixels, {_r('acres/t', 4)} AS share FROM cover c JOIN totals t ON t.field_id = c.field_id UNION ALL SELECT d.field_id, 'drought', cast(row_number() OVER (PARTITION BY d.field_id ORDER BY drought_class) - 1 AS INTEGER), drought_class, {_LABEL}, NULL, {_r('acres', 3)}, NULL, {_r('acres/t', 4)} FROM dry d JOIN totals t ON t.field_id = d.field_id", "answer"),
     "field_findings": _with(f"SELECT field_id, cast(row_number() OVER (PARTITION BY field_id ORDER BY o) - 1 AS INTEGER) AS pos, kind, severity, text FROM ({_FINDINGS})", "answer"),

@@ -317,6 +317,15 @@ def square_fields(s, d):
     return R.with_bbox(_read(s, d, "customer").select("c_custkey", rings.alias("rings"))).select("c_custkey", "minx", "maxy")
 
 
+@_query
+def square_links(s, d):
+    """Links of squares drawn in degrees."""
+    k = F.col("c_custkey")
+    half = F.element_at(F.array(*map(F.lit, [100, 200, 400, 800, 1600])), (k % 5 + 1).cast("int"))
+    rings = R.square(-120 + (k % 97) / 100.0, 36 + (k % 89) / 100.0, half)
+    return _read(s, d, "customer").select("c_custkey", links.encode_links(rings).alias("link"))
+
+
 @_query
 def tiles_for_aoi(s, d):
     counties = X.rectangles(s, d, "fx_fields")

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loamgrid.functions import geometry as G
@@ -96,16 +97,56 @@ def test_self_crossing_and_simplify():
     assert G.simplify_ring(SQUARE[0][0], 100) is SQUARE[0][0]
 
 
+def decode_ring(text):
+    shape = links.decoded(pa.array([text], pa.string())).to_pylist()[0]
+    return shape and [(p["x"], p["y"]) for p in shape[0][0]]
+
+
+def encode_ring(ring):
+    return links.encoded(G.pack([ring and [[np.array(ring)]]])).to_pylist()[0]
+
+
 @pytest.mark.parametrize(
     "text,first,acres",
     [("smg9lCv6o_jHAggmCok4BAA__lC", (-119.5258, 36.65111), 2525.14), ("oi4wgCzt_u_GAgnE8vDAA_mE", (-117.16169, 33.8289), 9.8098), ("o2--uC7kykrHAwtlBkicAAvtlB", (-123.28251, 41.4017), 631.79)],
 )
 def test_links(text, first, acres):
-    ring = links.decode_ring(text)
+    ring = decode_ring(text)
     assert ring[0] == first and ring[-1] == first
-    assert links.encode_ring(ring) == text
+    assert encode_ring(ring) == text
 
 
 def test_bad_links():
-    assert links.decode_ring("smg9lCv6o_jHAggmCok4BAA__l") is None
-    assert links.decode_ring("!!") is None and links.decode_ring(None) is None and links.decode_ring("") is None
+    assert decode_ring("smg9lCv6o_jHAggmCok4BAA__l") is None
+    assert decode_ring("!!") is None and decode_ring(None) is None and decode_ring("") is None
+
+
+def plain_link(ring):
+    """A link written number by number: twice a step, less one and turned over if it is below 0, in groups of five bits."""
+    text, before = "", (0, 0)
+    for lon, lat in ring[:-1]:
+        here = (math.floor(lat * 1e6 + 0.5), math.floor(lon * 1e6 + 0.5))
+        for v in (2 * (a - b) if a >= b else -2 * (a - b) - 1 for a, b in zip(here, before)):
+            bits = [v >> k & 31 for k in range(0, max(1, v.bit_length()), 5)]
+            text += "".join(links.ALPHABET[b + 32 * (k + 1 < len(bits))] for k, b in enumerate(bits))
+        before = here
+    return text
+
+
+def test_links_of_a_batch():
+    r = random.Random(8)
+    rings = []
+    for _ in range(300):
+        n = r.randrange(3, 12)
+        p = [(round(r.uniform(-180, 180), r.randrange(7)), round(r.uniform(-90, 90), r.randrange(7))) for _ in range(n)]
+        rings.append([*p, p[0]])
+    shapes = [None, [], [[]], [[np.zeros((0, 2))]], [[np.array(rings[0])], [np.array(rings[1])]], [[np.array(rings[2][:3])]], *([[np.array(x)]] for x in rings), None]
+    got = links.encoded(G.pack(shapes)).to_pylist()
+    assert got == [None] * 6 + [plain_link(x) for x in rings] + [None]
+    back = links.decoded(pa.array(got).slice(3)).to_pylist()
+    for ring, shape in zip(rings, back[3:-1]):
+        assert [(p["x"], p["y"]) for p in shape[0][0]] == [(math.floor(x * 1e6 + 0.5) / 1e6, math.floor(y * 1e6 + 0.5) / 1e6) for x, y in ring]
+    odd = ["", None, "A", "AAAAA", "AAAAAA", "AAAAAAA", "AAAAAg", "AAAAA!", "é", "_" * 40 + "A" * 6, "A" * 6 + "_" * 11 + "B", "__________P" + "AAAAA", "gggggggggggggggA" + "AAAAA"]
+    ok = [x is not None for x in links.decoded(pa.array(odd, pa.string())).to_pylist()]
+    assert ok == [False, False, False, False, True, False, False, False, False, False, False, False, True]
+    assert links.decoded(pa.array([], pa.string())).to_pylist() == [] and links.encoded(G.pack([])).to_pylist() == []
