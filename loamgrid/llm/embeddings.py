@@ -17,9 +17,10 @@ than the vectors come from several rotations. Buckets that stay large, as of a
 family of near copies, are dealt into blocks.
 
 Edge cases: vectors of different lengths never link; equal vectors of a label are
-compared once and counted as often as they occur; a vector that is null, empty,
-zero, or holds null or non-finite components, or has no label or id, links with
-nothing; the commonest lengths get learnt rotations, all others random ones;
+compared once and counted as often as they occur; rows that share a vec_id but not
+label and vector are vectors of their own, and each row of that id tells its own
+links and component; a vector that is null, empty, zero, or holds null or
+non-finite components, or has no label or id, links with nothing; the commonest lengths get learnt rotations, all others random ones;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -134,13 +135,17 @@ def learn(classes: DataFrame, threshold: float, sample: int) -> dict[int, Codes]
     widths = classes.groupBy("width").agg(F.count("*").alias("n"), F.max("size").alias("most")).orderBy(F.desc("n"), "width").limit(LENGTHS).collect()
     out = {}
     for row in widths:
-        rows = classes.filter(F.col("width") == row["width"]).orderBy(F.xxhash64("id"), "id").select("embedding").limit(sample).toArrow()
+        rows = classes.filter(F.col("width") == row["width"]).orderBy(F.xxhash64("label", "embedding"), "label", "embedding").select("embedding").limit(sample).toArrow()
         x = _unit(rows.column(0).combine_chunks().flatten().to_numpy().reshape(-1, row["width"]))
         if len(x) < ENOUGH:
             continue
         wanted = substring_bits(row["most"])
         guess = Codes.learn(x, max(LEAST, min(x.shape[1], 64)), threshold).flip
-        out[row["width"]] = Codes.learn(x, wanted * tables(min(0.45, guess * 1.05), wanted), threshold)
+        bits, found = wanted * tables(min(0.45, guess * 1.05), wanted), None
+        while found is None or bits < wanted * tables(found.flip, wanted):  # codes of that length lose more than was guessed: longer ones
+            bits = bits if found is None else wanted * tables(min(0.45, found.flip * 1.05), wanted)
+            found = Codes.learn(x, bits, threshold)
+        out[row["width"]] = found
     return out
 
 
@@ -218,8 +223,7 @@ def link(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, s
         width, bits, tab, i, j = (key[k].as_py() for k in (1, 2, 3, 5, 6))
         keys, own = table.column("key").to_numpy(), table.column("own").to_numpy()
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), "<u4").reshape(len(keys), -1)
-        found = learnt.value.get(width)
-        far = 1.0 if found is None else found.far
+        far = codes_for(width, bits)[0].far
         on = np.zeros(len(keys), bool)
         for rows in _buckets(keys):
             mine = codes[rows]
@@ -269,12 +273,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding", "label")
     fine = usable()
     good = vectors.filter(fine)
-    classes = c.materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vector-classes")
+    classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    # a vec_id may stand for several vectors: each has a number of its own, which is fixed as it is written
+    classes = c.materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     found = c.materialize(link(classes, threshold, block), "vector-links")
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     parts = components(found.filter("b is not null").select("a", "b"))
-    classes = classes.join(counts, "id", "left").join(parts, "id", "left")
-    classes = classes.select("label", "embedding", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    classes = c.materialize(classes.join(counts, "id", "left").join(parts, "id", "left"), "linked-classes")
+    names = classes.filter("component is not null").groupBy("component").agg(F.min("least").alias("name"))
+    classes = classes.join(names, "component", "left")
+    classes = classes.select("label", "embedding", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
     linked = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
