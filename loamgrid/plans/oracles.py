@@ -203,6 +203,7 @@ ORACLES = {
     "wkt_round_trip": _with(f"SELECT polygon_id, cast(x0 - o AS double) AS minx, cast(y0 - o AS double) AS miny, x0 + 300.0 + o AS maxx, y0 + 300.0 + o AS maxy, {_AREA} AS m2, CASE WHEN shape = 3 THEN 2 ELSE 1 END AS parts FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
     "swapped_axes": _with("SELECT polygon_id, cast(y0 - o AS double) AS minx, cast(x0 - o AS double) AS miny, y0 + 300.0 + o AS maxx, x0 + 300.0 + o AS maxy FROM (SELECT *, CASE WHEN shape = 4 THEN 60 ELSE 0 END AS o FROM fx_soil)"),
     "published_overlay": _with(f"SELECT {_COLS}, CASE WHEN crop_code < 60 THEN 'west' ELSE 'east' END AS aoi FROM plain", "plain"),
+    "published_rows": _with("SELECT l.load, aoi, count(*) AS rows FROM (SELECT crop_code, CASE WHEN crop_code < 60 THEN 'west' ELSE 'east' END AS aoi FROM plain) p, (SELECT cast(range AS INTEGER) AS load FROM range(3)) l WHERE (aoi = 'west' OR l.load > 0) AND (l.load < 2 OR aoi = 'east' OR crop_code < 20) GROUP BY ALL", "plain"),
     "written_overlay": _with("SELECT mukey, sum(pixels) AS pixels FROM plain GROUP BY mukey", "plain"),
     "clipped_soil": _with(f"SELECT polygon_id, {_r('m2', 3)} AS m2 FROM ({_inside_box(_BOX)}) WHERE m2 > 0"),
     "soil_in_area": _with(f"SELECT DISTINCT s.polygon_id FROM fx_soil s JOIN fx_shape_rects r ON r.shape = s.shape WHERE s.x0+r.rx1 <= {_BOX[2]} AND s.x0+r.rx2 >= {_BOX[0]} AND s.y0+r.ry1 <= {_BOX[3]} AND s.y0+r.ry2 >= {_BOX[1]} UNION SELECT polygon_id FROM fx_soil WHERE shape = 4 AND greatest({_BOX[0]}-(x0+150), 0, (x0+150)-({_BOX[2]})) + greatest({_BOX[1]}-(y0+150), 0, (y0+150)-({_BOX[3]})) <= 210"),

@@ -427,6 +427,16 @@ def published_overlay(s, d):
     return T.load_overlay(s.read.parquet(path), "aoi").withColumn("crop_code", F.col("crop_code").cast("int"))
 
 
+@_query
+def published_rows(s, d):
+    """What each load reports that the table holds: one area, then two, then one of them anew and smaller."""
+    path = T.shared_folder(s, "served")
+    o = T.stored(overlay(s, d), "overlay")
+    loads = [(o.filter("crop_code < 60"), "west"), (o.filter("crop_code >= 60"), "east"), (o.filter("crop_code < 20"), "west")]
+    told = [T.stored(T.publish(part, path, name).withColumn("load", F.lit(k)), "told") for k, (part, name) in enumerate(loads)]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 @_query
 def written_overlay(s, d):
     """A full product, and a sampled run that must not replace it."""

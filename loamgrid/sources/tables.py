@@ -80,10 +80,11 @@ def load_overlay(df: DataFrame, *more: str) -> DataFrame:
     return df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()], *more)
 
 
-def publish(df: DataFrame, path: str, aoi: str) -> None:
-    """Replace one area's partition and leave the others; a second run changes nothing."""
+def publish(df: DataFrame, path: str, aoi: str) -> DataFrame:
+    """Replace one area's partition and leave the others; a second run changes nothing. Returns what the table then holds: aoi, rows."""
     writer = df.withColumn("aoi", F.lit(aoi)).write.mode("overwrite").partitionBy("aoi")
     writer.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path).groupBy("aoi").agg(F.count("*").alias("rows"))
 
 
 def raster_to_points(tiles: DataFrame) -> DataFrame:
