@@ -25,3 +25,8 @@ def test_stages(spark):
     packed = P.STAGES[-1][1](spark, docs, SF)
     want = packing.pieces(docs).agg(F.sum("length")).first()[0]
     assert packed.agg(F.sum("length")).first()[0] == want
+    # run() is the stages, one after another
+    ran = P.run(spark, SF)
+    rows = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in df.collect())
+    tokens = lambda df: {r["doc_id"]: r["doc_tokens"] for r in df.select("doc_id", "doc_tokens").collect()}
+    assert ran.columns == packed.columns and tokens(ran) == tokens(packed) and sum(r[2] for r in rows(ran)) == want
