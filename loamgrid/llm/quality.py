@@ -11,7 +11,8 @@ the labels' rates.
 
 Edge cases: a null or empty text is one empty line; without usable labels of
 both kinds every score is the observed rate (1 where there is none); rows that
-repeat a doc_id are scored each by its own text; input columns named like a result are replaced.
+repeat a doc_id are scored each by its own text, and the one with the smallest
+hash is learnt from; input columns named like a result are replaced.
 """
 
 from __future__ import annotations

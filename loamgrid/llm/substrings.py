@@ -3,9 +3,9 @@
 Every window of ``width`` words has a minimiser: the smallest hash among its
 three-word sequences. Consecutive windows sharing it travel as one packed
 string to the minimiser's bucket, so equal windows meet; there they are sorted
-and compared byte by byte. Before that, a task drops the windows that it has
-already seen itself, so a passage with a million copies reaches its bucket once
-per task and not once per copy.
+and compared byte by byte. Before that, a task drops the windows that a chunk of
+its texts holds more than once, so a passage with a million copies reaches its
+bucket once per chunk and not once per copy.
 
 Buckets are sized from a first pass that counts packed bytes per minimiser
 slot over all rows: light slots share a bucket, and a heavy slot is split by a
