@@ -184,7 +184,7 @@ def meeting_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: st
     tile: there each brings only its part, and the parts' areas add up.
     """
     p, q = stored(pair_cover(a, a_id, cell_m), "cover"), stored(pair_cover(b, b_id, cell_m), "cover")
-    levels = sorted({r["level"] for side in (p, q) for r in side.select("level").distinct().collect()}) or [0]  # a dozen at most
+    levels = sorted(r["level"] for r in p.select("level").union(q.select("level")).distinct().collect()) or [0]  # a dozen at most
     met = _with_ancestors(p, levels, "p").join(_with_ancestors(q, levels, "q"), "tile")
     met = met.filter((F.col("p.level") == F.col("tile.level")) | (F.col("q.level") == F.col("tile.level")))
     # boxes decide most pairs of a tile, in generated code, before a part is looked at

@@ -120,8 +120,8 @@ def attach_drought(soils: DataFrame, drought: DataFrame | None, cell_m: float =
     key = [content_key(F.col("rings")).alias("_shape"), "mukey", "musym", "areasymbol"]
     others = [n for n in soils.columns if n not in ("mukey", "musym", "areasymbol")]
     least = soils.groupBy(*key).agg(F.min_by(F.struct(*others), "polygon_id").alias("_rest"))
-    soils = least.select("mukey", "musym", "areasymbol", "_rest.*").select(*soils.columns)
-    zones = drought.select(content_key(F.col("rings"), F.col("drought_class")).alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"])
+    soils = stored(least.select("mukey", "musym", "areasymbol", "_rest.*").select(*soils.columns), "soils")  # covered and joined again
+    zones = stored(drought.select(content_key(F.col("rings"), F.col("drought_class")).alias("zone_id"), "drought_class", "rings").dropDuplicates(["zone_id"]), "zones")
     touched = meeting_pairs(soils, zones, cell_m, "polygon_id", "zone_id").join(zones.select("zone_id", "drought_class"), "zone_id")
     worst = touched.groupBy("polygon_id").agg(F.max("drought_class").alias("drought_class"))
     return soils.join(worst, "polygon_id", "left").withColumn("drought_class", F.coalesce("drought_class", F.lit(-1)).cast("int"))
