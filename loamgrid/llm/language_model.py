@@ -285,7 +285,7 @@ def frequent_contexts(ids: DataFrame, group: np.ndarray, first: int, stop: int)
 
 
 def rare_contexts(ids: DataFrame, group: np.ndarray) -> DataFrame:
-    """(key binary, code int, n long) of every token that is not among the frequent words."""
+    """(key binary, code int, n long) of every token that is not among the frequent words; added up within a pass."""
     size = int(group.max()) + 1
     shared = ids.sparkSession.sparkContext.broadcast(group)
 
@@ -296,8 +296,11 @@ def rare_contexts(ids: DataFrame, group: np.ndarray) -> DataFrame:
             at = np.flatnonzero(flat == -1)
             base = np.cumsum([0, *pc.list_value_length(words).to_pylist()])
             place = np.concatenate([np.zeros(0, np.int64), *(_numbers(x.as_py()) + b for x, b in zip(which, base.tolist()))])
-            code = near[at - 1] * size + near[at + 1]
-            yield pa.RecordBatch.from_arrays([words.flatten().take(pa.array(place)), pa.array(code.astype(np.int32)), pa.array(np.ones(len(at), np.int64))], ["key", "code", "n"])
+            known = words.flatten().dictionary_encode()  # a text lists a word once, a pass may hold it in many texts
+            number = known.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            keys, n = _sums(number[place] * (size * size) + near[at - 1] * size + near[at + 1])
+            word, code = np.divmod(keys, size * size)
+            yield pa.RecordBatch.from_arrays([known.dictionary.take(pa.array(word)), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "code", "n"])
 
     return ids.select("ids", "rest", "which").mapInArrow(run, "key binary, code int, n long")
 

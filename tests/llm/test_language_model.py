@@ -96,6 +96,20 @@ def test_placing_takes_the_largest_gain(spark):
         assert gain[got[key]["class"]] >= max(gain) - 0.05  # gains of small counts are kept in single precision
 
 
+def test_rare_contexts_are_added_up(spark):
+    texts = ["rare a rare a", "a rare", None, "", "RARE a odd", "a " * 5 + "rare a", "rare"] * 3
+    docs = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "row long, train boolean, text string").coalesce(1)
+    group = np.array([0, 1, 2])  # of "a", END and the rest
+    got = [(r["key"], r["code"], r["n"]) for r in lm.rare_contexts(lm.numbered(docs, [b"a", lm.END]), group).collect()]
+    want = collections.Counter()
+    for t in texts:
+        at = [1, *({b"a": 0, lm.END: 1}.get(w, 2) for w in lm.tokens(t))]
+        for i, w in enumerate(lm.tokens(t)):
+            if w not in (b"a", lm.END):
+                want[bytes(w), at[i] * 3 + at[i + 2]] += 1
+    assert {(bytes(k), code): n for k, code, n in got} == want and len(got) == len(want)
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     truth = np.arange(24) % 3
