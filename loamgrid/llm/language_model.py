@@ -30,8 +30,10 @@ text every count is 0; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,15 +72,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     c.small_batches(docs.sparkSession)
 
     def count(batches):
-        seen: dict[bytes, int] = {}
+        seen: Counter[bytes] = Counter()
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
-                for w in tokens(text.as_py()):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(tokens(text.as_py()))
                 if len(seen) > _FLUSH:
                     yield rows()
                     seen.clear()
@@ -116,7 +117,7 @@ def numbered(docs: DataFrame, words: list[bytes]) -> DataFrame:
             ids, rests, shapes, which = [], [], [], []
             for text in batch.column("text"):
                 listed = tokens(text.as_py())
-                row = np.fromiter((find(w, -1) for w in listed), "<i4", len(listed))
+                row = np.fromiter(map(find, listed, repeat(-1)), "<i4", len(listed))
                 rest: dict[bytes, int] = {}
                 which.append(_planes(np.array([rest.setdefault(listed[i], len(rest)) for i in np.flatnonzero(row < 0)], np.int32)))
                 ids.append(_planes(row))
