@@ -11,9 +11,10 @@ UTF-8 bytes, and a mark that stands in the text as its bytes too, so every
 encoding decodes to the text it came from.
 
 A text is cut before its spaces and around its line breaks, which no piece
-crosses. For each distinct short stretch a worker keeps the candidates that come
-up and what results if none is skipped; which are skipped is drawn anew at every
-place, and where one is, the agenda runs again.
+crosses. All segments of a few hundred KB of texts run their agendas side by side,
+one merge of each in a pass over NumPy columns, with all draws of a pass taken at
+once; nothing is kept from one to the next, so rare words cost what frequent ones
+do. Segments beyond ``WIDE`` characters run theirs alone.
 
 Edge cases: a null or empty text has no pieces and decodes to an empty text; a
 null doc_id is kept; rows equal in doc_id and text are encoded alike; other columns
@@ -25,8 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,14 @@ from . import _common as c
 
 MARK = "▁"
 DROPOUT, SEED = 0.1, 1
-#: Nodes that a worker keeps.
-CACHE = 400_000
+#: Bytes of texts that are taken at once.
+_CHUNK = 1 << 19
+#: Longest segments that run side by side, in classes of these widths.
+_WIDTHS = (4, 6, 8, 12, 16, 24, 40, 64)
+WIDE = _WIDTHS[-1]
+_IDLE = np.int32(2**31 - 1)
+#: Stands for a mark in the text itself: valid UTF-8 cannot hold it.
+_OWN_MARK = "\ud800"
 #: Segments up to this length keep their agenda as a list, longer ones as a heap.
 SHORT = 24
 _NEVER = float("inf")
@@ -53,31 +59,148 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class _Node:
-    """A segment, the candidates that come up if none is skipped (None: not listed), and the ids that then result."""
-
-    __slots__ = ("segment", "trace", "ids")
-
-    def __init__(self, segment: str = "", trace: tuple | None = (), ids: bytes = b""):
-        self.segment, self.trace, self.ids = segment, trace, ids
-
-
-class _Words(dict):
-    """Nodes of the stretch that ``lead`` and the key make; made on first use, and kept unless it is long."""
-
-    def __init__(self, codec: PieceCodec, lead: str):
-        self.codec, self.lead = codec, lead
+_P1, _P2, _P3, _P4, _P5 = 2654435761, 2246822519, 3266489917, 668265263, 374761393
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << bits) | (x >> (32 - bits))
+
+
+def _digests(n: int, word: Callable[[int], np.ndarray], h: np.ndarray) -> np.ndarray:
+    """32-bit xxHash of strings of ``n`` bytes under seeds h; word(k) gives their bytes from 4 * k on as numbers."""
+    at = n // 16 * 4
+    if at:
+        lanes = [h + (_P1 + _P2) % 2**32, h + _P2, h, h - _P1]
+        for k in range(at):
+            lanes[k % 4] = _rotated(lanes[k % 4] + word(k) * _P2, 13) * _P1
+        h = _rotated(lanes[0], 1) + _rotated(lanes[1], 7) + _rotated(lanes[2], 12) + _rotated(lanes[3], 18) + n
+    else:
+        h = h + (_P5 + n)
+    for k in range(at, n // 4):
+        h = _rotated(h + word(k) * _P3, 17) * _P4
+    last = word(n // 4) if n % 4 else None
+    for i in range(n % 4):
+        h = _rotated(h + ((last >> (8 * i)) & 0xFF) * _P5, 11) * _P1
+    h = (h ^ (h >> 15)) * _P2
+    h = (h ^ (h >> 13)) * _P3
+    return h ^ (h >> 16)
+
+
+def _by_size(sizes: np.ndarray, seeds: np.ndarray, word: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """32-bit xxHash of strings of these sizes; word(which, k) as for ``_digests``."""
+    order = np.argsort(sizes, kind="stable")
+    seeds, out, to = seeds[order], np.empty(len(order), np.uint32), 0
+    for n, many in enumerate(np.bincount(sizes).tolist()):
+        if many:
+            on = order[to : to + many]
+            out[on] = _digests(n, lambda k, on=on: word(on, k), seeds[to : to + many])
+            to += many
+    return out
+
+
+class _Merges:
+    """The model's pieces as columns by symbol: a piece's id, or a number for another single character."""
+
+    def __init__(self, rank: dict[str, float], ids: dict[str, int], size: int):
+        chars = {x for piece in rank for x in piece}
+        symbols = ids | {x: size + i for i, x in enumerate(sorted(chars - ids.keys()))}
+        #: Below ``size`` a symbol is a piece; ``other`` is any character that no piece holds, and no character.
+        self.size, self.other = size, size + len(chars)
+        self.of_char = np.full(0x110000, self.other, np.int32)
+        for x in chars:
+            self.of_char[ord(x)] = symbols[x]
+        self.order = np.zeros(size, np.int32)
+        self.order[list(ids.values())] = np.unique([rank[p] for p in ids], return_inverse=True)[1]
+        raw = {ids[p]: p.encode() for p in ids}
+        self.sizes = np.zeros(size, np.uint16)
+        self.words = np.zeros((max(map(len, raw.values()), default=0) // 4 + 1, size), np.uint32)
+        for i, x in raw.items():
+            self.sizes[i] = len(x)
+            self.words[: len(x) // 4 + 1, i] = np.frombuffer(x.ljust(len(x) // 4 * 4 + 4, b"\0"), "<u4")
+        pairs = {}
+        for piece, made in ids.items():
+            for k in range(1, len(piece)):
+                a, b = symbols.get(piece[:k]), symbols.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = made
+        # an open table: a pair stands at its slot or in the next free one
+        self.bits = max(10, (4 * len(pairs)).bit_length())
+        self.pair, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        keys = np.array(list(pairs), np.int64)
+        for key, slot, made in zip(keys.tolist(), self._slot(keys).tolist(), pairs.values()):
+            while self.pair[slot] >= 0:
+                slot = (slot + 1) % (1 << self.bits)
+            self.pair[slot], self.made[slot] = key, made
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each two symbols make; -1 if none."""
+        key = a.astype(np.int64) << 32 | b
+        slot = self._slot(key)
+        found = self.pair[slot]
+        out = np.where(found == key, self.made[slot], -1)
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        slot = slot[rest]
+        while len(rest):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            found = self.pair[slot]
+            on = found == key[rest]
+            out[rest[on]] = self.made[slot[on]]
+            more = ~on & (found >= 0)
+            rest, slot = rest[more], slot[more]
+        return out
 
-    def __missing__(self, rest: str) -> tuple[_Node, ...]:
-        codec = self.codec
-        if self.lead and "\n" in rest and codec.breaks:
-            head, *lines = rest.split("\n")
-            return (*self[head], *(node for x in lines for node in (codec.newline, *(codec.bare[x] if x else ()))))
-        found = (codec._node(self.lead + rest),)
-        if len(rest) < 64 and codec.kept < CACHE:
-            codec.kept += 1
-            self[rest] = found
-        return found
+    def candidates(self, a: np.ndarray, b: np.ndarray, start: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each two symbols their place in the agenda (order, then start; _IDLE: none, or skipped) and the piece."""
+        made = self.merged(a, b)
+        on = np.flatnonzero(made >= 0)
+        if limit:
+            found = made[on]
+            drawn = _by_size(self.sizes[found], key[on] + start[on].astype(np.uint32), lambda which, k: self.words[k][found[which]])
+            on = on[drawn >= limit]
+        agenda = np.full(len(made), _IDLE)
+        agenda[on] = self.order[made[on]] * 128 + start[on]
+        return agenda, made
+
+    def run(self, symbols: np.ndarray, length: np.ndarray, key: np.ndarray, limit: int) -> np.ndarray:
+        """Merges the columns of ``symbols`` (place x segment), each by its own agenda; what is merged away becomes -1."""
+        width, n = symbols.shape
+        out = np.empty((width, n), np.int32)
+        here = np.arange(n)
+        # one row more, of no character, stands before the first and after the last
+        sym = np.concatenate([symbols, np.full((1, n), self.other, np.int32)])
+        after = np.repeat(np.arange(1, width + 2, dtype=np.int16)[:, None], n, 1)
+        before = np.repeat(np.arange(-1, width, dtype=np.int16)[:, None], n, 1)
+        before[0] = width
+        agenda, made = np.full((width + 1, n), _IDLE), np.full((width + 1, n), -1, np.int32)
+        at, on = np.nonzero(np.arange(1, width)[:, None] < length)
+        agenda[at, on], made[at, on] = self.candidates(sym[at, on], sym[at + 1, on], at, key[on], limit)
+        while True:
+            best = agenda[:width].min(0)
+            on = np.flatnonzero(best != _IDLE)
+            if len(on) < 0.8 * len(here):
+                out[:, here] = sym[:width]
+                sym, after, before, agenda, made = (x.take(on, 1) for x in (sym, after, before, agenda, made))
+                here, key, best, on = here[on], key[on], best[on], np.arange(len(on))
+            if not len(on):
+                break
+            m = len(here)
+            s, f, p, g, t = (x.reshape(-1) for x in (sym, after, before, agenda, made))
+            i = (best[on] & 127).astype(np.int64)
+            ai = i * m + on
+            aj = f[ai].astype(np.int64) * m + on
+            k, b, new = f[aj].astype(np.int64), p[ai].astype(np.int64), t[ai]
+            ak, ab = k * m + on, b * m + on
+            s[ai], s[aj], g[aj] = new, -1, _IDLE
+            f[ai], p[ak] = k, i
+            place, piece = self.candidates(np.append(new, s[ab]), np.append(s[ak], new), np.append(i, b), np.append(key[on], key[on]), limit)
+            g[ai], t[ai] = place[: len(on)], piece[: len(on)]
+            g[ab], t[ab] = place[len(on) :], piece[len(on) :]
+            p[width * m + on] = width
+        out[:, here] = sym[:width]
+        return out
 
 
 class PieceCodec:
@@ -100,10 +223,7 @@ class PieceCodec:
         if any(b == model.unk_id() for b in self.byte_id):
             raise ValueError("the model lacks byte pieces, without which texts would be lost")
         self.limit, self.seed = int(dropout * 2**32), seed
-        self.known, self.bare = _Words(self, MARK), _Words(self, "")
-        self.kept, self.shared = 0, {}
-        self.newline = _Node(ids=struct.pack("<I", self.byte_id[10]))
-        self.mark = _Node(ids=struct.pack("<3I", *(self.byte_id[b] for b in MARK.encode())))
+        self.table, self.byte_ids = _Merges(self.rank, self.id, size), np.array(self.byte_id, np.uint32)
 
     def _candidate(self, key: int, segment: str, start: int, end: int) -> float:
         """Rank of the merge that would make segment[start:end]; infinite if there is none or it is skipped."""
@@ -157,48 +277,56 @@ class PieceCodec:
                 before[after[i]] = i
         return [x for x in stop if x]
 
-    def _traced(self, segment: str) -> tuple[list[int], tuple]:
-        """As ``merges`` with nothing skipped: ends, and each candidate (piece, start) once, as it comes up."""
-        trace: dict[tuple, tuple] = {}
-
-        def rank(start: int, end: int) -> float:
-            piece = segment[start:end]
-            found = self.rank.get(piece)
-            if found is None:
-                return _NEVER
-            at = (piece, start)
-            trace.setdefault(at, self.shared.setdefault(at, (piece.encode(), start)))
-            return found
-
-        bounds = list(range(len(segment) + 1))
-        agenda = [rank(i, i + 2) for i in range(len(segment) - 1)]
-        while agenda and (best := min(agenda)) != _NEVER:
-            k = agenda.index(best)
-            del bounds[k + 1], agenda[k]
-            if k < len(agenda):
-                agenda[k] = rank(bounds[k], bounds[k + 2])
-            if k:
-                agenda[k - 1] = rank(bounds[k - 1], bounds[k + 1])
-        return bounds[1:], tuple(trace.values())
-
-    def _node(self, segment: str) -> _Node:
-        if not self.limit:
-            return _Node(segment, ids=self._ids(segment, self.merges(segment)))
-        if len(segment) > SHORT:
-            return _Node(segment, trace=None)
-        ends, trace = self._traced(segment)
-        return _Node(segment, trace, self._ids(segment, ends))
-
-    def _at(self, node: _Node, place: int) -> bytes:
-        """Ids of a node's segment at one place."""
-        if node.trace is None:
-            return self._ids(node.segment, self.merges(node.segment, place))
-        digest, limit = xxhash.xxh32_intdigest, self.limit
-        key = digest(node.segment, place)
-        for piece, start in node.trace:
-            if digest(piece, key + start) < limit:
-                return self._ids(node.segment, self.merges(node.segment, place))
-        return node.ids
+    def _node(self, segment: str) -> str:
+        return segment
+
+    def _at(self, segment: str, place: int) -> bytes:
+        """Ids of a segment at one place."""
+        first = np.zeros(1, np.int64)
+        return self._drawn(segment, first, np.array([place], np.uint32), np.array([len(segment)]))[0].tobytes()
+
+    def _drawn(self, text: str, first: np.ndarray, place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments of ``text`` that begin at ``first``, and how many there are up to each of ``ends``."""
+        table = self.table
+        char = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass") + b"\0\0\0\0", np.uint8).copy()
+        wide = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+        byte = np.append(0, np.cumsum(wide))
+        own = byte[:-1][char == ord(_OWN_MARK)]
+        data[own[:, None] + np.arange(3)] = np.frombuffer(MARK.encode(), np.uint8)
+        symbol = table.of_char[char]
+        length = np.diff(first, append=len(char))
+        key = np.zeros(len(first), np.uint32)
+        if self.limit:
+            words = np.ndarray((len(data) - 3,), "<u4", data, strides=(1,))
+            some = np.flatnonzero((length > 1) & (length <= WIDE))
+            start = byte[first[some]]
+            key[some] = _by_size((byte[first[some] + length[some]] - start).astype(np.uint16), place[some], lambda which, k: words[start[which] + 4 * k])
+        low = 1
+        for width in _WIDTHS:
+            on = np.flatnonzero((length > low) & (length <= width))
+            low = width
+            if len(on):
+                at = first[on] + np.arange(width)[:, None]
+                inside = np.arange(width)[:, None] < length[on]
+                found = table.run(np.where(inside, symbol[np.minimum(at, len(char) - 1)], table.other), length[on], key[on], self.limit)
+                symbol[at[inside]] = found[inside]
+        for i in np.flatnonzero(length > WIDE).tolist():
+            segment = text[first[i] : first[i] + length[i]]
+            last = self.merges(segment, int(place[i]))
+            part = np.full(length[i], -1, np.int32)
+            part[[0, *last[:-1]]] = [self.id.get(segment[a:b], table.other) for a, b in zip([0, *last], last)]
+            symbol[first[i] : first[i] + length[i]] = part
+        # a symbol that is no piece is a character: its bytes
+        plain = symbol >= table.size
+        count = np.where(plain, wide, symbol >= 0)
+        to = np.append(0, np.cumsum(count))
+        out = np.empty(int(to[-1]), np.uint32)
+        one = np.flatnonzero((symbol >= 0) & ~plain)
+        out[to[one]] = symbol[one]
+        many = np.flatnonzero(plain)
+        out[c.ragged(to[many], wide[many])] = self.byte_ids[data[c.ragged(byte[many], wide[many])]]
+        return out, to[ends]
 
     def _ids(self, segment: str, ends: list[int]) -> bytes:
         ids: list[int] = []
@@ -214,42 +342,60 @@ class PieceCodec:
 
     def encode(self, text: str | None, doc: str | None = None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        if not text:
-            return b""
-        if self.kept >= CACHE:
-            self.known.clear()
-            self.bare.clear()
-            self.shared.clear()
-            self.kept = 0
-        place = xxhash.xxh32_intdigest(text, xxhash.xxh32_intdigest("" if doc is None else f"={doc}", self.seed)) if self.limit else 0
-        at = self._at
-        return b"".join([node.ids if node.trace == () else at(node, (place + i) & 0xFFFFFFFF) for i, node in enumerate(self._nodes(text))])
-
-    def _nodes(self, text: str) -> Iterator[_Node]:
-        """The segments of a text, in order."""
-        if MARK in text:
-            return iter(self._marked(text))
-        if "  " not in text and text[0] != " " and text[-1] != " ":  # one word after each space
-            return chain.from_iterable(map(self.known.__getitem__, text.split(" ")))
-        return chain.from_iterable(self.known[s[1:]] for s in _CUT.findall(MARK + text.replace(" ", MARK)) if s)
-
-    def _marked(self, text: str) -> list[_Node]:
-        """A text that itself holds the mark: the mark travels as its bytes."""
-        out: list[_Node] = []
+        return self.encode_all([text], [doc])[0]
+
+    def encode_all(self, texts: Sequence[str | None], docs: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        parts, sizes, cuts, bases = [], [], [], []
+        for text, doc in zip(texts, docs):
+            if text and MARK in text:
+                segments = self._marked(text)
+                parts += segments
+                cuts.append((sum(sizes), np.cumsum([0, *map(len, segments)])))
+                sizes.append(int(cuts[-1][1][-1]))
+            else:
+                parts.append(MARK + text.replace(" ", MARK) if text else "")
+                sizes.append(len(parts[-1]))
+            bases.append(xxhash.xxh32_intdigest(text, xxhash.xxh32_intdigest("" if doc is None else f"={doc}", self.seed)) if text and self.limit else 0)
+        whole, ends = "".join(parts), np.cumsum(sizes)
+        char = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        if not len(char):
+            return [b""] * len(sizes)
+        mark, begins = char == ord(MARK), ends - sizes
+        start = mark.copy()
+        start[1:] &= ~mark[:-1]
+        if self.breaks:
+            line = char == 10
+            start |= line
+            start[1:] |= line[:-1]
+        for at, cut in cuts:
+            start[at : at + cut[-1]] = False
+            start[at + cut[:-1]] = True
+        start[begins[np.array(sizes) > 0]] = True
+        first = np.flatnonzero(start)
+        many = np.diff(np.searchsorted(first, ends), prepend=0)
+        nth = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+        place = (np.repeat(np.array(bases, np.int64), many) + nth).astype(np.uint32)
+        ids, to = self._drawn(whole, first, place, ends)
+        raw = ids.astype("<u4", copy=False).tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *to.tolist()], to.tolist())]
+
+    def _marked(self, text: str) -> list[str]:
+        """The segments of a text that itself holds the mark: the mark travels as its bytes."""
+        out: list[str] = []
         for k, part in enumerate(re.split(f"([{MARK}])", text)):
             if part == MARK:
-                out.append(self.mark)
+                out.append(_OWN_MARK)
             elif part or k == 0:
                 lead = MARK if k == 0 else ""
                 for s in _CUT.findall(lead + part.replace(" ", MARK)):
-                    if s:
-                        out += self.known[s[1:]] if s[0] == MARK else self.bare[s]
+                    out += [x for x in (re.split("(\n)", s) if self.breaks and s[:1] == MARK else [s]) if x]
         return out
 
     def decode(self, ids: bytes) -> str:
         """The text that ``encode`` was given."""
         table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:].decode()
+        return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
 
 _codecs: dict[tuple, PieceCodec] = {}
@@ -270,8 +416,9 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: s
 
     @F.arrow_udf("binary")
     def run(texts: pa.Array, ids: pa.Array) -> pa.Array:
-        take = codec(model, dropout, seed).encode
-        return pa.array([take(t.as_py(), d.as_py()) for t, d in zip(texts, ids)], pa.binary())
+        take = codec(model, dropout, seed).encode_all
+        parts = c.chunks(pa.RecordBatch.from_arrays([texts, ids], ["text", "doc"]), limit=_CHUNK)
+        return pa.array([x for p in parts for x in take(p.column("text").to_pylist(), p.column("doc").to_pylist())], pa.binary())
 
     return docs.select("doc_id", "text").withColumn("ids", run("text", F.col("doc_id").cast("string")))
 
