@@ -303,11 +303,18 @@ def tree_candidates(members: DataFrame, classes: DataFrame, percent: int = PERCE
     return grouped.applyInArrow(run, "a long, b long").distinct()
 
 
-def _with_part(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(g, k, part): the component of each member as far as ``links`` say."""
-    if links is None:
-        return members.withColumn("part", F.col("k"))
-    return members.join(components(links).withColumnRenamed("id", "k"), "k", "left").select("g", "k", F.coalesce("component", "k").alias("part"))
+def _with_part(members: DataFrame, parts: DataFrame | None, name: str = "part") -> DataFrame:
+    """``members`` (k and more) with the component (id, component) of each as far as ``parts`` say."""
+    if parts is None:
+        return members.withColumn(name, F.col("k"))
+    return members.join(parts.withColumnRenamed("id", "k"), "k", "left").withColumn(name, F.coalesce("component", "k")).drop("component")
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links."""
+    if parts is not None:
+        links = links.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return components(links)
 
 
 def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -323,9 +330,9 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = full.groupBy("k").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"))
     classes = c.materialize(classes.select("k", "n", "short", "prefix", "bitmap", "row.doc_id", "row.text_hash"), "classes")
     members = c.materialize(groups(classes), "groups")
-    links, tried = None, None
+    parts, tried = None, None
+    state = c.materialize(_with_part(members, parts), "parts")
     for _ in range(ROUNDS):
-        state = c.materialize(_with_part(members, links), "parts")
         lead = state.groupBy("g").agg(F.min(F.struct("part", "k")).alias("lead"), F.max("part").alias("high")).filter("lead.part < high")
         votes = state.join(lead, "g").filter("part != lead.part").groupBy(F.col("lead.k").alias("a"), F.col("k").alias("b")).agg(F.count("*").alias("n"))
         if tried is not None:
@@ -335,15 +342,19 @@ def shingle_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if chosen.isEmpty():
             break
         found = c.materialize(verify(c.materialize(plausible(chosen, classes, percent), "plausible"), classes, docs, percent), "links")
-        links = found if links is None else links.unionByName(found)
         tried = chosen if tried is None else tried.unionByName(chosen)
-    state = c.materialize(_with_part(members, links), "parts")
+        if not found.isEmpty():
+            parts = _joined(parts, found)
+            state = c.materialize(_with_part(members, parts), "parts")
     late = c.materialize(tree_candidates(state, classes, percent), "candidates")
     if tried is not None:
         late = late.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = verify(c.materialize(late, "late"), classes, docs, percent)
-    links = c.materialize(found if links is None else links.unionByName(found), "links")
-    roots = c.materialize(classes.join(components(links).withColumnRenamed("id", "k"), "k", "left").select("k", F.coalesce("component", "k").alias("root"), "doc_id", "text_hash"), "roots")
+    late = c.materialize(late, "late")
+    if not late.isEmpty():
+        found = c.materialize(verify(late, classes, docs, percent), "links")
+        if not found.isEmpty():
+            parts = _joined(parts, found)
+    roots = c.materialize(_with_part(classes.select("k", "doc_id", "text_hash"), parts, "root"), "roots")
     least = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least"))
     named = roots.join(least, "root").select("k", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
     known = full.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k").join(named, "k").drop("k")

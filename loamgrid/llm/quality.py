@@ -235,6 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
     _train(model, features[rows], counts[~held], y[~held], np.ones(int((~held).sum())), epochs)
     z = model.raw(features[c.ragged(first[held], counts[held])], counts[held])
     model.slope, model.shift = c.platt(z, y[held], weight[held])
+    del table, column, features
+    c.give_back()  # the driver lives on
     return model
 
 
