@@ -177,11 +177,12 @@ def _with_ancestors(cover: DataFrame, levels: list[int], name: str) -> DataFrame
     return cover.select(cover.columns[0], own.alias(name), F.explode(keys).alias("tile"))
 
 
-def meeting_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: str) -> DataFrame:
+def meeting_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: str, together: str | None = None) -> DataFrame:
     """(a_id, b_id, m2) of every two shapes that touch, with the square metres they share.
 
     ``a`` and ``b`` have rings and an id, which is unique. Shapes meet tile by
-    tile: there each brings only its part, and the parts' areas add up.
+    tile: there each brings only its part, and the parts' areas add up. Pairs are
+    partitioned by ``together``, one of the ids, where it is named.
     """
     p, q = stored(pair_cover(a, a_id, cell_m), "cover"), stored(pair_cover(b, b_id, cell_m), "cover")
     levels = sorted(r["level"] for r in p.select("level").union(q.select("level")).distinct().collect()) or [0]  # a dozen at most
@@ -195,4 +196,6 @@ def meeting_pairs(a: DataFrame, b: DataFrame, cell_m: float, a_id: str, b_id: st
     within = F.when(F.col("p.inner") & (F.col("p.level") >= F.col("q.level")), F.col("q.m2")).when(F.col("q.inner") & (F.col("q.level") >= F.col("p.level")), F.col("p.m2")).when(F.col("p.inner"), F.col("q.m2")).otherwise(F.col("p.m2"))
     m2 = F.when(both, F.col("_border")).otherwise(F.greatest(within, F.lit(0.0)))
     shared = met.withColumn("_border", border).select(a_id, b_id, m2.alias("m2")).filter("m2 is not null")
+    if together:
+        shared = shared.repartition(together)
     return shared.groupBy(a_id, b_id).agg(F.sum("m2").alias("m2"))

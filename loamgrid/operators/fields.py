@@ -74,8 +74,12 @@ def validate_fields(fields: DataFrame, projected: bool = False) -> DataFrame:
 
 
 def field_pairs(fields: DataFrame, soil: DataFrame, cell_m: float = 3000, key: str = "field_id") -> DataFrame:
-    """Fields and soil polygons that touch: field, polygon_id, mukey and the m2 in common. No ring travels with a pair."""
-    return meeting_pairs(soil, fields, cell_m, "polygon_id", key).join(soil.select("polygon_id", "mukey"), "polygon_id")
+    """Fields and soil polygons that touch: field, polygon_id, mukey and the m2 in common. No ring travels with a pair.
+
+    All pairs of a field are in one partition, so what is grouped by field later is not shuffled again.
+    """
+    names = stored(soil.select("polygon_id", "mukey"), "names")  # its real size decides how it is joined
+    return meeting_pairs(soil, fields, cell_m, "polygon_id", key, together=key).join(names, "polygon_id")
 
 
 def field_hits(pairs: DataFrame, key: str = "field_id") -> DataFrame:
@@ -115,13 +119,19 @@ def soil_summary(weighted: DataFrame, overlay: DataFrame, attrs: DataFrame) -> D
 
 
 def area_breakdown(weighted: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Land cover and drought of each field in one pass over the weighted overlay; row_kind tells them apart."""
-    f = F.col("fraction")
-    rows = weighted.join(overlay, "mukey").select("field_id", "land_cover", "crop_code", "is_agricultural", "drought_class", (F.col("acres") * f).alias("acres"), (F.col("pixels") * f).alias("pixels"))
-    key = ["field_id", "land_cover", "crop_code", "is_agricultural", "drought_class"]
-    sets = [[F.col(k) for k in key[:4]], [F.col("field_id"), F.col("drought_class")]]
+    """Land cover and drought of each field; row_kind tells them apart.
+
+    The overlay is added up by map unit first, so a field meets each land cover and
+    each drought class of a unit once, and not every pair of them.
+    """
+    key = ["land_cover", "crop_code", "is_agricultural", "drought_class"]
+    sets = [[F.col(k) for k in ("mukey", *key[:3])], [F.col("mukey"), F.col("drought_class")]]
     kind = F.when(F.grouping("crop_code") == 0, "cover").otherwise("drought")
-    return rows.groupingSets(sets, *key).agg(kind.alias("row_kind"), F.sum("acres").alias("acres"), F.sum("pixels").alias("pixels"))
+    units = overlay.groupingSets(sets, "mukey", *key).agg(kind.alias("row_kind"), F.sum("acres").alias("acres"), F.sum("pixels").alias("pixels"))
+    units = stored(units, "units")  # its real size decides how it is joined
+    f = F.col("fraction")
+    rows = weighted.join(units, "mukey").select("field_id", *key, "row_kind", (F.col("acres") * f).alias("acres"), (F.col("pixels") * f).alias("pixels"))
+    return rows.groupBy("field_id", *key, "row_kind").agg(F.sum("acres").alias("acres"), F.sum("pixels").alias("pixels"))
 
 
 def group_rollup(breakdown: DataFrame) -> DataFrame:

@@ -523,12 +523,12 @@ def _fields(s, d):
     return FL.validate_fields(fields, projected=True).filter("status = 'ok'")
 
 
-def _pairs(s, d):
-    return FL.field_pairs(_fields(s, d), X.soil(s, d), 1500)
+def _pairs(s, d, fields=None):
+    return FL.field_pairs(_fields(s, d) if fields is None else fields, X.soil(s, d), 1500)
 
 
-def _weighted(s, d):
-    return FL.weighted_hits(FL.field_hits(_pairs(s, d)), P.mukey_area(X.soil(s, d)))
+def _weighted(s, d, fields=None):
+    return FL.weighted_hits(FL.field_hits(_pairs(s, d, fields)), T.stored(P.mukey_area(X.soil(s, d)), "area"))
 
 
 def _roverlay(s, d):
