@@ -155,17 +155,23 @@ def area_response(fields: DataFrame, totals: DataFrame, soil: DataFrame, breakdo
 
     A field that meets nothing is answered with coverage 0 and empty lists.
     """
-    total = F.sum(F.when(F.col("row_kind") == "cover", F.col("acres"))).over(Window.partitionBy("field_id"))
-    b = breakdown.withColumn("total", F.when(total == 0, 1.0).otherwise(F.coalesce(total, F.lit(1.0)))).withColumn("s", F.col("acres") / F.col("total"))
-    # equal acres stay equal whatever order they were added up in, and then the code decides
-    cover = F.struct((-rounded(F.col("acres"), 6)).alias("o"), "crop_code", "land_cover", "is_agricultural", F.bround("acres", 3).alias("acres"), F.bround("pixels", 1).alias("pixels"), F.bround("s", 4).alias("share"))
-    dry = F.struct("drought_class", drought_label(F.col("drought_class")).alias("label"), F.bround("acres", 3).alias("acres"), F.bround("s", 4).alias("share"))
     is_cover = F.col("row_kind") == "cover"
-    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("s"))), F.lit(0.0))
-    lists = b.groupBy("field_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(is_cover, cover))), lambda x: x.dropFields("o")).alias("breakdown"),
-        F.array_sort(F.collect_list(F.when(~is_cover, dry))).alias("drought"),
-        part(is_cover & F.col("is_agricultural")).alias("agricultural_share"), part(~is_cover & (F.col("drought_class") >= 2)).alias("severe_share"), part(~is_cover & (F.col("drought_class") >= 0)).alias("drought_share"),
+    # equal acres stay equal whatever order they were added up in, and then the code decides
+    cover = F.struct((-rounded(F.col("acres"), 6)).alias("o"), "crop_code", "land_cover", "is_agricultural", "acres", "pixels")
+    dry = F.struct("drought_class", "acres")
+    acres = lambda c: F.sum(F.when(c, F.col("acres")))
+    sums = breakdown.groupBy("field_id").agg(
+        F.array_sort(F.collect_list(F.when(is_cover, cover))).alias("breakdown"), F.array_sort(F.collect_list(F.when(~is_cover, dry))).alias("drought"), acres(is_cover).alias("total"),
+        acres(is_cover & F.col("is_agricultural")).alias("agricultural"), acres(~is_cover & (F.col("drought_class") >= 2)).alias("severe"), acres(~is_cover & (F.col("drought_class") >= 0)).alias("dry"),
+    )
+    total = F.when(F.col("total") == 0, 1.0).otherwise(F.coalesce("total", F.lit(1.0)))
+    part = lambda c: F.coalesce(F.col(c) / total, F.lit(0.0))
+    share = lambda x: F.bround(x["acres"] / total, 4).alias("share")
+    lists = sums.select(
+        "field_id",
+        F.transform("breakdown", lambda x: F.struct(x["crop_code"].alias("crop_code"), x["land_cover"].alias("land_cover"), x["is_agricultural"].alias("is_agricultural"), F.bround(x["acres"], 3).alias("acres"), F.bround(x["pixels"], 1).alias("pixels"), share(x))).alias("breakdown"),
+        F.transform("drought", lambda x: F.struct(x["drought_class"].alias("drought_class"), drought_label(x["drought_class"]).alias("label"), F.bround(x["acres"], 3).alias("acres"), share(x))).alias("drought"),
+        part("agricultural").alias("agricultural_share"), part("severe").alias("severe_share"), part("dry").alias("drought_share"),
     )
     df = fields.select("field_id", "query_acres").join(totals, "field_id", "left").join(soil, "field_id", "left").join(lists, "field_id", "left")
     answered = F.coalesce(F.col("answered_m2"), F.lit(0.0)) / R.M2_PER_ACRE

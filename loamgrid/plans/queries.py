@@ -550,8 +550,8 @@ def _soil_summary(s, d):
 
 def _response(s, d):
     # each is used several times: written once, and not left to what Spark finds the same
-    w, o = T.stored(_weighted(s, d), "weighted"), T.stored(_roverlay(s, d), "overlay")
-    f = T.stored(_fields(s, d).select("field_id", "query_acres"), "fields")
+    f = T.stored(_fields(s, d), "fields")
+    w, o = T.stored(_weighted(s, d, f), "weighted"), T.stored(_roverlay(s, d), "overlay")
     return FL.area_response(f, FL.field_totals(w, o, f), FL.soil_summary(w, o, X.fixture(s, d, "fx_attr")), FL.area_breakdown(w, o))
 
 

@@ -56,3 +56,19 @@ def test_pairs_of_a_field_lie_together(spark):
     assert pairs.groupBy("field_id").count().filter("count > 1").count() == 9
     by = FL.field_hits(pairs).groupBy("field_id").agg(F.sum("inter_m2"))
     assert len(re.findall(r"Exchange hashpartitioning\([^)]*field_id", plan(by, "executedPlan"))) == 1
+
+
+def test_a_response_adds_up_without_a_window(spark):
+    weighted, overlay = tables(spark)
+    fields = spark.createDataFrame([(1, 3.0), (2, 2.0), (3, 2.0), (4, 1.0)], "field_id long, query_acres double")
+    attrs = spark.createDataFrame([("u0", "a.", 2, 3, "Well drained", 3.0, 5.0)], "mukey string, muname string, cap_rainfed int, cap_irrigated int, drainage string, water_storage double, slope_pct double")
+    breakdown = FL.area_breakdown(weighted, overlay)
+    df = FL.area_response(fields, FL.field_totals(weighted, overlay, fields), FL.soil_summary(weighted, overlay, attrs), breakdown)
+    got = {r.field_id: r for r in df.collect()}
+    cover = {k: [(x.crop_code, x.acres, x.share) for x in got[k].breakdown] for k in (1, 2)}
+    total = sum(10 * c + d + 2 for c in (1, 2, 5) for d in (-1, 0, 3)) * 0.5
+    assert cover[2] == [(c, round(a, 3), round(a / total, 4)) for c in (5, 2, 1) for a in [sum(10 * c + d + 2 for d in (-1, 0, 3)) * 0.5]]
+    assert got[2].agricultural_share == (total - 0.5 * sum(10 + d + 2 for d in (-1, 0, 3))) / total
+    assert len(cover[1]) == 4 and cover[1][-1][0] is None
+    assert got[4].breakdown is None and got[4].coverage == 0
+    assert "Window" not in plan(df)
