@@ -1,4 +1,4 @@
-"""Albers equal-area projection (EPSG:5070) as plain column arithmetic.
+"""Albers equal-area projection (EPSG:5070) as plain arithmetic of columns.
 
 Snyder's formulas for the ellipsoid, GRS80, standard parallels 29.5 and 45.5,
 origin 23 N 96 W.
@@ -40,17 +40,17 @@ def to_5070(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), RHO0 - rho * F.cos(theta)
 
 
-def to_4326(x: Column, y: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees, by the series in the authalic latitude."""
-    rho = F.sqrt(x * x + (RHO0 - y) * (RHO0 - y))
-    theta = F.atan2(x, RHO0 - y)
+def to_4326(x, y, by=F) -> tuple:
+    """Longitude and latitude in degrees, by the series in the authalic latitude; of columns, or of arrays ``by`` NumPy."""
+    rho = by.sqrt(x * x + (RHO0 - y) * (RHO0 - y))
+    theta = by.atan2(x, RHO0 - y)
     q = (C - rho * rho * N * N / (AXIS * AXIS)) / N
-    beta = F.asin(q / (1 - (1 - E2) / (2 * E) * log((1 - E) / (1 + E))))
+    beta = by.asin(q / (1 - (1 - E2) / (2 * E) * log((1 - E) / (1 + E))))
     e4, e6 = E2 * E2, E2 * E2 * E2
     phi = (
         beta
-        + (E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
-        + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
-        + (761 * e6 / 45360) * F.sin(6 * beta)
+        + (E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * by.sin(2 * beta)
+        + (23 * e4 / 360 + 251 * e6 / 3780) * by.sin(4 * beta)
+        + (761 * e6 / 45360) * by.sin(6 * beta)
     )
-    return F.degrees(LON0 + theta / N), F.degrees(phi)
+    return by.degrees(LON0 + theta / N), by.degrees(phi)

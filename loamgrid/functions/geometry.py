@@ -17,13 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .planar import region
+from .albers import to_4326
+from .planar import region, regions
 from .rings import RINGS
 
 _VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 _KIND = pa.list_(pa.list_(pa.list_(_VERTEX)))
 #: Pairs of edges looked at in one step.
 _STEP = 1 << 20
+#: Edges of a row up to which all its pairs are looked at together with those of other rows.
+_SMALL = 64
 
 
 def arrow_function(kind: str, once: bool = False):
@@ -490,10 +493,93 @@ def _area(t: np.ndarray) -> float:
     return float(((t[:, 3] - t[:, 2] + t[:, 5] - t[:, 4]) / 2 * (t[:, 1] - t[:, 0])).sum())
 
 
+def _inside_rows(e: np.ndarray, row: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Even-odd containment of one point for each row in the row's edges."""
+    p = points[row]
+    up = (e[:, 1] > p[:, 1]) != (e[:, 3] > p[:, 1])
+    left = (_side(e, p) > 0) == (e[:, 3] > e[:, 1])
+    return np.bincount(row[up & left], minlength=len(points)) % 2 == 1
+
+
+def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``overlap`` for every row: what is wholly inside or apart is told for all rows at once, rows of few edges are cut together, others alone."""
+    a, b = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (a, b))
+    x, y = Shapes(a), Shapes(b)
+    n = len(x)
+    (e, row_e, _), (f, row_f, _) = x.edges(), y.edges()
+    n_e, n_f = np.bincount(row_e, minlength=n), np.bincount(row_f, minlength=n)
+    both = x.valid & y.valid & (n_e > 0) & (n_f > 0)
+    take = np.where(x.valid & y.valid, 2 * n, 2 * n + 1)  # rows of a, rows of b, none, null, and then what is cut
+    open_ = both.copy()
+
+    def boxes(edges, row):
+        low, high, box = np.full((n, 2), np.inf), np.full((n, 2), -np.inf), _boxes(edges)
+        np.minimum.at(low, row, box[:, :2])
+        np.maximum.at(high, row, box[:, 2:])
+        return low, high, box
+
+    (low_e, high_e, box_e), (low_f, high_f, box_f) = boxes(e, row_e), boxes(f, row_f)
+
+    def near(box, row, low, high):
+        on = (box[:, :2] <= high[row]).all(1) & (box[:, 2:] >= low[row]).all(1)
+        return np.bincount(row[on], minlength=n) > 0
+
+    for at, edges, own_row, other, row, free in ((0, e, row_e, f, row_f, ~near(box_f, row_f, low_e, high_e)), (n, f, row_f, e, row_e, ~near(box_e, row_e, low_f, high_f))):
+        free &= open_
+        if free.any():
+            points = np.zeros((n, 2))
+            first = np.searchsorted(own_row, np.flatnonzero(free))
+            points[free] = edges[first, :2]
+            on = free[row]
+            take[free & _inside_rows(other[on], row[on], points)] = -1 - at
+            take = np.where(take < 0, -1 - take + np.arange(n), take)
+            open_ &= ~free
+    cut = np.flatnonzero(open_)
+    few = n_e + n_f <= 2 * _SMALL
+    shapes: dict[int, list] = {i: overlap(x.shape(i), y.shape(i)) for i in cut[~few[cut]].tolist()}
+    small = cut[few[cut]]
+    number = np.full(n, -1)
+    number[small] = np.arange(len(small))
+    parts, rows, source = [], [], []
+    for k, (edges, row) in enumerate(((e, row_e), (f, row_f))):
+        on = number[row] >= 0
+        parts.append(edges[on])
+        rows.append(number[row[on]])
+        source.append(np.full(int(on.sum()), k))
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    made = regions(np.concatenate(parts)[order], np.concatenate(source)[order], row[order], len(small), lambda side: side.all(1), _meetings, inside)
+    shapes.update(zip(small.tolist(), made))
+    take[cut] = 2 * n + 2 + np.arange(len(cut))
+    return pa.concat_arrays([a.cast(_KIND), b.cast(_KIND), pack([[], None, *(shapes[i] for i in cut.tolist())])]).take(pa.array(take))
+
+
+#: Vertices of both sides that are clipped together.
+_CLIPPED = 1 << 17
+
+
 @arrow_function(RINGS)
 def intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     """The common interior."""
-    return pack([None if x is None or y is None else overlap(x, y) for x, y in zip(unpack(a), unpack(b))])
+    ends = sum(s.rings[s.polygons[s.rows[1:]]] for s in (Shapes(a), Shapes(b)))
+    out, at = [], 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CLIPPED, side="right")))
+        out.append(overlaps(a.slice(at, stop - at), b.slice(at, stop - at)))
+        at = stop
+    return pa.concat_arrays(out) if out else pack([])
+
+
+@arrow_function(RINGS)
+def in_degrees(a: pa.Array) -> pa.Array:
+    """Every vertex from EPSG:5070 metres to degrees."""
+    shapes = Shapes(a)
+    lon, lat = to_4326(shapes.xy[:, 0], shapes.xy[:, 1], np)
+    vertices = pa.StructArray.from_arrays([pa.array(lon), pa.array(lat)], fields=list(_VERTEX))
+    ends = lambda x: pa.array(x.astype(np.int32))
+    inner = pa.ListArray.from_arrays(ends(shapes.polygons), pa.ListArray.from_arrays(ends(shapes.rings), vertices))
+    offsets = pa.array(shapes.rows.astype(np.int32), mask=np.append(~shapes.valid, False))
+    return pa.ListArray.from_arrays(offsets, inner).cast(_KIND)
 
 
 def _areas(a: pa.Array, b: pa.Array, apart_is_null: bool) -> pa.Array:
@@ -525,10 +611,6 @@ def shapes_intersect(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else intersects(x, y) for x, y in zip(unpack(a), unpack(b))], pa.bool_())
 
 
-#: Edges of a row up to which all its pairs are looked at together with those of other rows.
-_SMALL = 64
-
-
 def invalid_rows(shapes: Shapes) -> np.ndarray:
     """``crosses_itself`` for every row: rows of few edges are looked at together, and only what passes and has holes or parts alone."""
     out, at = np.zeros(len(shapes), bool), np.arange(1, len(shapes.xy))

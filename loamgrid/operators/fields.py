@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rings as R
-from ..functions.geometry import intersection, self_crossing
+from ..functions.geometry import in_degrees, intersection, self_crossing
 from ..functions.legend import drought_label, group_dimension, land_cover_group
 from ..functions.numbers import rounded
 from ..sources.tables import stored, to_geojson, written
@@ -209,7 +209,7 @@ def area_mapunits(pairs: DataFrame, fields: DataFrame, soil: DataFrame, overlay:
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", "part"))), lambda x: x["part"]))
     shaped = kept.join(cut.groupBy("field_id", "mukey").agg(listed.alias("rings")), ["field_id", "mukey"]).join(best, "mukey")
     found = with_attributes(shaped, attrs).withColumn("field_acres", F.col("inter_m2") / R.M2_PER_ACRE)
-    return found.withColumn("geojson", to_geojson(R.project(F.col("rings"), inverse=True)))
+    return found.withColumn("geojson", to_geojson(in_degrees("rings")))
 
 
 #: Properties of a map unit's feature.
